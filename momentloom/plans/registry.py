@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from momentloom.functions import lexicon as lx
 from momentloom.functions import text as tx
-from momentloom.operators import keywords, seeds, segment, transcripts
+from momentloom.operators import (
+    boundaries, joins, keywords, scores, seeds, segment, select, transcripts, windows,
+)
+from momentloom.plans import analyze as an
 from momentloom.plans import oracle as o
 from momentloom.plans.ordered import with_position
+from momentloom.plans.stable import stable
 from momentloom.sources import lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +84,7 @@ def explode_sentences(spark, sf):
 @query("sentence_offsets")
 def sentence_offsets(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return segment.explode_sentences(docs, key=["doc_id"], offsets=True)
+    return segment.explode_sentences(docs, key=["doc_id"], offsets=True).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 ORACLES["sentence_offsets"] = o.cte(
@@ -89,9 +93,9 @@ ORACLES["sentence_offsets"] = o.cte(
     ("rows", f"SELECT doc_id, t, {o.numbered('a', 'sentence', 'pos')} FROM parts"),
     # A sentence starts where the earlier ones end, after the blanks in between.
     ("packed", r"""SELECT *, sum(length(regexp_replace(sentence, '\s', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY pos) AS solid FROM rows"""),
-    ("chars", r"""SELECT doc_id, unnest(range(1, length(t) + 1)) AS at, unnest(string_split(t, '')) AS c FROM whole"""),
-    ("solid_chars", r"""SELECT doc_id, at, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS nth FROM chars WHERE NOT regexp_matches(c, '^\s$')"""),
-) + """ SELECT p.doc_id, p.pos, p.sentence, (s.at - length(p.sentence))::BIGINT AS start_char, s.at::BIGINT AS end_char
+    ("chars", r"""SELECT doc_id, unnest(range(1, length(t) + 1)) AS place, unnest(string_split(t, '')) AS c FROM whole"""),
+    ("solid_chars", r"""SELECT doc_id, place, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS nth FROM chars WHERE NOT regexp_matches(c, '^\s$')"""),
+) + """ SELECT p.doc_id, p.pos, p.sentence, (s.place - length(p.sentence))::BIGINT AS start_char, s.place::BIGINT AS end_char
     FROM packed p JOIN solid_chars s ON s.doc_id = p.doc_id AND s.nth = p.solid"""
 
 
@@ -184,3 +188,234 @@ def strongest_sentences(spark, sf):
     """The five strongest sentences of each document."""
     found = seeds.find_seeds(doc_sentences(spark, sf), SAMPLE)
     return seeds.rank_seeds(found, k=5).select(*SEED_COLS, "seed_rank")
+
+
+# ----------------------------------------------------- windows and scores
+
+WINDOW_COLS = ["transcript_id", "lo", "hi", "start_ms", "end_ms", "seed_rank", "target_ord"]
+SCORE_COLS = ["score_" + n for n in (
+    "engagement", "hook", "clarity", "self_contained", "emotion", "novelty", "story",
+    "actionability", "audio_quality", "overall")]
+WINDOWS_SQL = [*o.SENTS, *o.seeds(SAMPLE, 40), *o.windows()]
+
+
+def cols(*names: str) -> str:
+    return ", ".join(names)
+
+
+def grown(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    text = stable(doc_sentences(spark, sf))
+    top = stable(seeds.rank_seeds(seeds.find_seeds(text, SAMPLE)))
+    return text, top, windows.expand_windows(text, top)
+
+
+def candidates(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Sentences, and scored, length-adjusted candidates."""
+    text = stable(doc_sentences(spark, sf))
+    return text, stable(an.score_and_adjust(an.find_candidates(text, SAMPLE), SAMPLE))
+
+
+@query("expand_windows", o.cte(*WINDOWS_SQL) + f" SELECT {cols(*WINDOW_COLS)}, anchor, target_ms FROM windows")
+def expand_windows(spark, sf):
+    return grown(spark, sf)[2].select(*WINDOW_COLS, "anchor", "target_ms")
+
+
+@query("forced_length_windows", o.cte(*o.SENTS, *o.seeds(SAMPLE, 40), *o.windows((30_000,)))
+       + f" SELECT {cols(*WINDOW_COLS)} FROM windows")
+def forced_length_windows(spark, sf):
+    text = stable(doc_sentences(spark, sf))
+    top = stable(seeds.rank_seeds(seeds.find_seeds(text, SAMPLE)))
+    return windows.expand_windows(text, top, targets_ms=(30_000,)).select(*WINDOW_COLS)
+
+
+@query("distinct_windows", o.cte(*WINDOWS_SQL) + f" SELECT {cols(*WINDOW_COLS)} FROM distinct_windows")
+def distinct_windows(spark, sf):
+    return windows.distinct_windows(grown(spark, sf)[2]).select(*WINDOW_COLS)
+
+
+@query("fallback_windows", o.cte(*o.SENTS, *o.seeds(lx.DEFAULT, 40), *o.windows(), *o.fallback())
+       + " SELECT transcript_id, lo, hi, start_ms, end_ms FROM even")
+def fallback_windows(spark, sf):
+    text = stable(doc_sentences(spark, sf))
+    top = stable(seeds.rank_seeds(seeds.find_seeds(text)))
+    found = windows.distinct_windows(windows.expand_windows(text, top))
+    return windows.fallback_windows(text, stable(found)).select("transcript_id", "lo", "hi", "start_ms", "end_ms")
+
+
+@query("candidate_windows", o.cte(*WINDOWS_SQL, *o.fallback(), *o.CANDIDATES)
+       + f" SELECT {cols(*WINDOW_COLS, 'text', 'seed_reason', *lx.FLAGS)} FROM cands")
+def candidate_windows(spark, sf):
+    text = stable(doc_sentences(spark, sf))
+    return an.find_candidates(text, SAMPLE).select(*WINDOW_COLS, "text", "seed_reason", *lx.FLAGS)
+
+
+@query("score_candidates", o.cte(*WINDOWS_SQL, *o.fallback(), *o.CANDIDATES, *o.scores("cands", SAMPLE))
+       + f" SELECT transcript_id, lo, hi, {cols(*SCORE_COLS)} FROM scored")
+def score_candidates(spark, sf):
+    text = stable(doc_sentences(spark, sf))
+    found = an.find_candidates(text, SAMPLE)
+    return scores.score_candidates(found, SAMPLE).select("transcript_id", "lo", "hi", *SCORE_COLS)
+
+
+@query("score_turns", o.cte(
+    ("src", "SELECT conv_id, turn, text, 0 AS start_ms, 32000 AS end_ms FROM conversations"), *o.scores("src", lx.DEFAULT),
+) + f" SELECT conv_id, turn, {cols(*SCORE_COLS)} FROM scored")
+def score_turns(spark, sf):
+    turns = table(spark, sf, "conversations").withColumns({"start_ms": F.lit(0), "end_ms": F.lit(32_000)})
+    return scores.score_candidates(turns).select("conv_id", "turn", *SCORE_COLS)
+
+
+@query("blend_scores", o.cte(
+    ("src", """SELECT d.doc_id, d.text, 0 AS start_ms, 40000 AS end_ms, l.quality * 100 AS eval_score
+        FROM documents d LEFT JOIN labels l USING (doc_id)"""),
+    *o.scores("src", SAMPLE),
+    ("blended", f"""SELECT doc_id, start_ms, end_ms, score_hook, CASE WHEN eval_score IS NULL THEN score_overall ELSE
+        {o.clamp('0.5::DOUBLE * score_overall + 0.5::DOUBLE * eval_score')} END AS score_overall,
+        CASE WHEN eval_score IS NULL THEN score_engagement ELSE
+        {o.clamp('0.5::DOUBLE * score_engagement + 0.5::DOUBLE * eval_score')} END AS score_engagement
+        FROM scored"""), o.adjusted("blended"),
+) + " SELECT doc_id, score_hook, score_overall, score_engagement FROM adjusted")
+def blend_scores(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = docs.join(table(spark, sf, "labels"), "doc_id", "left").withColumns({
+        "eval_score": F.col("quality") * 100, "start_ms": F.lit(0), "end_ms": F.lit(40_000)})
+    df = scores.length_adjust(scores.blend_scores(scores.score_candidates(docs, SAMPLE)))
+    return df.select("doc_id", "score_hook", "score_overall", "score_engagement")
+
+
+@query("length_adjust", o.cte(
+    EVENT_SPANS,
+    ("src", "SELECT event_id, start_ms, end_ms, (event_id % 101)::INT AS score_overall FROM espan"), o.adjusted("src"),
+) + " SELECT event_id, score_overall FROM adjusted")
+def length_adjust(spark, sf):
+    spans = event_spans(spark, sf).withColumn("score_overall", (F.col("event_id") % 101).cast("int"))
+    return scores.length_adjust(spans).select("event_id", "score_overall")
+
+
+# --------------------------------------------------------------- selection
+
+KEPT_COLS = ["transcript_id", "lo", "hi", "start_ms", "end_ms", "score_overall"]
+
+
+@query("greedy_dedup", o.cte(*o.chain(SAMPLE), *o.dedup(o.LEVELS[:1])) + f" SELECT {cols(*KEPT_COLS)} FROM uniq")
+def greedy_dedup(spark, sf):
+    return select.greedy_dedup(candidates(spark, sf)[1], order=an.ORDER).select(*KEPT_COLS)
+
+
+@query("greedy_dedup_rounds", ORACLES["greedy_dedup"])
+def greedy_dedup_rounds(spark, sf):
+    """The same result by rounds, as for keys of any size."""
+    return select.greedy_dedup_any(candidates(spark, sf)[1], order=an.ORDER).select(*KEPT_COLS)
+
+
+@query("relaxed_dedup", o.cte(*o.chain(SAMPLE), *o.dedup(o.LEVELS, n=5)) + f" SELECT {cols(*KEPT_COLS)} FROM uniq")
+def relaxed_dedup(spark, sf):
+    return select.relaxed_dedup_any(candidates(spark, sf)[1], 5, order=an.ORDER).select(*KEPT_COLS)
+
+
+CHOSEN_SQL = [*o.chain(SAMPLE), *o.dedup(o.LEVELS, n=5), o.top_n(5)]
+
+
+def chosen(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sentences, candidates, unique candidates and the ranked best five."""
+    text, scored = candidates(spark, sf)
+    unique = stable(select.relaxed_dedup_any(scored, 5, order=an.ORDER))
+    best = select.select_top_n(unique, 5, order=("start_ms", *an.ORDER))
+    best = best.withColumn("clip_id", F.concat_ws("-", "transcript_id", "lo", "hi"))
+    return text, scored, unique, stable(select.rank_clips(best, order=("start_ms", *an.ORDER)))
+
+
+@query("select_and_rank", o.cte(*CHOSEN_SQL) + f" SELECT {cols(*KEPT_COLS, 'clip_id', 'index')} FROM best")
+def select_and_rank(spark, sf):
+    return chosen(spark, sf)[3].select(*KEPT_COLS, "clip_id", "index")
+
+
+@query("analysis_stats", o.cte(*o.chain(SAMPLE), *o.dedup(o.LEVELS, n=5)) + """
+    SELECT a.transcript_id, a.n AS n_candidates, coalesce(b.n, 0)::BIGINT AS n_unique, false AS llm_used
+    FROM (SELECT transcript_id, count(*) AS n FROM adjusted GROUP BY ALL) a
+    LEFT JOIN (SELECT transcript_id, count(*) AS n FROM uniq GROUP BY ALL) b USING (transcript_id)""")
+def analysis_stats(spark, sf):
+    _, scored, unique, _ = chosen(spark, sf)
+    return select.analysis_stats(scored, unique)
+
+
+@query("interval_overlap_pairs", o.cte(EVENT_SPANS) + """ SELECT a.user_id, a.event_id AS id_a, b.event_id AS id_b,
+    greatest(0, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)) /
+        greatest(0.001::DOUBLE, least(a.end_ms - a.start_ms, b.end_ms - b.start_ms)) AS overlap
+    FROM espan a JOIN espan b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms""")
+def interval_overlap_pairs(spark, sf):
+    return joins.interval_overlap_pairs(event_spans(spark, sf), "user_id", "event_id", "start_ms", "end_ms", 300_000)
+
+
+@query("text_jaccard", f"""SELECT conv_id, turn, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE
+    len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS similarity
+    FROM (SELECT conv_id, turn, list_distinct({o.tokens('text')}) AS a,
+        list_distinct({o.tokens("coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')")}) AS b FROM conversations)""")
+def text_jaccard(spark, sf):
+    """Similarity of each turn to the turn before it."""
+    turns = table(spark, sf, "conversations")
+    prior = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    both = turns.join(prior, ["conv_id", "turn"], "left")
+    return both.select("conv_id", "turn", tx.text_jaccard(F.col("text"), F.coalesce("before", F.lit(""))).alias("similarity"))
+
+
+# -------------------------------------------------------------- boundaries
+
+REFINED_SQL = [*CHOSEN_SQL, *o.EVEN_WORDS, *o.GAPS, *o.refined()]
+
+
+def refined_clips(spark, sf) -> DataFrame:
+    text, _, _, best = chosen(spark, sf)
+    spoken = stable(lines.even_words(text))
+    durations = text.groupBy("transcript_id").agg(F.max("end_ms").alias("duration_ms"))
+    return stable(boundaries.refine_boundaries(best, spoken, durations))
+
+
+@query("covering_sentences", o.cte(*CHOSEN_SQL, *o.refined()[:3]) + " SELECT clip_id, idx, s_start, s_end FROM covered")
+def covering_sentences(spark, sf):
+    text, _, _, best = chosen(spark, sf)
+    return boundaries.covering_sentences(best, text).select("clip_id", "idx", "s_start", "s_end")
+
+
+@query("trim_edges", o.cte(*CHOSEN_SQL, *o.refined()[:5]) + " SELECT clip_id, idx FROM within")
+def trim_edges(spark, sf):
+    text, _, _, best = chosen(spark, sf)
+    facts = text.select(
+        "transcript_id", "idx", tx.starts_awkwardly("text").alias("awk"), tx.looks_incomplete("text").alias("inc"))
+    covered = boundaries.covering_sentences(best, text).join(facts, ["transcript_id", "idx"])
+    return boundaries.trim_edges(covered).select("clip_id", "idx")
+
+
+@query("word_gaps", o.cte(*o.SENTS, *o.EVEN_WORDS, *o.GAPS) + " SELECT transcript_id, mid AS mid_ms FROM gaps")
+def word_gaps(spark, sf):
+    return boundaries.word_gaps(lines.even_words(doc_sentences(spark, sf)))
+
+
+@query("nearest_gap", o.cte(
+    *o.SENTS, *o.EVEN_WORDS, *o.GAPS,
+    ("x", "SELECT transcript_id, seg_idx, (start_ms + end_ms) // 2 AS t FROM segs"),
+    ("near", """SELECT x.transcript_id, x.seg_idx, x.t, round_even(arg_min(g.mid, (abs(g.mid - x.t), g.mid)), 0) AS g FROM x
+        LEFT JOIN gaps g ON g.transcript_id = x.transcript_id AND abs(g.mid - x.t) <= 2500 GROUP BY ALL"""),
+) + " SELECT transcript_id, seg_idx, t, CASE WHEN abs(g - t) < 1200 THEN g::BIGINT ELSE t END AS cut FROM near")
+def nearest_gap(spark, sf):
+    segs = stable(doc_segments(spark, sf))
+    middle = F.floor((F.col("start_ms") + F.col("end_ms")) / 2).cast("bigint")
+    gaps = boundaries.word_gaps(lines.even_words(segment.build_timed_sentences(segs)))
+    return boundaries.nearest_gap(segs.select("transcript_id", "seg_idx", middle.alias("t")), gaps, "transcript_id", "t", "cut")
+
+
+@query("refine_boundaries", o.cte(*REFINED_SQL)
+       + " SELECT f.clip_id, f.start_ms, f.end_ms, t.text FROM final_spans f JOIN clip_texts t USING (clip_id)")
+def refine_boundaries(spark, sf):
+    return refined_clips(spark, sf).select("clip_id", "start_ms", "end_ms", "text")
+
+
+@query("clip_segments", o.cte(*REFINED_SQL, ("kept_words", """SELECT r.clip_id, r.n, count(w.idx) AS n_words FROM clip_rows r
+    LEFT JOIN words w ON w.transcript_id = r.transcript_id AND w.idx = r.idx AND w.w_end > r.start_ms AND w.w_start < r.end_ms GROUP BY ALL"""))
+    + """ SELECT r.clip_id, r.n, r.seg_start AS start_ms, r.seg_end AS end_ms, r.text, k.n_words
+    FROM clip_rows r JOIN kept_words k USING (clip_id, n)""")
+def clip_segments(spark, sf):
+    rows = refined_clips(spark, sf).select("clip_id", F.posexplode("segments").alias("n", "s"))
+    return rows.select(
+        "clip_id", F.col("n").cast("bigint").alias("n"), "s.start_ms", "s.end_ms", "s.text",
+        F.size("s.words").cast("bigint").alias("n_words"))
