@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from momentloom.functions import text as tx
 from momentloom.functions.timefmt import srt_time
+from momentloom.plans.ordered import bind
 
 PAUSE_MS, SPAN_MS, MIN_CUE_MS = 700, 2800, 200
 WORD = "struct<start_ms:bigint,end_ms:bigint,text:string>"
@@ -50,11 +51,15 @@ def pack_words(words: Column, clip_start: Column, max_words: int) -> Column:
             g.alias("words"),
         )
 
-    return F.transform(groups, cue)
+    return bind(groups, lambda g: F.transform(g, cue))
 
 
 def stretch(cues: Column) -> Column:
     """Hold each cue up to 0.35 s longer, ending 0.02 s before the next one."""
+    return bind(cues, _stretch)
+
+
+def _stretch(cues: Column) -> Column:
     def longer(c: Column, i: Column) -> Column:
         follow = F.coalesce(F.get(cues, i + 1)["start_ms"], c["end_ms"] + 400)
         end = F.least(follow - 20, c["end_ms"] + 350)
@@ -65,7 +70,7 @@ def stretch(cues: Column) -> Column:
 
 
 def _explode_cues(df: DataFrame, clip_id: str, cues: Column) -> DataFrame:
-    return df.select(clip_id, F.posexplode(cues).alias("cue_idx", "c")).select(
+    return df.select(clip_id, F.posexplode_outer(cues).alias("cue_idx", "c")).where("cue_idx is not null").select(
         clip_id, "cue_idx", "c.start_ms", "c.end_ms", "c.words"
     )
 
@@ -97,16 +102,20 @@ def cues_from_segments(
         "_chunk": F.slice("_t", F.col("part") * max_words + 1, F.lit(max_words)),
     })
     rows = rows.withColumn("_ce", F.col("_cs") + F.col("_dur"))
-    each = (F.col("_ce") - F.col("_cs")) / F.size("_chunk")
 
-    def at(i: Column) -> Column:
-        return F.rint(F.col("_cs") + i * each).cast("bigint")
+    def words(chunk: Column) -> Column:
+        def spread(each: Column) -> Column:
+            def at(i: Column) -> Column:
+                return F.rint(F.col("_cs") + i * each).cast("bigint")
+
+            return F.transform(chunk, lambda t, i: F.struct(
+                at(i).alias("start_ms"), at(i + 1).alias("end_ms"), t.alias("text")))
+
+        return bind((F.col("_ce") - F.col("_cs")) / F.size(chunk), spread)
 
-    word = F.transform("_chunk", lambda t, i: F.struct(
-        at(i).alias("start_ms"), at(i + 1).alias("end_ms"), t.alias("text")))
     return rows.select(
         clip_id, "seg_idx", "part", F.rint("_cs").cast("bigint").alias("start_ms"),
-        F.rint("_ce").cast("bigint").alias("end_ms"), word.alias("words"),
+        F.rint("_ce").cast("bigint").alias("end_ms"), bind(F.col("_chunk"), words).alias("words"),
     )
 
 

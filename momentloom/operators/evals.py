@@ -249,7 +249,7 @@ def match_evals(df: DataFrame, parsed: str = "parsed", n_expected: str = "n_expe
     last = F.filter("_use", lambda r: ~F.exists(
         F.col("_use"), lambda q: (q["slot"] == r["slot"]) & (q["pos"] > r["pos"])))
     rest = [c for c in df.columns if not c.startswith("_") and c != parsed]
-    out = df.select(*rest, F.explode(last).alias("_r")).select(
+    out = df.select(*rest, F.explode_outer(last).alias("_r")).where("_r is not null").select(
         *rest, F.col("_r.slot").alias("slot"), F.col("_r.obj").alias("_obj"))
     return validate_evals(out, "_obj")
 

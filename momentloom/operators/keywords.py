@@ -18,7 +18,7 @@ def top_keywords(
     ``order`` says which row comes first.
     """
     at = F.col(order) if order else F.lit(0)
-    words = df.select(id_col, at.alias("_row"), F.posexplode(tx.tokens(col)).alias("_pos", "keyword"))
+    words = df.select(id_col, at.alias("_row"), F.posexplode_outer(tx.tokens(col)).alias("_pos", "keyword"))
     words = words.where((F.length("keyword") >= 4) & ~F.col("keyword").isin(*STOPWORDS))
     counts = words.groupBy(id_col, "keyword").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_row", "_pos")).alias("_first")

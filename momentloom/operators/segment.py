@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from momentloom.functions import text as tx
 from momentloom.functions.timefmt import div
-from momentloom.plans.ordered import chunk_carry, sum_before
+from momentloom.plans.ordered import bind, chunk_carry, sum_before
 
 BLOCK_GAP_MS = 1200
 MIN_SENTENCE_MS = 200
@@ -30,15 +30,15 @@ def explode_sentences(
     if not offsets:
         return df.select(
             *[c for c in df.columns if c != col],
-            F.posexplode(tx.sentences(col)).alias("pos", "sentence"),
-        )
+            F.posexplode_outer(tx.sentences(col)).alias("pos", "sentence"),
+        ).where("pos is not null")
     whole = tx.strip(col)
     pieces = F.arrays_zip(
         F.split(whole, tx.SENTENCE_BREAK).alias("sentence"),
         F.regexp_extract_all(whole, F.lit(tx.SENTENCE_BREAK), F.lit(0)).alias("space"),
     )
     rows = df.select(
-        *[c for c in df.columns if c != col], F.posexplode(pieces).alias("pos", "_p")
+        *[c for c in df.columns if c != col], F.posexplode_outer(pieces).alias("pos", "_p")
     ).select("*", "_p.sentence", (F.length("_p.sentence")
              + F.coalesce(F.length("_p.space"), F.lit(0))).alias("_step"))
     rows = rows.where("sentence != ''").withColumn("_chunk", div(F.col("pos"), ROWS_PER_CHUNK))
@@ -61,36 +61,35 @@ def align_spans(words: Column, parts: Column) -> Column:
     null. Work is (words x 5) per sentence of one segment.
     """
     spoken = F.transform(words, lambda w: F.btrim(F.lower(w["text"]), F.lit(EDGE_MARKS)))
+    runs = bind(spoken, lambda said: F.transform(parts, lambda p: _best_run(words, said, p)))
+    return F.when(F.size(words) > 0, runs)
+
 
+def _best_run(words: Column, spoken: Column, sentence: Column) -> Column:
     def token_set(text: Column) -> Column:
         return F.array_distinct(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""))
 
-    def best(sentence: Column) -> Column:
-        raw = F.filter(F.split(F.lower(sentence), r"(?U)\s+"), lambda t: t != "")
-        goal = token_set(
-            F.array_join(F.transform(raw, lambda t: F.btrim(t, F.lit(EDGE_MARKS))), " ")
-        )
+    def among(raw: Column, goal: Column) -> Column:
         n = F.size(raw)
         lengths = F.array(n, n - 1, n + 1, n - 2, n + 2)
 
-        def score(i: Column, rank: Column, span: Column) -> Column:
-            run = token_set(F.array_join(F.slice(spoken, i, span), " "))
-            return F.struct(
-                tx.jaccard(run, goal).alias("score"), (-i).alias("i"), (-rank).alias("r"),
-                span.alias("span"),
-            )
-
         def at(i: Column) -> Column:
-            fits = F.filter(
-                F.transform(lengths, lambda span, rank: F.struct(rank.alias("r"), span.alias("s"))),
-                lambda o: (o["s"] > 0) & (i + o["s"] - 1 <= F.size(words)),
-            )
-            return F.transform(fits, lambda o: score(i, o["r"], o["s"]))
+            def score(span: Column, rank: Column) -> Column:
+                run = token_set(F.array_join(F.slice(spoken, i, span), " "))
+                fits = (span > 0) & (i + span - 1 <= F.size(words))
+                return F.when(fits, F.struct(
+                    tx.jaccard(run, goal).alias("score"), (-i).alias("i"), (-rank).alias("r"), span.alias("span")))
+
+            return F.transform(lengths, score)
 
-        top = F.array_max(F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), at)))
-        return F.when((n > 0) & (top["score"] >= MIN_ALIGNMENT), F.slice(words, -top["i"], top["span"]))
+        tried = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), at))
+        return bind(F.array_max(tried), lambda top: F.when(
+            (n > 0) & (top["score"] >= MIN_ALIGNMENT), F.slice(words, -top["i"], top["span"])))
 
-    return F.when(F.size(words) > 0, F.transform(parts, best))
+    raw = F.filter(F.split(F.lower(sentence), r"(?U)\s+"), lambda t: t != "")
+    return bind(raw, lambda r: bind(
+        token_set(F.array_join(F.transform(r, lambda t: F.btrim(t, F.lit(EDGE_MARKS))), " ")),
+        lambda goal: among(r, goal)))
 
 
 def build_timed_sentences(
@@ -114,7 +113,7 @@ def build_timed_sentences(
         # One exchange by (key, chunk) serves every window below.
         segments = segments.withColumn("chunk", div(F.col("seg_idx"), segments_per_chunk))
         segments = segments.repartition(key, "chunk")
-    parts = segments.withColumn("_parts", tx.sentences("text")).where(F.size("_parts") > 0)
+    parts = segments.withColumn("_parts", tx.sentences("text"))
     if has_words:
         parts = parts.withColumn(
             "_runs", F.when(F.size("_parts") > 1, align_spans(F.col("words"), F.col("_parts")))
@@ -126,8 +125,8 @@ def build_timed_sentences(
         F.greatest(F.lit(1), F.length("text")).alias("_len"),
         F.size("_parts").alias("_n"),
         *(["words", "_runs"] if has_words else []),
-        F.posexplode("_parts").alias("pos", "text"),
-    )
+        F.posexplode_outer("_parts").alias("pos", "text"),
+    ).where("pos is not null")
     only = F.col("_n") == 1
     if has_words:
         rows = rows.withColumn("_run", F.get("_runs", F.col("pos"))).withColumn(

@@ -60,7 +60,7 @@ def _kept_by_fold(narrow: DataFrame, key: str, levels, n: int | None) -> DataFra
         lines = lines.withColumn("_more", more).withColumn(
             "kept", F.when(F.size("_more") > F.size("kept"), F.col("_more")).otherwise(F.col("kept"))
         )
-    return lines.select(key, F.explode("kept").alias("k")).select(key, "k.place")
+    return lines.select(key, F.explode_outer("kept").alias("k")).select(key, "k.place")
 
 
 def greedy_dedup(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from momentloom.operators.joins import around, overlap_join
+from momentloom.plans.ordered import bind
 
 STEP_MS = 100
 STATIC_SPREAD = 0.06
@@ -45,10 +46,10 @@ def resample_linear(
     met = around(clip_grid(clips, step_ms), inside.select("clip_id", "_t", "v"), "clip_id", "t_ms", "_t", F.struct("v"), bucket_ms)
     a, b, t = F.col("prev"), F.col("next"), F.col("t_ms")
     part = (t - a["t"]) / F.greatest(F.lit(0.001), b["t"] - a["t"])
-    lerp = a["v.v"] + part * (b["v.v"] - a["v.v"])
+    lerp = a["v"]["v"] + part * (b["v"]["v"] - a["v"]["v"])
     return met.select(
         "clip_id", "i", "t_ms",
-        F.when(a.isNull(), b["v.v"]).when(b.isNull(), a["v.v"]).otherwise(lerp).alias("value"),
+        F.when(a.isNull(), b["v"]["v"]).when(b.isNull(), a["v"]["v"]).otherwise(lerp).alias("value"),
     ).where("value is not null")
 
 
@@ -92,7 +93,10 @@ def lock_if_static(xs: Column, width: Column, limit: float = STATIC_SPREAD) -> C
 
 def decimate_changes(xs: Column, step_ms: int, length_ms: Column) -> Column:
     """(t_ms, x) where whole-pixel x changes, plus the first and last point."""
-    px = F.transform(xs, lambda x: F.rint(x).cast("bigint"))
+    return bind(F.transform(xs, lambda x: F.rint(x).cast("bigint")), lambda px: _changes(px, step_ms, length_ms))
+
+
+def _changes(px: Column, step_ms: int, length_ms: Column) -> Column:
     points = F.transform(px, lambda x, i: F.struct((i * step_ms).cast("bigint").alias("t_ms"), x.alias("x"), i.alias("i")))
     kept = F.filter(points, lambda p: (p["i"] == 0) | (p["i"] == F.size(px) - 1) | (p["x"] != F.get(px, p["i"] - 1)))
     keys = F.transform(kept, lambda p: F.struct(p["t_ms"].alias("t_ms"), p["x"].alias("x")))

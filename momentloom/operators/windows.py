@@ -19,7 +19,7 @@ from momentloom.functions.lexicon import FLAGS, TARGETS_MS
 from momentloom.functions.timefmt import div
 from momentloom.operators.joins import around
 from momentloom.operators.segment import BLOCK_GAP_MS
-from momentloom.plans.ordered import before, chunk_carry
+from momentloom.plans.ordered import before, bind, chunk_carry
 from momentloom.plans.stable import stable
 
 MIN_CLIP_MS = 12_000
@@ -69,59 +69,82 @@ def expand_windows(
     line = F.struct("idx", "start_ms", "end_ms", "gap_before_ms", "block", "awk", "inc")
     tiles = near.groupBy(key, "tile").agg(F.sort_array(F.collect_list(line)).alias("line"))
     one = tiles.join(anchors, [key, "tile"]).select(key, "line", F.explode("anchors").alias("s"))
-    a = F.col("s.idx")
-    one = one.select(key, a.alias("anchor"), F.col("s.seed_rank").alias("seed_rank"), "line")
-
-    # The block of the anchor, within reach; "at" is the anchor's place in it (from 0).
-    offset = (F.col("anchor") - F.col("line")[0]["idx"]).cast("int")
-    reach = F.slice("line", F.greatest(F.lit(1), offset + 1 - MARGIN), F.lit(2 * MARGIN + 1))
-    own = F.get(F.col("line"), offset)["block"]
-    one = one.withColumn("own", own).withColumn("near", F.filter(reach, lambda x: x["block"] == F.col("own")))
-    one = one.withColumn("at", (F.col("anchor") - F.col("near")[0]["idx"]).cast("int")).drop("line", "own")
-    at, near_col = F.col("at"), F.col("near")
-    top = F.size(near_col) - 1
-    lead = (at > 0) & (F.get(near_col, at)["gap_before_ms"] < LEAD_IN_GAP_MS)
-    one = one.withColumn("lo0", F.when(lead, at - 1).otherwise(at))
-    lo0 = F.col("lo0")
-
-    # State 0, then each step extends forward (odd) and backward (even).
-    steps = F.least(F.lit(MAX_STEPS), F.greatest(lo0, top - at))
-
-    def state(k: Column) -> Column:
-        j = div(k + 1, 2).cast("int")
-        back = F.when(k % 2 == 1, j - 1).otherwise(j)
-        lo, hi = F.greatest(lo0 - back, F.lit(0)), F.least(at + j, top)
-        return F.struct(
-            lo.alias("lo"), hi.alias("hi"),
-            (F.get(near_col, hi)["end_ms"] - F.get(near_col, lo)["start_ms"]).alias("ms"),
-        )
-
-    one = one.withColumn("path", F.transform(F.sequence(F.lit(0), steps * 2), state))
-    goals = F.array(*[
-        F.struct(F.lit(i).alias("target_ord"), F.lit(int(t)).alias("target_ms"))
-        for i, t in enumerate(targets_ms)
-    ])
-    one = one.withColumn("goal", F.explode(goals))
-    long_enough = F.filter("path", lambda p: p["ms"] >= F.col("goal.target_ms"))
-    pick = F.when(F.size(long_enough) > 0, F.get(long_enough, F.lit(0))).otherwise(F.element_at("path", -1))
-    one = one.withColumn("pick", pick).drop("path")
-    shrink = (F.col("pick.ms") > max_ms) & (F.col("pick.hi") > at)
-    one = one.withColumn("hi1", F.when(shrink, F.col("pick.hi") - 1).otherwise(F.col("pick.hi")))
-
-    def span(lo: Column, hi: Column) -> Column:
-        return F.get(near_col, hi)["end_ms"] - F.get(near_col, lo)["start_ms"]
-
-    one = one.where(span(F.col("pick.lo"), F.col("hi1")).between(min_ms, max_ms))
-    # Drop an awkward head and an unfinished tail, never past the anchor.
-    head = F.filter(F.sequence(F.col("pick.lo"), at), lambda i: (i == at) | ~F.get(near_col, i)["awk"])
-    tail = F.filter(F.sequence(at, F.col("hi1")), lambda i: (i == at) | ~F.get(near_col, i)["inc"])
-    one = one.withColumns({"l": F.array_min(head), "h": F.array_max(tail)})
-    one = one.where(span(F.col("l"), F.col("h")) >= min_ms)
-    return one.select(
-        key, "seed_rank", "anchor", "goal.target_ord", "goal.target_ms",
-        F.get(near_col, F.col("l"))["idx"].alias("lo"), F.get(near_col, F.col("h"))["idx"].alias("hi"),
-        F.get(near_col, F.col("l"))["start_ms"].alias("start_ms"),
-        F.get(near_col, F.col("h"))["end_ms"].alias("end_ms"),
+    one = one.select(key, F.col("s.idx").alias("anchor"), F.col("s.seed_rank").alias("seed_rank"), "line")
+    goals = [(i, int(t)) for i, t in enumerate(targets_ms)]
+    found = bind(_reach(F.col("line"), F.col("anchor")), lambda near: _windows_of(
+        near, F.col("anchor"), goals, min_ms, max_ms))
+    return one.select(key, "seed_rank", "anchor", F.explode_outer(found).alias("w")).select(
+        key, "seed_rank", "anchor", "w.*"
+    ).where("lo is not null")
+
+
+def _reach(line: Column, anchor: Column) -> Column:
+    """The sentences of the anchor's block that a window can reach, in order."""
+    offset = (anchor - line[0]["idx"]).cast("int")
+    part = F.slice(line, F.greatest(F.lit(1), offset + 1 - MARGIN), F.lit(2 * MARGIN + 1))
+    return bind(F.get(line, offset)["block"], lambda own: F.filter(part, lambda x: x["block"] == own))
+
+
+def _windows_of(
+    near: Column, anchor: Column, goals: list[tuple[int, int]], min_ms: int, max_ms: int
+) -> Column:
+    """Array with one window per goal; ``lo`` is null where there is none."""
+    none = F.lit(None).cast("bigint")
+
+    def ms(lo: Column, hi: Column) -> Column:
+        return F.get(near, hi)["end_ms"] - F.get(near, lo)["start_ms"]
+
+    def path(at: Column) -> Column:
+        # State 0, then each step extends forward (odd) and backward (even).
+        top = F.size(near) - 1
+        lead = (at > 0) & (F.get(near, at)["gap_before_ms"] < LEAD_IN_GAP_MS)
+
+        def states(lo0: Column) -> Column:
+            def state(k: Column) -> Column:
+                j = F.shiftright(k + 1, 1)
+                lo, hi = F.greatest(lo0 - F.shiftright(k, 1), F.lit(0)), F.least(at + j, top)
+                return F.struct(lo.alias("lo"), hi.alias("hi"), ms(lo, hi).alias("ms"))
+
+            steps = F.least(F.lit(MAX_STEPS), F.greatest(lo0, top - at))
+            return F.transform(F.sequence(F.lit(0), steps * 2), state)
+
+        return bind(F.when(lead, at - 1).otherwise(at), states)
+
+    def cut(at: Column, pick: Column, goal: Column) -> Column:
+        shrink = (pick["ms"] > max_ms) & (pick["hi"] > at)
+        hi = F.when(shrink, pick["hi"] - 1).otherwise(pick["hi"])
+        # Drop an awkward head and an unfinished tail, never past the anchor.
+        head = F.filter(F.sequence(pick["lo"], at), lambda i: (i == at) | ~F.get(near, i)["awk"])
+        tail = F.filter(F.sequence(at, hi), lambda i: (i == at) | ~F.get(near, i)["inc"])
+        ends = F.when(ms(pick["lo"], hi).between(min_ms, max_ms), F.struct(
+            F.array_min(head).alias("l"), F.array_max(tail).alias("h")))
+
+        def row(e: Column) -> Column:
+            keep = e.isNotNull() & (ms(e["l"], e["h"]) >= min_ms)
+            return F.struct(
+                goal["target_ord"].alias("target_ord"), goal["target_ms"].alias("target_ms"),
+                F.when(keep, F.get(near, e["l"])["idx"]).otherwise(none).alias("lo"),
+                F.get(near, e["h"])["idx"].alias("hi"),
+                F.get(near, e["l"])["start_ms"].alias("start_ms"),
+                F.get(near, e["h"])["end_ms"].alias("end_ms"),
+            )
+
+        return bind(ends, row)
+
+    def per_goal(at: Column, states: Column) -> Column:
+        options = F.array(*[
+            F.struct(F.lit(i).alias("target_ord"), F.lit(t).alias("target_ms")) for i, t in goals])
+
+        def one(goal: Column) -> Column:
+            first = F.get(F.filter(states, lambda p: p["ms"] >= goal["target_ms"]), F.lit(0))
+            return bind(F.coalesce(first, F.element_at(states, -1)), lambda pick: cut(at, pick, goal))
+
+        return F.transform(options, one)
+
+    # "at" is the anchor's place in its block, from 0.
+    return bind(
+        (anchor - near[0]["idx"]).cast("int"),
+        lambda at: bind(path(at), lambda states: per_goal(at, states)),
     )
 
 
@@ -200,7 +223,7 @@ def _chunks_by_fold(facts: DataFrame, key: str, target_ms: int) -> DataFrame:
         )
 
     empty = F.array().cast(f"array<{chunk}>")
-    return lines.select(key, F.explode(F.aggregate("line", empty, step)).alias("c")).select(key, "c.*")
+    return lines.select(key, F.explode_outer(F.aggregate("line", empty, step)).alias("c")).select(key, "c.*")
 
 
 def _chunks_by_jumps(facts: DataFrame, sizes: DataFrame, key: str, target_ms: int) -> DataFrame:

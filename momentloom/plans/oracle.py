@@ -99,7 +99,12 @@ def numbered(array: str, item: str, pos: str) -> str:
 
 
 def cte(*parts: tuple[str, str]) -> str:
-    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({body})" for name, body in parts)
+    """Named steps; every step that does not call itself is evaluated once."""
+    def one(name: str, body: str) -> str:
+        recursive = re.search(rf"FROM {name}\b", body) is not None
+        return f"{name} AS {'' if recursive else 'MATERIALIZED '}({body})"
+
+    return "WITH RECURSIVE " + ",\n".join(one(n, b) for n, b in parts)
 
 
 # ---------------------------------------------------------------- base tables
@@ -400,3 +405,72 @@ def hook_parts(text: str) -> tuple[str, str]:
     first = f"rtrim(coalesce({strip_filler(f'({arr})[1]')}, {strip(text)}), '.')"
     second = f"rtrim({strip_filler(f'({arr})[2]')}, '.')"
     return first, second
+
+
+# ------------------------------------------------------------ cues, tracks
+
+CLIP_WORDS = [
+    ("clip_words", """SELECT r.clip_id, row_number() OVER (PARTITION BY r.clip_id ORDER BY r.n, w.i) AS r, w.word,
+        w.w_start - r.start_ms AS s, w.w_end - r.start_ms AS e
+        FROM clip_rows r JOIN words w ON w.transcript_id = r.transcript_id AND w.idx = r.idx AND w.w_end > r.start_ms AND w.w_start < r.end_ms"""),
+]
+
+
+def cues(max_words: int) -> list[tuple[str, str]]:
+    new = f"c.n >= {max_words} OR w.s - c.e > 700 OR w.e - c.first > 2800 OR regexp_matches(c.word, '[.!?]$')"
+    return [
+        ("pack", f"""SELECT clip_id, r, word, s, e, s AS first, 1 AS n, 0 AS cue_idx FROM clip_words WHERE r = 1
+            UNION ALL SELECT w.clip_id, w.r, w.word, w.s, w.e, CASE WHEN {new} THEN w.s ELSE c.first END,
+                CASE WHEN {new} THEN 1 ELSE c.n + 1 END, CASE WHEN {new} THEN c.cue_idx + 1 ELSE c.cue_idx END
+            FROM pack c JOIN clip_words w ON w.clip_id = c.clip_id AND w.r = c.r + 1"""),
+        ("plain_cues", """SELECT clip_id, cue_idx, greatest(0, min(first)) AS s, greatest(greatest(0, min(first)) + 200, arg_max(e, r)) AS e,
+            string_agg(word, ' ' ORDER BY r) AS words, count(*) AS n FROM pack GROUP BY clip_id, cue_idx"""),
+        ("next_cues", "SELECT *, coalesce(lead(s) OVER (PARTITION BY clip_id ORDER BY cue_idx), e + 400) AS follow FROM plain_cues"),
+        ("cues", """SELECT clip_id, cue_idx, s AS start_ms, CASE WHEN least(follow - 20, e + 350) <= s THEN s + 250
+            ELSE least(follow - 20, e + 350) END AS end_ms, words, n FROM next_cues"""),
+    ]
+
+
+def events(highlight: tuple[str, ...]) -> list[tuple[str, str]]:
+    wanted = ", ".join(q(w) for w in highlight)
+    return [
+        ("cue_words", """SELECT p.clip_id, p.cue_idx, row_number() OVER (PARTITION BY p.clip_id, p.cue_idx ORDER BY p.r) - 1 AS word_idx,
+            p.word, p.s, p.e, c.start_ms AS cs, c.end_ms AS ce, c.n FROM pack p JOIN cues c USING (clip_id, cue_idx)"""),
+        ("word_events", f"""SELECT clip_id, cue_idx, word_idx, greatest(cs, s) AS start_ms,
+            least(ce, greatest(greatest(cs, s) + 80, CASE WHEN word_idx = n - 1 THEN ce ELSE e END)) AS end_ms, word AS text,
+            lower(regexp_replace(word, '[^\\p{{L}}\\p{{N}}_'']+', '', 'g')) IN ({wanted}) AS is_emphasis FROM cue_words"""),
+    ]
+
+
+def tracks(step_ms: int, tile_ms: int) -> list[tuple[str, str]]:
+    """Events as observations of a user; every tile of a user's time is a clip."""
+    return [
+        ("obs", """SELECT user_id AS track_id, (epoch_us(ts) // 1000)::BIGINT AS t_ms, value / 500.0::DOUBLE AS cx, event_id FROM events"""),
+        ("one_obs", "SELECT track_id, t_ms, min(cx) AS cx FROM obs GROUP BY ALL"),
+        ("clips", f"""SELECT DISTINCT track_id, t_ms // {tile_ms} AS tile, track_id || '-' || (t_ms // {tile_ms}) AS clip_id,
+            (t_ms // {tile_ms}) * {tile_ms} AS start_ms, (t_ms // {tile_ms} + 1) * {tile_ms} AS end_ms FROM obs"""),
+        ("inside_obs", "SELECT c.clip_id, o.t_ms, o.cx FROM clips c JOIN one_obs o ON o.track_id = c.track_id AND o.t_ms BETWEEN c.start_ms AND c.end_ms"),
+        ("grid", f"SELECT clip_id, unnest(range(0, {tile_ms // step_ms + 1})) AS i, start_ms FROM clips"),
+        ("points", f"SELECT clip_id, i, start_ms + i * {step_ms} AS t_ms FROM grid"),
+        ("back", "SELECT p.clip_id, p.i, p.t_ms, o.t_ms AS a_t, o.cx AS a_v FROM points p ASOF LEFT JOIN inside_obs o ON o.clip_id = p.clip_id AND o.t_ms <= p.t_ms"),
+        ("sides", "SELECT p.*, o.t_ms AS b_t, o.cx AS b_v FROM back p ASOF LEFT JOIN inside_obs o ON o.clip_id = p.clip_id AND o.t_ms >= p.t_ms"),
+        ("resampled", """SELECT clip_id, i, t_ms, CASE WHEN a_t IS NULL THEN b_v WHEN b_t IS NULL THEN a_v
+            ELSE a_v + (t_ms - a_t) / greatest(0.001::DOUBLE, b_t - a_t) * (b_v - a_v) END AS value FROM sides"""),
+    ]
+
+
+SMOOTH = [
+    ("fwd", """SELECT clip_id, i, value AS y FROM resampled WHERE i = 0
+        UNION ALL SELECT r.clip_id, r.i, 0.16::DOUBLE * r.value + 0.84::DOUBLE * f.y FROM fwd f JOIN resampled r ON r.clip_id = f.clip_id AND r.i = f.i + 1"""),
+    ("last_i", "SELECT clip_id, max(i) AS m FROM fwd GROUP BY ALL"),
+    ("bwd", """SELECT f.clip_id, f.i, f.y FROM fwd f JOIN last_i l ON l.clip_id = f.clip_id AND l.m = f.i
+        UNION ALL SELECT f.clip_id, f.i, 0.6::DOUBLE * f.y + 0.4::DOUBLE * b.y FROM bwd b JOIN fwd f ON f.clip_id = b.clip_id AND f.i = b.i - 1"""),
+]
+
+
+def slewed(source: str, limit: str) -> list[tuple[str, str]]:
+    return [
+        ("slew", f"""SELECT clip_id, i, y FROM {source} WHERE i = 0
+            UNION ALL SELECT s.clip_id, s.i, p.y + greatest(-{limit}, least({limit}, s.y - p.y))
+            FROM slew p JOIN {source} s ON s.clip_id = p.clip_id AND s.i = p.i + 1"""),
+    ]

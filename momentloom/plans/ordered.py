@@ -18,6 +18,16 @@ from momentloom.plans.stable import stable
 Keys = Sequence[str]
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Inside lambdas and filters the optimizer inlines expressions, which would compute a
+    costly one again for every element or use. For the same reason costly arrays are
+    exploded with the ``_outer`` functions: the others add a filter on the array's size.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def before(w: WindowSpec) -> WindowSpec:
     """All earlier rows of the window, without the current one."""
     return w.rowsBetween(Window.unboundedPreceding, -1)

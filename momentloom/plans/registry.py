@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentloom.functions import lexicon as lx
+from momentloom.functions import naming
 from momentloom.functions import text as tx
 from momentloom.operators import (
-    boundaries, joins, keywords, scores, seeds, segment, select, transcripts, windows,
+    boundaries, catalog, cues, evals, hooks, incremental, joins, keywords, scores, seeds, segment,
+    select, tracks, transcripts, windows,
 )
 from momentloom.plans import analyze as an
 from momentloom.plans import oracle as o
 from momentloom.plans.ordered import with_position
 from momentloom.plans.stable import stable
-from momentloom.sources import lines
+from momentloom.sources import lines, probe, sinks, transcripts as docs_in
+from momentloom.streaming.blocks import stream_pause_blocks
+from momentloom.streaming.jobs import latest_job_state
+from momentloom.streaming.run import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -419,3 +424,153 @@ def clip_segments(spark, sf):
     return rows.select(
         "clip_id", F.col("n").cast("bigint").alias("n"), "s.start_ms", "s.end_ms", "s.text",
         F.size("s.words").cast("bigint").alias("n_words"))
+
+
+# --------------------------------------------------------- cues and tracks
+
+CUES_SQL = [*REFINED_SQL, *o.CLIP_WORDS, *o.cues(3)]
+EMPHASIS = ("the", "with", "und", "est")
+
+
+def clip_cues(spark, sf) -> DataFrame:
+    clips = refined_clips(spark, sf)
+    spoken = clips.select("clip_id", "start_ms", F.flatten(F.transform("segments", lambda s: s["words"])).alias("words"))
+    return cues.cues_from_words(spoken, 3)
+
+
+@query("cues_from_words", o.cte(*CUES_SQL) + " SELECT clip_id, cue_idx, start_ms, end_ms, words, n FROM cues")
+def cues_from_words(spark, sf):
+    joined = F.array_join(F.transform("words", lambda w: w["text"]), " ")
+    return clip_cues(spark, sf).select(
+        "clip_id", "cue_idx", "start_ms", "end_ms", joined.alias("words"), F.size("words").cast("bigint").alias("n"))
+
+
+@query("active_word_events", o.cte(*CUES_SQL, *o.events(EMPHASIS))
+       + " SELECT clip_id, cue_idx, word_idx, start_ms, end_ms, text, is_emphasis FROM word_events")
+def active_word_events(spark, sf):
+    marked = F.array(*[F.lit(w) for w in EMPHASIS])
+    return cues.active_word_events(clip_cues(spark, sf), marked).withColumn("word_idx", F.col("word_idx").cast("bigint"))
+
+
+@query("cues_from_segments", o.cte(
+    *o.LINES, *o.CLOCK,
+    ("toks", "SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS t FROM segs"),
+    ("timed", "SELECT *, greatest(0, start_ms)::DOUBLE AS s, greatest(start_ms + 300.0::DOUBLE, end_ms::DOUBLE) AS e, (len(t) + 3) // 4 AS n FROM toks"),
+    ("chunked", "SELECT *, unnest(range(0, n)) AS part, (e - s) / n AS dur FROM timed"),
+    ("begun", "SELECT *, s + part * dur AS cs FROM chunked"),
+) + """ SELECT transcript_id, seg_idx, part::INT AS part, round_even(cs, 0)::BIGINT AS start_ms, round_even(cs + dur, 0)::BIGINT AS end_ms,
+    array_to_string(t[part * 4 + 1 : part * 4 + 4], ' ') AS words,
+    round_even(cs + ((cs + dur) - cs) / len(t[part * 4 + 1 : part * 4 + 4]), 0)::BIGINT AS first_word_end FROM begun""")
+def cues_from_segments(spark, sf):
+    segs = doc_segments(spark, sf).withColumn("clip_start_ms", F.lit(0))
+    out = cues.cues_from_segments(segs, 4, "transcript_id")
+    joined = F.array_join(F.transform("words", lambda w: w["text"]), " ")
+    return out.withColumn("first_word_end", F.col("words")[0]["end_ms"]).withColumn("words", joined)
+
+
+DAY = 24 * HOUR
+TILE, GRID = 3 * DAY, HOUR
+TRACK_SQL = o.tracks(GRID, TILE)
+
+
+def observations(spark, sf) -> DataFrame:
+    """Events as a position track per user: width grows with the event id."""
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint")
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("track_id"), ms.alias("t_ms"), (F.col("value") / 500.0).alias("cx"), "event_id")
+
+
+def tiles(obs: DataFrame) -> DataFrame:
+    tile = F.floor(F.col("t_ms") / TILE).cast("bigint")
+    return obs.select("track_id", tile.alias("tile")).distinct().select(
+        "track_id", F.concat_ws("-", "track_id", "tile").alias("clip_id"),
+        (F.col("tile") * TILE).alias("start_ms"), ((F.col("tile") + 1) * TILE).alias("end_ms"))
+
+
+def resampled(spark, sf) -> DataFrame:
+    obs = observations(spark, sf)
+    return tracks.resample_linear(obs, tiles(obs), "cx", GRID, bucket_ms=DAY)
+
+
+@query("largest_per_frame", """SELECT user_id AS track_id, (epoch_us(ts) // 86400000000)::BIGINT AS t_ms, arg_max(event_id, (value, -event_id)) AS event_id,
+    max(value) AS w FROM events GROUP BY ALL""")
+def largest_per_frame(spark, sf):
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("bigint")
+    obs = table(spark, sf, "events").select(
+        F.col("user_id").alias("track_id"), day.alias("t_ms"), "event_id", F.col("event_id").alias("cx"), F.lit(0).alias("cy"),
+        F.col("value").alias("w"), F.lit(1.0).alias("h"))
+    return tracks.largest_per_frame(obs).select("track_id", "t_ms", "event_id", "w")
+
+
+@query("resample_linear", o.cte(*TRACK_SQL) + " SELECT clip_id, i, t_ms, value FROM resampled")
+def resample_linear(spark, sf):
+    return resampled(spark, sf)
+
+
+@query("ema_two_pass", o.cte(*TRACK_SQL, *o.SMOOTH) + " SELECT clip_id, i, y AS value FROM bwd")
+def ema_two_pass(spark, sf):
+    grid = tracks.collect_grid(resampled(spark, sf))
+    return grid.select("clip_id", F.posexplode_outer(tracks.ema_two_pass(F.col("xs"))).alias("i", "value")).withColumn("i", F.col("i").cast("bigint"))
+
+
+@query("slew_limit", o.cte(*TRACK_SQL, ("src", "SELECT clip_id, i, value AS y FROM resampled"), *o.slewed("src", "0.01::DOUBLE"))
+       + " SELECT clip_id, i, y AS value FROM slew")
+def slew_limit(spark, sf):
+    grid = tracks.collect_grid(resampled(spark, sf))
+    return grid.select("clip_id", F.posexplode_outer(tracks.slew_limit(F.col("xs"), F.lit(0.01))).alias("i", "value")).withColumn("i", F.col("i").cast("bigint"))
+
+
+@query("lock_if_static", o.cte(*TRACK_SQL) + """ SELECT clip_id, CASE WHEN (max(value) - min(value)) / 1.0::DOUBLE < 0.06
+    THEN round(list_reduce(list(value ORDER BY i), lambda a, x: a + x) / count(*), 9) END AS locked FROM resampled GROUP BY clip_id""")
+def lock_if_static(spark, sf):
+    grid = tracks.collect_grid(resampled(spark, sf))
+    return grid.select("clip_id", F.round(tracks.lock_if_static(F.col("xs"), F.lit(1.0)), 9).alias("locked"))
+
+
+@query("decimate_changes", o.cte(*TRACK_SQL,
+    ("px", "SELECT clip_id, i, round_even(value * 50, 0)::BIGINT AS x FROM resampled"),
+    ("was", "SELECT *, lag(x) OVER (PARTITION BY clip_id ORDER BY i) AS p, max(i) OVER (PARTITION BY clip_id) AS m FROM px"),
+) + f" SELECT clip_id, i * {GRID} AS t_ms, x FROM was WHERE i = 0 OR i = m OR x <> p")
+def decimate_changes(spark, sf):
+    grid = tracks.collect_grid(resampled(spark, sf))
+    scaled = F.transform("xs", lambda v: v * 50)
+    return grid.select("clip_id", F.explode_outer(tracks.decimate_changes(scaled, GRID, F.lit(TILE))).alias("k")).select("clip_id", "k.*")
+
+
+VIDEO_SQL = ("videos", "SELECT p_partkey, 640 + p_size * 20 AS width, (CASE WHEN p_partkey % 3 = 0 THEN 1920 ELSE 720 END)::INT AS height FROM part")
+
+
+def videos(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select(
+        "p_partkey", (F.lit(640) + F.col("p_size") * 20).alias("width"),
+        F.when(F.col("p_partkey") % 3 == 0, 1920).otherwise(720).alias("height"))
+
+
+@query("crop_geometry", o.cte(VIDEO_SQL,
+    ("c", "SELECT *, width / height <= 0.5625::DOUBLE + 0.001::DOUBLE AS portrait FROM videos"),
+    ("w", "SELECT *, CASE WHEN portrait THEN width ELSE least(width, round_even(height * 0.5625::DOUBLE, 0)::INT) END AS crop_w FROM c"),
+) + """ SELECT p_partkey, crop_w, CASE WHEN portrait THEN least(height, round_even(width / 0.5625::DOUBLE, 0)::INT) ELSE height END AS crop_h,
+    (CASE WHEN portrait THEN greatest(0, (height - least(height, round_even(width / 0.5625::DOUBLE, 0)::INT)) // 2) ELSE 0 END)::INT AS y_top,
+    (CASE WHEN portrait THEN 0 ELSE round_even((width - crop_w) / 2.0::DOUBLE, 0) END)::INT AS x FROM w""")
+def crop_geometry(spark, sf):
+    return tracks.crop_geometry(videos(spark, sf), "center").select("p_partkey", "crop_w", "crop_h", "y_top", "x")
+
+
+PAN = "greatest(2.0::DOUBLE, 0.18::DOUBLE * 1312 * 3600.0::DOUBLE)"
+
+
+@query("plan_crop", o.cte(*TRACK_SQL,
+    ("cx", "SELECT clip_id, i, value * 1920.0::DOUBLE AS v FROM resampled"),
+    ("spread", "SELECT clip_id, (max(v) - min(v)) / 1920.0::DOUBLE < 0.06 AS still, list_reduce(list(v ORDER BY i), lambda a, x: a + x) / count(*) AS mean FROM cx GROUP BY ALL"),
+    ("raw", "SELECT clip_id, i, greatest(0.0::DOUBLE, least(1312.0::DOUBLE, v - 304.0::DOUBLE)) AS value FROM cx JOIN spread USING (clip_id) WHERE NOT still"),
+    *[(n, b.replace("resampled", "raw")) for n, b in o.SMOOTH],
+    *o.slewed("bwd", PAN),
+    ("px", "SELECT clip_id, i, round_even(greatest(0.0::DOUBLE, least(1312.0::DOUBLE, y)), 0)::BIGINT AS x FROM slew"),
+    ("was", "SELECT *, lag(x) OVER (PARTITION BY clip_id ORDER BY i) AS p, max(i) OVER (PARTITION BY clip_id) AS m FROM px"),
+) + f""" SELECT clip_id, 608 AS crop_w, false AS static, i * {GRID} AS t_ms, x FROM was WHERE i = 0 OR i = m OR x <> p
+    UNION ALL SELECT clip_id, 608, true, 0, round_even(greatest(0.0::DOUBLE, least(1312.0::DOUBLE, mean - 304.0::DOUBLE)), 0)::BIGINT FROM spread WHERE still""")
+def plan_crop(spark, sf):
+    obs = observations(spark, sf)
+    size = obs.select("track_id").distinct().withColumns({"width": F.lit(1920), "height": F.lit(1080)})
+    plans = tracks.plan_crop(size, tiles(obs), obs, step_ms=GRID, bucket_ms=DAY)
+    return plans.select("clip_id", "crop_w", "static", F.explode("keys").alias("k")).select("clip_id", "crop_w", "static", "k.*")

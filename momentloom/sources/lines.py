@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from momentloom.functions import text as tx
 from momentloom.functions.timefmt import div
 from momentloom.operators.segment import SEGMENTS_PER_CHUNK
-from momentloom.plans.ordered import chunk_carry, sum_before
+from momentloom.plans.ordered import bind, chunk_carry, sum_before
 
 MS_PER_WORD = 400
 MIN_SEGMENT_MS = 200
@@ -69,15 +69,20 @@ def reading_clock(
 def even_words(df: DataFrame, spoken: float = 0.8) -> DataFrame:
     """Spread the words of each timed row evenly; each takes ``spoken`` of its slot."""
     parts = F.filter(F.split("text", r"(?U)\s+"), lambda t: t != "")
-    step = (F.col("end_ms") - F.col("start_ms")) / F.size(parts)
     start = F.col("start_ms").cast("double")
 
-    def word(token, i):
-        lo = start + step * i
-        return F.struct(
-            F.rint(lo).cast("bigint").alias("start_ms"),
-            F.rint(lo + step * spoken).cast("bigint").alias("end_ms"),
-            token.alias("text"), F.lit(1.0).alias("prob"),
-        )
+    def spread(tokens, step):
+        def word(token, i):
+            lo = start + step * i
+            return F.struct(
+                F.rint(lo).cast("bigint").alias("start_ms"),
+                F.rint(lo + step * spoken).cast("bigint").alias("end_ms"),
+                token.alias("text"), F.lit(1.0).alias("prob"),
+            )
+
+        return F.transform(tokens, word)
+
+    def words(tokens):
+        return bind((F.col("end_ms") - F.col("start_ms")) / F.size(tokens), lambda step: spread(tokens, step))
 
-    return df.withColumn("words", F.transform(parts, word))
+    return df.withColumn("words", bind(parts, words))
