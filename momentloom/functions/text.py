@@ -47,8 +47,11 @@ def tokens(col: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_c(col)), F.lit(WORD), F.lit(0))
 
 
-def filler_ratio(col: Column | str, lex: lx.Lexicon = lx.DEFAULT) -> Column:
-    words = word_count(col)
+def filler_ratio(
+    col: Column | str, lex: lx.Lexicon = lx.DEFAULT, words: Column | None = None
+) -> Column:
+    """Weighted share of filler words, at most 1; pass ``words`` if already counted."""
+    words = word_count(col) if words is None else words
     fillers = F.regexp_count(_c(col), F.lit("(?iU)" + lex.filler))
     ratio = F.least(F.lit(1.0), fillers / F.greatest(F.lit(1), words) * F.lit(3.0))
     return F.when(words == 0, F.lit(1.0)).otherwise(ratio)
@@ -102,9 +105,8 @@ def annotate_text(
     df: DataFrame, col: str = "text", lex: lx.Lexicon = lx.DEFAULT, prefix: str = ""
 ) -> DataFrame:
     """Add word count, filler ratio, opening/closing checks and the seven flags."""
-    return df.withColumns({
-        prefix + "word_count": word_count(col),
-        prefix + "filler_ratio": filler_ratio(col, lex),
+    return df.withColumn(prefix + "word_count", word_count(col)).withColumns({
+        prefix + "filler_ratio": filler_ratio(col, lex, F.col(prefix + "word_count")),
         prefix + "starts_awkwardly": starts_awkwardly(col),
         prefix + "looks_incomplete": looks_incomplete(col),
         **{prefix + name: flag for name, flag in feature_flags(col, lex).items()},

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from momentloom.operators import (
 from momentloom.plans import analyze as an
 from momentloom.plans import oracle as o
 from momentloom.plans.ordered import with_position
-from momentloom.plans.stable import stable
+from momentloom.plans.stable import shared_dir, stable
 from momentloom.sources import lines, probe, sinks, transcripts as docs_in
 from momentloom.streaming.blocks import stream_pause_blocks
 from momentloom.streaming.jobs import latest_job_state
@@ -574,3 +575,393 @@ def plan_crop(spark, sf):
     size = obs.select("track_id").distinct().withColumns({"width": F.lit(1920), "height": F.lit(1080)})
     plans = tracks.plan_crop(size, tiles(obs), obs, step_ms=GRID, bucket_ms=DAY)
     return plans.select("clip_id", "crop_w", "static", F.explode("keys").alias("k")).select("clip_id", "crop_w", "static", "k.*")
+
+
+# ------------------------------------------------------------------ naming
+
+@query("page_names", f"""SELECT page_id, {o.slug('url')} AS slug, {o.slug("regexp_extract(html, '<title>([^<]*)', 1)", 32)} AS title_slug,
+    regexp_replace(url, '^.*/', '') AS base FROM pages""")
+def page_names(spark, sf):
+    pages = table(spark, sf, "pages")
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    return pages.select(
+        "page_id", naming.clip_slug(F.col("url")).alias("slug"), naming.clip_slug(title, 32).alias("title_slug"),
+        F.regexp_replace("url", "^.*/", "").alias("base"))
+
+
+SAFE = "regexp_replace(trim(regexp_replace(stem, '[^A-Za-z0-9._-]+', '-', 'g'), '-._'), '-{2,}', '-', 'g')"
+
+
+@query("sanitize_names", o.cte(
+    ("base", """SELECT page_id, regexp_replace(strip_accents(replace(replace(regexp_replace(url, '^.*/', ''), 'ß', ''), 'ẞ', '')), '[^\\x00-\\x7F]', '', 'g') AS b FROM pages"""),
+    ("cut", r"""SELECT page_id, CASE WHEN regexp_matches(b, '^\.*[^.].*\.[^.]*$') THEN regexp_extract(b, '^(\.*[^.].*)(\.[^.]*)$', 1) ELSE b END AS stem,
+        CASE WHEN regexp_matches(b, '^\.*[^.].*\.[^.]*$') THEN regexp_replace(lower(regexp_extract(b, '^(\.*[^.].*)(\.[^.]*)$', 2)), '[^a-z0-9._-]+', '', 'g') ELSE '' END AS ext FROM base"""),
+) + f" SELECT page_id, substr(coalesce(nullif({SAFE}, ''), 'video'), 1, 80) || ext AS name FROM cut")
+def sanitize_names(spark, sf):
+    return table(spark, sf, "pages").select("page_id", naming.sanitize_name(F.col("url")).alias("name"))
+
+
+FIRST, SECOND = o.hook_parts("text")
+
+
+@query("fallback_hooks", o.cte(
+    ("h", f"SELECT doc_id, source, {FIRST} AS f, {SECOND} AS s FROM documents"),
+    ("k", f"SELECT doc_id, source, {o.shorten('f', 60)} AS hook, coalesce({o.shorten('s', 60)}, '') AS alt_hook FROM h"),
+    ("n", f"SELECT *, {o.shorten('hook', 40)} AS opening_text, (doc_id % 12 + 1)::INT AS index FROM k"),
+) + f""" SELECT doc_id, hook, alt_hook, opening_text, {o.slug("coalesce(nullif(hook, ''), source)")} AS slug,
+    {o.file_name('index', 'source', 'hook', 'index = 1')} AS file_name FROM n""")
+def fallback_hooks(spark, sf):
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "text", F.col("source").alias("category"), (F.col("doc_id") % 12 + 1).cast("int").alias("index"))
+    named = hooks.name_clips(hooks.fallback_hook(docs))
+    return named.select("doc_id", "hook", "alt_hook", "opening_text", "slug", "file_name")
+
+
+# --------------------------------------------------------------- evaluator
+
+EVAL_CANDS = ("ec", f"""SELECT conv_id AS transcript_id, turn AS position, {o.strip('text')} AS text, 0 AS start_ms,
+    (greatest(1, {o.words('text')}) * 400) AS end_ms FROM conversations""")
+
+
+def eval_candidates(spark, sf) -> DataFrame:
+    """Chat turns as candidates; ``turn`` is their dense position."""
+    return table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("transcript_id"), F.col("turn").alias("position"), tx.strip("text").alias("text"),
+        F.lit(0).alias("start_ms"), (F.greatest(F.lit(1), tx.word_count("text")) * 400).alias("end_ms"))
+
+
+@query("eval_batches", o.cte(EVAL_CANDS) + """ SELECT transcript_id, position // 6 AS batch, count(*)::INT AS n_expected,
+    string_agg('[' || (position % 6) || '] (' || round_even((end_ms - start_ms) / 1000.0::DOUBLE, 0)::BIGINT || 's) ' || text, chr(10) || chr(10) ORDER BY position) AS listing
+    FROM ec GROUP BY ALL""")
+def eval_batches(spark, sf):
+    return evals.build_eval_batches(eval_candidates(spark, sf), "position")
+
+
+def score_prompt(listing: str) -> str:
+    """A stand-in scorer: the length of each entry, as JSON in a fenced block; it fails
+    on listings without any blank."""
+    entries = listing.split("\n\n[")
+    if " " not in listing:
+        raise ValueError("nothing to score")
+    rows = ", ".join(f'{{"index": {i}, "score": {len(e) % 101}, "category": "Story"}}' for i, e in enumerate(entries))
+    return "Here it is:\n```json\n{\"results\": [" + rows + ",]}\n```"
+
+
+@query("evaluate_batches", o.cte(EVAL_CANDS,
+    ("listed", """SELECT transcript_id, position // 6 AS batch, position % 6 AS slot, '[' || (position % 6) || '] (' ||
+        round_even((end_ms - start_ms) / 1000.0::DOUBLE, 0)::BIGINT || 's) ' || text AS entry FROM ec"""),
+) + """ SELECT transcript_id, batch, slot::INT AS slot, ((length(entry) - CASE WHEN slot = 0 THEN 0 ELSE 1 END) % 101)::INT AS score, 'story' AS category FROM listed""")
+def evaluate_batches(spark, sf):
+    """Batches through a scorer, its text parsed and matched back to slots."""
+    answered = evals.evaluate_with(evals.build_eval_batches(eval_candidates(spark, sf), "position"), score_prompt)
+    matched = evals.match_evals(evals.parse_eval_responses(answered))
+    return matched.select("transcript_id", "batch", F.col("slot").cast("int").alias("slot"), "score", "category")
+
+
+def responses(spark, sf) -> DataFrame:
+    """Answers derived from labels, broken in ways that the reader must repair."""
+    body = F.format_string('{"score": %d, "hook": "Doc %d", "selfContained": "%s", "emphasis_words": ["w%d", "", 7]}',
+                           F.col("quality") * 150, F.col("doc_id"), F.when(F.col("toxic") == 0, "true").otherwise("false"), F.col("doc_id"))
+    kind = F.col("doc_id") % 6
+    raw = (
+        F.when(kind == 0, body)
+        .when(kind == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\nDone.")))
+        .when(kind == 2, F.regexp_replace(body, "}$", ",}"))
+        .when(kind == 3, F.translate(body, '"', "'"))
+        .when(kind == 4, F.concat(F.lit("text {} and "), body, F.lit(" trailing")))
+        .otherwise(F.lit("no json here"))
+    )
+    return table(spark, sf, "labels").select("doc_id", raw.alias("raw"))
+
+
+@query("parse_eval_responses", """SELECT doc_id, doc_id % 6 < 5 AS is_valid, CASE WHEN doc_id % 6 < 5 THEN least(100, quality * 150)::INT END AS score,
+    CASE WHEN doc_id % 6 < 5 THEN 'Doc ' || doc_id END AS hook, CASE WHEN doc_id % 6 < 5 THEN toxic = 0 END AS self_contained,
+    CASE WHEN doc_id % 6 < 5 THEN 'insight' END AS category, CASE WHEN doc_id % 6 < 5 THEN 'w' || doc_id END AS emphasis FROM labels""")
+def parse_eval_responses(spark, sf):
+    parsed = evals.parse_eval_responses(responses(spark, sf))
+    valid = evals.validate_evals(parsed.where("parsed is not null").select("doc_id", "parsed"))
+    typed = valid.select("doc_id", F.lit(True).alias("is_valid"), "score", "hook", "self_contained", "category",
+                         F.array_join("emphasis_words", "|").alias("emphasis"))
+    rejects = parsed.where("parsed is null").select("doc_id", F.lit(False).alias("is_valid"))
+    return typed.unionByName(rejects, allowMissingColumns=True)
+
+
+@query("merge_evals", o.cte(
+    ("src", """SELECT d.doc_id, d.source, l.quality, l.toxic, l.doc_id IS NOT NULL AND d.doc_id % 6 < 5 AS hit FROM documents d LEFT JOIN labels l USING (doc_id)"""),
+) + """ SELECT doc_id, CASE WHEN hit THEN 'Doc ' || doc_id ELSE 'old ' || source END AS hook, CASE WHEN hit THEN toxic = 0 ELSE true END AS self_contained,
+    CASE WHEN hit THEN least(100, quality * 150)::INT END AS eval_score, hit AS llm_used, CASE WHEN hit THEN 'w' || doc_id ELSE 'none' END AS emphasis FROM src""")
+def merge_evals(spark, sf):
+    parsed = evals.parse_eval_responses(responses(spark, sf)).where("parsed is not null")
+    valid = evals.validate_evals(parsed.select("doc_id", "parsed"))
+    cands = table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("old "), F.col("source")).alias("hook"), F.array(F.lit("none")).alias("emphasis_words"))
+    out = evals.merge_evals(cands, valid, ["doc_id"])
+    return out.select("doc_id", "hook", "self_contained", "eval_score", "llm_used", F.array_join("emphasis_words", "|").alias("emphasis"))
+
+
+# ------------------------------------------------------ keyed table changes
+
+def order_parts(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Orders as a table, and changed or new rows for some of its keys."""
+    base = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    delta = base.where("o_orderstatus = 'F'").select(
+        (F.col("o_orderkey") * 2).alias("o_orderkey"), "o_custkey", F.lit("X").alias("o_orderstatus"),
+        F.when(F.col("o_totalprice") > 200_000, F.col("o_totalprice")).alias("o_totalprice"))
+    return base, delta
+
+
+DELTA = [
+    ("base", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"),
+    ("delta", """SELECT o_orderkey * 2 AS o_orderkey, o_custkey, 'X' AS o_orderstatus, CASE WHEN o_totalprice > 200000 THEN o_totalprice END AS o_totalprice
+        FROM base WHERE o_orderstatus = 'F'"""),
+]
+
+
+@query("replace_by_key", o.cte(*DELTA) + """ SELECT * FROM base WHERE o_custkey NOT IN (SELECT o_custkey FROM delta) UNION ALL SELECT * FROM delta""")
+def replace_by_key(spark, sf):
+    base, delta = order_parts(spark, sf)
+    return incremental.replace_by_key(base, delta, ["o_custkey"])
+
+
+@query("replace_keys_in_table", ORACLES["replace_by_key"])
+def replace_keys_in_table(spark, sf):
+    """The same through a bucketed table on disk of which only touched buckets change."""
+    base, delta = order_parts(spark, sf)
+    path = f"{shared_dir(spark)}/momentloom/orders-{uuid.uuid4().hex}"
+    sinks.write_keyed(base, path, "o_custkey", 8)
+    sinks.replace_keys(spark, delta, path, "o_custkey", 8)
+    return spark.read.parquet(path).drop(sinks.BUCKET)
+
+
+@query("upsert_by_key", o.cte(*DELTA) + """ SELECT * FROM base WHERE o_orderkey NOT IN (SELECT o_orderkey FROM delta) UNION ALL SELECT * FROM delta""")
+def upsert_by_key(spark, sf):
+    base, delta = order_parts(spark, sf)
+    return incremental.upsert_by_key(base, delta, ["o_orderkey"])
+
+
+@query("patch_by_key", o.cte(*DELTA) + """ SELECT b.o_orderkey, coalesce(d.o_custkey, b.o_custkey) AS o_custkey, coalesce(d.o_orderstatus, b.o_orderstatus) AS o_orderstatus,
+    CASE WHEN d.o_orderkey IS NOT NULL THEN d.o_totalprice ELSE b.o_totalprice END AS o_totalprice FROM base b LEFT JOIN delta d USING (o_orderkey)""")
+def patch_by_key(spark, sf):
+    base, delta = order_parts(spark, sf)
+    return incremental.patch_by_key(base, delta, ["o_orderkey"], always=("o_totalprice",))
+
+
+@query("cascade_delete", """SELECT 'customer' AS name, c_custkey AS id FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL
+    SELECT 'orders', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def cascade_delete(spark, sf):
+    customers = table(spark, sf, "customer")
+    gone = customers.where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    left = incremental.cascade_delete(customers, "c_custkey", gone, {"orders": (table(spark, sf, "orders"), "o_custkey")})
+    return left[""].select(F.lit("customer").alias("name"), F.col("c_custkey").alias("id")).unionByName(
+        left["orders"].select(F.lit("orders").alias("name"), F.col("o_orderkey").alias("id")))
+
+
+@query("skip_unchanged", """SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey > 12""")
+def skip_unchanged(spark, sf):
+    """Customers to redo: those never done, and those whose segment changed since."""
+    customers = table(spark, sf, "customer")
+    seen = ["c_name", "c_mktsegment"]
+    before = customers.where("c_nationkey <= 12").withColumn(
+        "c_mktsegment", F.when(F.col("c_mktsegment") == "BUILDING", "OLD").otherwise(F.col("c_mktsegment")))
+    done = incremental.skip_unchanged(before, before, ["c_custkey"], seen, force=True).select("c_custkey", "fp")
+    return incremental.skip_unchanged(customers, done, ["c_custkey"], seen).select("c_custkey", "c_name")
+
+
+@query("apply_clip_edits", o.cte(
+    ("clip", "SELECT o_orderkey AS clip_id, o_custkey AS start_ms, o_custkey + 20000 AS end_ms, o_orderpriority AS hook FROM orders"),
+    ("edit", "SELECT l_orderkey AS clip_id, l_linenumber AS edit_ts, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey - 50 END AS s, CASE WHEN l_linenumber % 3 = 0 THEN l_partkey + 30000 END AS e, l_shipdate::DATE::VARCHAR AS h FROM lineitem"),
+    ("uq", "SELECT clip_id, edit_ts, max(s) AS s, max(e) AS e, max(h) AS h FROM edit GROUP BY ALL"),
+    ("latest", "SELECT clip_id, arg_max(s, edit_ts) FILTER (WHERE s IS NOT NULL) AS s, arg_max(e, edit_ts) FILTER (WHERE e IS NOT NULL) AS e, arg_max(h, edit_ts) AS h FROM uq GROUP BY ALL"),
+    ("done", "SELECT clip_id, coalesce(greatest(0, l.s), start_ms) AS start_ms, coalesce(l.e, end_ms) AS end_ms, coalesce(l.h, hook) AS hook FROM clip LEFT JOIN latest l USING (clip_id)"),
+) + " SELECT *, end_ms - start_ms AS duration_ms FROM done")
+def apply_clip_edits(spark, sf):
+    clips = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("clip_id"), F.col("o_custkey").alias("start_ms"), (F.col("o_custkey") + 20_000).alias("end_ms"),
+        F.col("o_orderpriority").alias("hook"), F.lit("").alias("opening_text"), F.array(F.lit("x")).alias("emphasis_words"))
+    n = F.col("l_linenumber")
+    edits = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("clip_id"), n.alias("edit_ts")).agg(
+        F.max(F.when(n % 2 == 0, F.col("l_suppkey") - 50)).alias("start_ms"),
+        F.max(F.when(n % 3 == 0, F.col("l_partkey") + 30_000)).alias("end_ms"),
+        F.max(F.col("l_shipdate").cast("date").cast("string")).alias("hook"))
+    edits = edits.withColumns({"opening_text": F.lit(None).cast("string"), "emphasis_words": F.lit(None).cast("array<string>")})
+    return incremental.apply_clip_edits(clips, edits).select("clip_id", "start_ms", "end_ms", "hook", "duration_ms")
+
+
+# ----------------------------------------------------------------- catalog
+
+@query("list_projects", """SELECT c.c_custkey, c.c_acctbal, n.n_name, count(o.o_orderkey) AS n_clips FROM
+    (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100) c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
+    LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY ALL""")
+def list_projects(spark, sf):
+    """Customers as projects, their nation as the video, orders as clips."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    media = customers.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    clips = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    out = catalog.list_projects(customers, media, clips, key="c_custkey", created="c_acctbal")
+    return out.select("c_custkey", "c_acctbal", "n_name", "n_clips")
+
+
+@query("project_detail", o.cte(*CHOSEN_SQL) + """ SELECT d.doc_id, d.lang, l.quality, count(b.clip_id) AS n_clips,
+    coalesce(string_agg(b.clip_id, '|' ORDER BY b.index), '') AS clip_ids
+    FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN best b ON b.transcript_id = d.doc_id GROUP BY ALL""")
+def project_detail(spark, sf):
+    docs = table(spark, sf, "documents")
+    clips = chosen(spark, sf)[3].select(F.col("transcript_id").alias("doc_id"), "index", "clip_id", "score_overall")
+    out = catalog.project_detail(docs.select("doc_id", "lang"), table(spark, sf, "labels"), docs.select("doc_id", "source"), clips, key="doc_id")
+    return out.select("doc_id", "lang", F.col("video.quality").alias("quality"), F.size("clips").cast("bigint").alias("n_clips"),
+                      F.array_join(F.transform("clips", lambda c: c["clip_id"]), "|").alias("clip_ids"))
+
+
+STATE = {"O": "queued", "P": "processing", "F": "completed"}
+JOBS_SQL = ("jobs", """SELECT o_orderkey AS job_id, o_custkey AS project_id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'processing' ELSE 'completed' END AS state,
+    6 - left(o_orderpriority, 1)::INT AS priority, epoch(o_orderdate)::BIGINT AS created_at, CASE WHEN o_orderkey % 7 <> 0 THEN epoch(o_orderdate)::BIGINT + 60 END AS started FROM orders""")
+
+
+def jobs(spark, sf) -> DataFrame:
+    state = F.create_map(*[F.lit(x) for pair in STATE.items() for x in pair])
+    created = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("project_id"),
+        F.element_at(state, F.col("o_orderstatus")).alias("state"),
+        (F.lit(6) - F.substring("o_orderpriority", 1, 1).cast("int")).alias("priority"), created.alias("created_at"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.timestamp_seconds(created + 60)).alias("started_at"))
+
+
+@query("job_history", o.cte(JOBS_SQL) + " SELECT job_id, project_id, state, priority, created_at FROM jobs ORDER BY created_at DESC, job_id LIMIT 50")
+def job_history(spark, sf):
+    return catalog.job_history(jobs(spark, sf)).drop("started_at")
+
+
+@query("job_queue", o.cte(JOBS_SQL) + " SELECT job_id, priority, created_at FROM jobs WHERE state = 'queued'")
+def job_queue(spark, sf):
+    return catalog.job_queue(jobs(spark, sf)).select("job_id", "priority", "created_at")
+
+
+@query("stale_jobs", o.cte(JOBS_SQL) + """ SELECT job_id, project_id FROM jobs WHERE state = 'processing'
+    AND (started IS NULL OR started < epoch(TIMESTAMP '1997-01-01 00:00:00') - 3600)""")
+def stale_jobs(spark, sf):
+    return catalog.stale_jobs(jobs(spark, sf), "1997-01-01 00:00:00").select("job_id", "project_id")
+
+
+@query("coverage_warnings", """SELECT l_orderkey, l_linenumber, CASE WHEN dec < dur - 5000 THEN 'audio damaged: only the first ' || round_even(dec / 60000.0::DOUBLE, 0)::BIGINT || ' min decoded'
+    WHEN tr > 0 AND tr < dur * 0.6 THEN 'speech found in only part of the source' ELSE '' END AS warnings FROM
+    (SELECT l_orderkey, l_linenumber, l_partkey * 1000 AS dur, l_partkey * 1000 - l_suppkey * 100 AS dec, (l_partkey * 1000 * l_quantity / 50)::BIGINT AS tr FROM lineitem)""")
+def coverage_warnings(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_partkey") * 1000).alias("duration_ms"),
+        (F.col("l_partkey") * 1000 - F.col("l_suppkey") * 100).alias("decoded_ms"),
+        (F.col("l_partkey") * 1000 * F.col("l_quantity") / 50).cast("bigint").alias("transcript_ms"))
+    out = catalog.coverage_warnings(rows)
+    return out.select("l_orderkey", "l_linenumber", F.array_join("warnings", "; ").alias("warnings"))
+
+
+# ------------------------------------------------------- sources and sinks
+
+@query("parse_media_probe", """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'no video stream' WHEN p_size % 7 = 0 THEN 'missing duration or dimensions' ELSE '' END AS reject_reason,
+    CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN NULL ELSE (CASE WHEN p_size % 2 = 0 THEN 1080 ELSE 1000 + p_size END)::INT END AS width,
+    CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN NULL ELSE (CASE WHEN p_size % 2 = 0 THEN 1000 + p_size ELSE 1080 END)::INT END AS height,
+    CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN NULL ELSE p_partkey * 1000 + 500 END AS duration_ms,
+    CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN NULL ELSE (CASE WHEN p_size % 3 = 0 THEN 30.0 ELSE 29.97 END)::DOUBLE END AS fps FROM part""")
+def parse_media_probe(spark, sf):
+    size = F.col("p_size")
+    video = F.format_string(
+        '{"codec_type": "video", "codec_name": "h264", "width": %d, "height": 1080, "avg_frame_rate": "%s", "side_data_list": [{"rotation": %d}]}',
+        size + 1000, F.when(size % 3 == 0, "0/0").otherwise("30000/1001"), F.when(size % 2 == 0, -90).otherwise(0))
+    text = F.format_string(
+        '{"format": {"duration": "%s", "size": "99", "format_name": "mov,mp4"}, "streams": [{"codec_type": "audio", "channels": 2}%s]}',
+        F.when(size % 7 == 0, "0").otherwise(F.concat(F.col("p_partkey").cast("string"), F.lit(".5"))),
+        F.when(size % 5 == 0, "").otherwise(F.concat(F.lit(", "), video)))
+    good, bad = probe.parse_media_probe(table(spark, sf, "part").select("p_partkey", text.alias("json")))
+    kept = good.select("p_partkey", F.lit("").alias("reject_reason"), "width", "height", "duration_ms", "fps")
+    return kept.unionByName(bad.select("p_partkey", "reject_reason"), allowMissingColumns=True)
+
+
+@query("read_transcripts", """SELECT conv_id::VARCHAR AS conv, turn AS seg_idx, turn * 1500 AS start_ms, turn * 1500 + 1250 AS end_ms, text, 'en' AS language FROM conversations""")
+def read_transcripts(spark, sf):
+    """Conversations written as one JSON document each, and read back with defaults."""
+    turn = F.struct("turn", (F.col("turn") * 1.5).alias("start"), (F.col("turn") * 1.5 + 1.25).alias("end"), "text")
+    docs = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("segments"))
+    path = f"{shared_dir(spark)}/momentloom/docs-{uuid.uuid4().hex}"
+    body = F.to_json(F.struct(F.col("conv_id").cast("string").alias("model"), "segments"))
+    docs.select(body.alias("value")).write.text(path)
+    _, segs = docs_in.read_transcripts(spark, path, multi_line=False, id_field="model")
+    return segs.select(F.col("transcript_id").alias("conv"), "seg_idx", "start_ms", "end_ms", "text", "language")
+
+
+@query("read_token_json", o.cte(
+    ("w", f"SELECT conv_id, turn, {o.numbered('''string_split(text, ' ')''', 'word', 'i')} FROM conversations"),
+) + """ SELECT conv_id::VARCHAR AS transcript_id, turn AS seg_idx, i AS word_idx, trim(word, ' ' || chr(10)) AS text, i * 10 AS start_ms, (i * 10 + 5) AS end_ms,
+    CASE WHEN i % 2 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS prob FROM w WHERE trim(word, ' ' || chr(10)) <> '' AND i > 0""")
+def read_token_json(spark, sf):
+    """Words of each turn as recogniser tokens; the first is a control token."""
+    parts = F.split("text", " ")
+    token = F.transform(parts, lambda t, i: F.struct(
+        F.when(i == 0, F.lit("[_BEG_]")).otherwise(t).alias("text"),
+        F.struct((i * 10).cast("bigint").alias("from"), (i * 10 + 5).cast("bigint").alias("to")).alias("offsets"),
+        F.when(i % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.0)).alias("p")))
+    piece = F.struct(F.struct(F.lit(0).cast("bigint").alias("from"), F.lit(100).cast("bigint").alias("to")).alias("offsets"), "text", token.alias("tokens"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", piece.alias("p"))
+    docs = turns.select(
+        F.concat_ws("-", "conv_id", "turn").alias("transcript_id"),
+        F.from_json(F.to_json(F.struct(F.array("p").alias("transcription"))), docs_in.TOKENS).alias("d"),
+    ).select("transcript_id", "d.transcription")
+    segs = docs_in.token_segments(docs)
+    at = F.split("transcript_id", "-")
+    rows = segs.select(at[0].alias("transcript_id"), at[1].cast("bigint").alias("seg_idx"), F.explode_outer("words").alias("w"))
+    start = F.col("w.start_ms")
+    return rows.where("w is not null").select(
+        "transcript_id", "seg_idx", (start / 10).cast("bigint").alias("word_idx"), "w.text", "w.start_ms", "w.end_ms", "w.prob")
+
+
+def srt_stamp(ms: str) -> str:
+    return (f"lpad(({ms} // 3600000)::VARCHAR, 2, '0') || ':' || lpad(({ms} // 60000 % 60)::VARCHAR, 2, '0') || ':' || "
+            f"lpad(({ms} // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad(({ms} % 1000)::VARCHAR, 3, '0')")
+
+
+@query("srt_documents", o.cte(*REFINED_SQL,
+    ("rel", "SELECT clip_id, n, greatest(0, seg_start - start_ms) AS s, seg_end - start_ms AS e, text FROM clip_rows"),
+    ("blocks", f"SELECT clip_id, n, (n + 1) || chr(10) || {srt_stamp('s')} || ' --> ' || {srt_stamp('greatest(s + 200, e)')} || chr(10) || text AS b FROM rel"),
+) + " SELECT clip_id, string_agg(b, chr(10) || chr(10) ORDER BY n) || chr(10) AS srt FROM blocks GROUP BY clip_id")
+def srt_documents(spark, sf):
+    return sinks.srt_documents(refined_clips(spark, sf))
+
+
+@query("analyze", o.cte(*CHOSEN_SQL, *o.refined()[:6],
+    ("lengths", "SELECT transcript_id, max(end_ms) AS duration FROM sents GROUP BY ALL"),
+    ("padded", "SELECT clip_id, duration, greatest(0, t0 - 350) AS r0, least(duration, t1 + 350) AS r1 FROM ends JOIN lengths USING (transcript_id)"),
+    ("fin", "SELECT clip_id, r0 AS start_ms, CASE WHEN r1 - r0 < 12000 THEN least(duration, r0 + 12000) ELSE r1 END AS end_ms FROM padded"),
+) + " SELECT b.transcript_id, b.index, b.clip_id, f.start_ms, f.end_ms, b.score_overall, 'Seeded by: ' || b.seed_reason AS reason FROM best b JOIN fin f USING (clip_id)")
+def analyze(spark, sf):
+    """The whole chain: segments in, ranked clips out."""
+    out = an.analyze(doc_segments(spark, sf), lex=SAMPLE).clips
+    return out.select("transcript_id", "index", "clip_id", "start_ms", "end_ms", "score_overall", "reason")
+
+
+@query("analysis_documents")
+def analysis_documents(spark, sf):
+    done = an.analyze(doc_segments(spark, sf), lex=SAMPLE)
+    return sinks.analysis_documents(done.clips, done.stats)
+
+
+# --------------------------------------------------------------- streaming
+
+def event_stream(spark, sf) -> DataFrame:
+    path = f"{sf}/events.parquet"
+    schema = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).schema
+    return spark.readStream.schema(schema).parquet(path)
+
+
+@query("stream_pause_blocks", o.cte(
+    ("e", "SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events"),
+    ("b", f"SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= 1000 * {6 * HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM e"),
+) + " SELECT user_id, count(*) AS n_rows, epoch_us(min(ts)) AS first_start, epoch_us(max(ts)) AS last_start FROM b GROUP BY user_id, g")
+def stream_blocks(spark, sf):
+    stream = event_stream(spark, sf).withColumn("duration_ms", F.lit(0))
+    out = run_available(stream_pause_blocks(stream, "user_id", "ts", "duration_ms", 6 * HOUR))
+    return out.withColumns({c: F.unix_micros(c) for c in ("first_start", "last_start")})
+
+
+@query("latest_job_state", """SELECT user_id, epoch_us(max(ts)) AS ts, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id""")
+def latest_state(spark, sf):
+    out = run_available(latest_job_state(event_stream(spark, sf), "user_id", "ts", ["event_type", "value"], "event_id"))
+    return out.withColumn("ts", F.unix_micros("ts"))

@@ -25,18 +25,21 @@ TOKENS = """
 """
 
 
-def _documents(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
+def _documents(spark: SparkSession, path: str, schema: str, multi_line: bool, id_field: str | None) -> DataFrame:
     docs = spark.read.schema(schema).json(path, multiLine=multi_line)
     name = F.regexp_replace("_metadata.file_name", r"\.json$", "")
-    return docs.withColumn("transcript_id", name)
+    return docs.withColumn("transcript_id", F.col(id_field) if id_field else name)
 
 
-def read_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_transcripts(
+    spark: SparkSession, path: str, multi_line: bool = True, id_field: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``transcripts`` and ``segments`` of a folder with one JSON document per file.
 
-    The file name is the id. Missing values get tolerant defaults.
+    The file name is the id. With ``multi_line=False`` files hold one document per line
+    and ``id_field`` names the field that identifies it. Missing values get defaults.
     """
-    docs = _documents(spark, path, TRANSCRIPT, multi_line)
+    docs = _documents(spark, path, TRANSCRIPT, multi_line, id_field)
     transcripts = docs.select(
         "transcript_id",
         F.coalesce("language", F.lit("en")).alias("language"),
@@ -50,8 +53,9 @@ def read_transcripts(spark: SparkSession, path: str, multi_line: bool = True) ->
         "array<struct<start:double,end:double,text:string,prob:double,emphasis:boolean>>")), lambda w: F.struct(
         to_ms(w["start"]).alias("start_ms"), to_ms(w["end"]).alias("end_ms"), w["text"].alias("text"),
         F.coalesce(w["prob"], F.lit(1.0)).alias("prob")))
-    segments = docs.select("transcript_id", F.posexplode("segments").alias("seg_idx", "s")).select(
-        "transcript_id", F.col("seg_idx").cast("bigint").alias("seg_idx"),
+    language = F.coalesce("language", F.lit("en")).alias("language")
+    segments = docs.select("transcript_id", language, F.posexplode("segments").alias("seg_idx", "s")).select(
+        "transcript_id", "language", F.col("seg_idx").cast("bigint").alias("seg_idx"),
         to_ms(F.col("s.start")).alias("start_ms"), to_ms(F.col("s.end")).alias("end_ms"),
         F.coalesce("s.text", F.lit("")).alias("text"), words.alias("words"),
         F.coalesce("s.avg_logprob", F.lit(0.0)).alias("avg_logprob"),
@@ -84,9 +88,11 @@ def token_segments(docs: DataFrame) -> DataFrame:
     )
 
 
-def read_token_json(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_token_json(
+    spark: SparkSession, path: str, multi_line: bool = True, id_field: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``transcripts`` and ``segments`` of recogniser token JSON (offsets in ms)."""
-    docs = _documents(spark, path, TOKENS, multi_line)
+    docs = _documents(spark, path, TOKENS, multi_line, id_field)
     language = F.coalesce(F.nullif(F.col("result.language"), F.lit("")), F.lit("en"))
     spoken = F.exists("transcription", lambda s: F.size(spoken_words(s["tokens"])) > 0)
     transcripts = docs.select(
