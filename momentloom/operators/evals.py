@@ -181,7 +181,8 @@ def validated(obj: Column) -> Column:
     number = F.when(_kind(v) == "BOOLEAN", _field(obj, "score", "boolean").cast("double")).otherwise(
         tx.strip(_field(obj, "score", "string")).try_cast("double")
     )
-    number = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), number)), F.lit(50.0))
+    # greatest and least pass over nulls, so the default comes first
+    number = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(number, F.lit(50.0))))
     category = F.lower(_string(obj, "category"))
     first = _field(obj, "emphasis_words", "array<variant>")
     listed = F.coalesce(F.when(F.size(first) > 0, first), _field(obj, "emphasisWords", "array<variant>"))

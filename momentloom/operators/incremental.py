@@ -83,7 +83,8 @@ def apply_clip_edits(clips: DataFrame, edits: DataFrame, clip_id: str = "clip_id
 
     last = edits.groupBy(clip_id).agg(*[latest(c) for c in fields])
     df = clips.join(last, clip_id, "left").withColumns({
-        "start_ms": F.coalesce(F.greatest(F.lit(0), F.col("_e_start_ms")), F.col("start_ms")).cast("bigint"),
+        "start_ms": F.when(F.col("_e_start_ms").isNull(), F.col("start_ms"))
+        .otherwise(F.greatest(F.lit(0), F.col("_e_start_ms"))).cast("bigint"),
         "end_ms": F.coalesce("_e_end_ms", "end_ms"),
         "hook": F.coalesce(F.substring("_e_hook", 1, 120), F.col("hook")),
         "opening_text": F.coalesce(F.substring("_e_opening_text", 1, 80), F.col("opening_text")),

@@ -159,7 +159,8 @@ def plan_crop(
     length = F.greatest(F.lit(200), F.col("end_ms") - F.col("start_ms"))
     moving = decimate_changes(F.transform("_left", clamp), step_ms, length)
     fixed = F.coalesce(
-        F.col("x").cast("double"), F.rint(clamp(F.col("_lock") - half)), F.rint(free / 2)
+        F.col("x").cast("double"),
+        F.when(F.col("_lock").isNotNull(), F.rint(clamp(F.col("_lock") - half))), F.rint(free / 2),
     ).cast("bigint")
     still = F.array(F.struct(F.lit(0).cast("bigint").alias("t_ms"), fixed.alias("x")))
     static = F.col("_left").isNull()

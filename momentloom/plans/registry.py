@@ -674,29 +674,30 @@ def responses(spark, sf) -> DataFrame:
     return table(spark, sf, "labels").select("doc_id", raw.alias("raw"))
 
 
-@query("parse_eval_responses", """SELECT doc_id, doc_id % 6 < 5 AS is_valid, CASE WHEN doc_id % 6 < 5 THEN least(100, quality * 150)::INT END AS score,
-    CASE WHEN doc_id % 6 < 5 THEN 'Doc ' || doc_id END AS hook, CASE WHEN doc_id % 6 < 5 THEN toxic = 0 END AS self_contained,
+@query("parse_eval_responses", """SELECT doc_id, doc_id % 6 < 5 AS is_valid, CASE WHEN doc_id % 6 < 5 THEN least(100, quality * 150)::INT ELSE -1 END AS score,
+    CASE WHEN doc_id % 6 < 5 THEN 'Doc ' || doc_id END AS hook, doc_id % 6 < 5 AND toxic = 0 AS self_contained,
     CASE WHEN doc_id % 6 < 5 THEN 'insight' END AS category, CASE WHEN doc_id % 6 < 5 THEN 'w' || doc_id END AS emphasis FROM labels""")
 def parse_eval_responses(spark, sf):
     parsed = evals.parse_eval_responses(responses(spark, sf))
     valid = evals.validate_evals(parsed.where("parsed is not null").select("doc_id", "parsed"))
     typed = valid.select("doc_id", F.lit(True).alias("is_valid"), "score", "hook", "self_contained", "category",
                          F.array_join("emphasis_words", "|").alias("emphasis"))
-    rejects = parsed.where("parsed is null").select("doc_id", F.lit(False).alias("is_valid"))
+    rejects = parsed.where("parsed is null").select(
+        "doc_id", F.lit(False).alias("is_valid"), F.lit(-1).alias("score"), F.lit(False).alias("self_contained"))
     return typed.unionByName(rejects, allowMissingColumns=True)
 
 
 @query("merge_evals", o.cte(
     ("src", """SELECT d.doc_id, d.source, l.quality, l.toxic, l.doc_id IS NOT NULL AND d.doc_id % 6 < 5 AS hit FROM documents d LEFT JOIN labels l USING (doc_id)"""),
 ) + """ SELECT doc_id, CASE WHEN hit THEN 'Doc ' || doc_id ELSE 'old ' || source END AS hook, CASE WHEN hit THEN toxic = 0 ELSE true END AS self_contained,
-    CASE WHEN hit THEN least(100, quality * 150)::INT END AS eval_score, hit AS llm_used, CASE WHEN hit THEN 'w' || doc_id ELSE 'none' END AS emphasis FROM src""")
+    CASE WHEN hit THEN least(100, quality * 150)::INT ELSE -1 END AS eval_score, hit AS llm_used, CASE WHEN hit THEN 'w' || doc_id ELSE 'none' END AS emphasis FROM src""")
 def merge_evals(spark, sf):
     parsed = evals.parse_eval_responses(responses(spark, sf)).where("parsed is not null")
     valid = evals.validate_evals(parsed.select("doc_id", "parsed"))
     cands = table(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit("old "), F.col("source")).alias("hook"), F.array(F.lit("none")).alias("emphasis_words"))
     out = evals.merge_evals(cands, valid, ["doc_id"])
-    return out.select("doc_id", "hook", "self_contained", "eval_score", "llm_used", F.array_join("emphasis_words", "|").alias("emphasis"))
+    return out.select("doc_id", "hook", "self_contained", F.coalesce("eval_score", F.lit(-1)).alias("eval_score"), "llm_used", F.array_join("emphasis_words", "|").alias("emphasis"))
 
 
 # ------------------------------------------------------ keyed table changes
@@ -772,7 +773,7 @@ def skip_unchanged(spark, sf):
     ("edit", "SELECT l_orderkey AS clip_id, l_linenumber AS edit_ts, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey - 50 END AS s, CASE WHEN l_linenumber % 3 = 0 THEN l_partkey + 30000 END AS e, l_shipdate::DATE::VARCHAR AS h FROM lineitem"),
     ("uq", "SELECT clip_id, edit_ts, max(s) AS s, max(e) AS e, max(h) AS h FROM edit GROUP BY ALL"),
     ("latest", "SELECT clip_id, arg_max(s, edit_ts) FILTER (WHERE s IS NOT NULL) AS s, arg_max(e, edit_ts) FILTER (WHERE e IS NOT NULL) AS e, arg_max(h, edit_ts) AS h FROM uq GROUP BY ALL"),
-    ("done", "SELECT clip_id, coalesce(greatest(0, l.s), start_ms) AS start_ms, coalesce(l.e, end_ms) AS end_ms, coalesce(l.h, hook) AS hook FROM clip LEFT JOIN latest l USING (clip_id)"),
+    ("done", "SELECT clip_id, CASE WHEN l.s IS NULL THEN start_ms ELSE greatest(0, l.s) END AS start_ms, coalesce(l.e, end_ms) AS end_ms, coalesce(l.h, hook) AS hook FROM clip LEFT JOIN latest l USING (clip_id)"),
 ) + " SELECT *, end_ms - start_ms AS duration_ms FROM done")
 def apply_clip_edits(spark, sf):
     clips = table(spark, sf, "orders").select(
@@ -801,14 +802,14 @@ def list_projects(spark, sf):
     return out.select("c_custkey", "c_acctbal", "n_name", "n_clips")
 
 
-@query("project_detail", o.cte(*CHOSEN_SQL) + """ SELECT d.doc_id, d.lang, l.quality, count(b.clip_id) AS n_clips,
+@query("project_detail", o.cte(*CHOSEN_SQL) + """ SELECT d.doc_id, d.lang, coalesce(l.quality, -1) AS quality, count(b.clip_id) AS n_clips,
     coalesce(string_agg(b.clip_id, '|' ORDER BY b.index), '') AS clip_ids
     FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN best b ON b.transcript_id = d.doc_id GROUP BY ALL""")
 def project_detail(spark, sf):
     docs = table(spark, sf, "documents")
     clips = chosen(spark, sf)[3].select(F.col("transcript_id").alias("doc_id"), "index", "clip_id", "score_overall")
     out = catalog.project_detail(docs.select("doc_id", "lang"), table(spark, sf, "labels"), docs.select("doc_id", "source"), clips, key="doc_id")
-    return out.select("doc_id", "lang", F.col("video.quality").alias("quality"), F.size("clips").cast("bigint").alias("n_clips"),
+    return out.select("doc_id", "lang", F.coalesce("video.quality", F.lit(-1)).alias("quality"), F.size("clips").cast("bigint").alias("n_clips"),
                       F.array_join(F.transform("clips", lambda c: c["clip_id"]), "|").alias("clip_ids"))
 
 
@@ -858,10 +859,10 @@ def coverage_warnings(spark, sf):
 # ------------------------------------------------------- sources and sinks
 
 @query("parse_media_probe", """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'no video stream' WHEN p_size % 7 = 0 THEN 'missing duration or dimensions' ELSE '' END AS reject_reason,
-    CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN NULL ELSE (CASE WHEN p_size % 2 = 0 THEN 1080 ELSE 1000 + p_size END)::INT END AS width,
-    CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN NULL ELSE (CASE WHEN p_size % 2 = 0 THEN 1000 + p_size ELSE 1080 END)::INT END AS height,
-    CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN NULL ELSE p_partkey * 1000 + 500 END AS duration_ms,
-    CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN NULL ELSE (CASE WHEN p_size % 3 = 0 THEN 30.0 ELSE 29.97 END)::DOUBLE END AS fps FROM part""")
+    CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN -1 ELSE (CASE WHEN p_size % 2 = 0 THEN 1080 ELSE 1000 + p_size END)::INT END AS width,
+    CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN -1 ELSE (CASE WHEN p_size % 2 = 0 THEN 1000 + p_size ELSE 1080 END)::INT END AS height,
+    CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN -1 ELSE p_partkey * 1000 + 500 END AS duration_ms,
+    CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN -1 ELSE (CASE WHEN p_size % 3 = 0 THEN 30.0 ELSE 29.97 END)::DOUBLE END AS fps FROM part""")
 def parse_media_probe(spark, sf):
     size = F.col("p_size")
     video = F.format_string(
@@ -873,7 +874,8 @@ def parse_media_probe(spark, sf):
         F.when(size % 5 == 0, "").otherwise(F.concat(F.lit(", "), video)))
     good, bad = probe.parse_media_probe(table(spark, sf, "part").select("p_partkey", text.alias("json")))
     kept = good.select("p_partkey", F.lit("").alias("reject_reason"), "width", "height", "duration_ms", "fps")
-    return kept.unionByName(bad.select("p_partkey", "reject_reason"), allowMissingColumns=True)
+    none = {c: F.lit(-1).cast(t) for c, t in kept.dtypes[2:]}
+    return kept.unionByName(bad.select("p_partkey", "reject_reason").withColumns(none))
 
 
 @query("read_transcripts", """SELECT conv_id::VARCHAR AS conv, turn AS seg_idx, turn * 1500 AS start_ms, turn * 1500 + 1250 AS end_ms, text, 'en' AS language FROM conversations""")
@@ -946,14 +948,14 @@ def analysis_documents(spark, sf):
 # --------------------------------------------------------------- streaming
 
 def event_stream(spark, sf) -> DataFrame:
-    path = f"{sf}/events.parquet"
-    schema = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).schema
-    return spark.readStream.schema(schema).parquet(path)
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("stream_pause_blocks", o.cte(
     ("e", "SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events"),
-    ("b", f"SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= 1000 * {6 * HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM e"),
+    ("b", f"SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= 1000 * {6 * HOUR}::BIGINT THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM e"),
 ) + " SELECT user_id, count(*) AS n_rows, epoch_us(min(ts)) AS first_start, epoch_us(max(ts)) AS last_start FROM b GROUP BY user_id, g")
 def stream_blocks(spark, sf):
     stream = event_stream(spark, sf).withColumn("duration_ms", F.lit(0))
