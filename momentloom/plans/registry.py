@@ -50,8 +50,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.spread_small(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def doc_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.reading_clock(lines.lines_as_segments(table(spark, sf, "documents"), "doc_id"))
+    """Document lines on the reading clock, written once: every later step reads them
+    at least twice (rows, and the summary that is carried between chunks)."""
+    return stable(lines.reading_clock(lines.lines_as_segments(documents(spark, sf), "doc_id")))
 
 
 def doc_sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,8 +74,7 @@ def turn_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("annotate_documents", f"SELECT doc_id, {o.annotation('text', lx.DEFAULT)} FROM documents")
 def annotate_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return tx.annotate_text(docs).drop("text")
+    return tx.annotate_text(documents(spark, sf)).drop("text")
 
 
 @query("annotate_turns", f"""
@@ -83,14 +88,12 @@ def annotate_turns(spark, sf):
     ("parts", f"SELECT doc_id, {o.sentences('text')} AS a FROM documents"),
 ) + f" SELECT doc_id, {o.numbered('a', 'sentence', 'pos')} FROM parts")
 def explode_sentences(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return segment.explode_sentences(docs).withColumn("pos", F.col("pos").cast("bigint"))
+    return segment.explode_sentences(documents(spark, sf)).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("sentence_offsets")
 def sentence_offsets(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return segment.explode_sentences(docs, key=["doc_id"], offsets=True).withColumn("pos", F.col("pos").cast("bigint"))
+    return segment.explode_sentences(documents(spark, sf), key=["doc_id"], offsets=True).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 ORACLES["sentence_offsets"] = o.cte(
@@ -112,7 +115,7 @@ ORACLES["sentence_offsets"] = o.cte(
     ("placed", """SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(keyword) DESC, first_pos))::INT AS rank FROM counted"""),
 ) + " SELECT doc_id, rank, keyword, n FROM placed WHERE rank <= 6")
 def top_keywords(spark, sf):
-    return keywords.top_keywords(table(spark, sf, "documents"), "doc_id")
+    return keywords.top_keywords(documents(spark, sf), "doc_id")
 
 
 # ------------------------------------------------------------ segmentation
@@ -164,7 +167,7 @@ def preview(spark, sf):
 @query("topic_hint", o.cte(*o.LINES) + """ SELECT transcript_id, substr(string_agg(text, ' ' ORDER BY seg_idx), 1, 220) AS topic_hint
     FROM lines GROUP BY transcript_id""")
 def topic_hint(spark, sf):
-    return transcripts.topic_hint(lines.lines_as_segments(table(spark, sf, "documents"), "doc_id"))
+    return transcripts.topic_hint(lines.lines_as_segments(documents(spark, sf), "doc_id"))
 
 
 @query("transcript_text", o.cte(*o.TURNS) + """ SELECT transcript_id, string_agg(text, ' ' ORDER BY seg_idx) AS text
@@ -282,7 +285,7 @@ def score_turns(spark, sf):
         FROM scored"""), o.adjusted("blended"),
 ) + " SELECT doc_id, score_hook, score_overall, score_engagement FROM adjusted")
 def blend_scores(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf)
     docs = docs.join(table(spark, sf, "labels"), "doc_id", "left").withColumns({
         "eval_score": F.col("quality") * 100, "start_ms": F.lit(0), "end_ms": F.lit(40_000)})
     df = scores.length_adjust(scores.blend_scores(scores.score_candidates(docs, SAMPLE)))
@@ -404,7 +407,7 @@ def word_gaps(spark, sf):
         LEFT JOIN gaps g ON g.transcript_id = x.transcript_id AND abs(g.mid - x.t) <= 2500 GROUP BY ALL"""),
 ) + " SELECT transcript_id, seg_idx, t, CASE WHEN abs(g - t) < 1200 THEN g::BIGINT ELSE t END AS cut FROM near")
 def nearest_gap(spark, sf):
-    segs = stable(doc_segments(spark, sf))
+    segs = doc_segments(spark, sf)
     middle = F.floor((F.col("start_ms") + F.col("end_ms")) / 2).cast("bigint")
     gaps = boundaries.word_gaps(lines.even_words(segment.build_timed_sentences(segs)))
     return boundaries.nearest_gap(segs.select("transcript_id", "seg_idx", middle.alias("t")), gaps, "transcript_id", "t", "cut")
