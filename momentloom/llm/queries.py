@@ -6,17 +6,100 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from momentloom.llm.decontam import contaminated
+from momentloom.llm.exactdedup import exact_duplicates
+from momentloom.llm.langid import identify
+from momentloom.llm.linededup import deduplicate_lines
 from momentloom.llm.minhash import near_duplicates
+from momentloom.llm.mixing import mix
 from momentloom.llm.shared import table
+from momentloom.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_lines(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
+    "op3_language": op3_language,
+    "op5_exact_dedup": op5_exact_dedup,
     "op7_minhash": op7_minhash,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_toxicity": op10_toxicity,
+}
+
+_WHITE = r"[\x20\x09-\x0D]+"
+
+ORACLES: dict[str, str] = {
+    "op1_mixing": rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(doc_id::VARCHAR) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s),
+w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][k % 3 + 1] AS weight, [0.5::DOUBLE, -0.5, 0.0][k % 3 + 1] AS tilt, 2.0::DOUBLE * source_size AS lim FROM r),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+  / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY lim / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS level FROM w),
+f AS (SELECT min_by(level, (lim / weight, k)) AS final FROM l WHERE level * weight < lim),
+t AS (SELECT source, source_size, tilt, CASE WHEN final IS NULL THEN lim ELSE least(lim, final * weight) END AS target FROM l, f),
+p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.tilt, round(t.target)::BIGINT AS words,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS whole FROM p),
+u AS (SELECT *, least(greatest(words - whole * source_size - start, 0), size) AS part FROM q),
+v AS (SELECT *, whole * size + part AS taken, start::DOUBLE / nullif(target, 0) AS demand FROM u)
+SELECT doc_id, source, size, source_size, target, taken::BIGINT AS taken,
+  (CASE WHEN size > 0 THEN whole + CASE WHEN part > 0 THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS passes,
+  CASE WHEN taken > 0 THEN floor(CASE WHEN tilt = 0 THEN demand ELSE (sqrt((1.0::DOUBLE - tilt) * (1.0::DOUBLE - tilt) + 4.0::DOUBLE * tilt * demand) - (1.0::DOUBLE - tilt)) / (2.0::DOUBLE * tilt) END * 1000000)::BIGINT END AS position
+FROM v""",
+    "op5_exact_dedup": rf"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_WHITE}', ' ', 'g') AS norm FROM documents),
+g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
+SELECT d.doc_id, keep_id, group_size, d.doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)""",
+    "op7_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), i -> md5(array_to_string(words[i:i + 4], ' ')))
+  WHEN len(words) > 0 THEN [md5('short ' || array_to_string(words, ' '))] ELSE [] END) AS shingles FROM w),
+e AS (SELECT doc_id, unnest(shingles) AS x FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * n >= 75 * (len(sa.shingles) + len(sb.shingles) - n)),
+sym AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a AS node, a AS root FROM sym UNION SELECT sym.b, reach.root FROM reach JOIN sym ON sym.a = reach.node),
+c AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+FROM s LEFT JOIN c ON c.node = doc_id""",
+    "op9_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM d),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT k.*, r.first_doc IS NOT NULL AND r.first_doc <> k.doc_id AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
 }
-ORACLES: dict[str, str] = {}

@@ -95,23 +95,24 @@ def fit(x: np.ndarray, y: np.ndarray, first: np.ndarray, second: np.ndarray, fai
     """Weights and bias. ``x`` are 0/1 rows with labels ``y``; ``first`` and ``second`` are the pairs
     whose scores should agree. Accelerated gradient descent with a fixed number of steps."""
     n, d = x.shape
-    w = np.zeros(d + 1)
+    w = np.zeros(d + 1, dtype=np.float32)
     v, last = w.copy(), w.copy()
     ones = np.ones((n, 1), dtype=np.float32)
     x = np.hstack([x, ones])
     first, second = (np.hstack([p, np.ones((len(p), 1), dtype=np.float32)]) for p in (first, second))
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    rate = 4.0 / max(1.0, (x.sum(axis=1)).mean())
+    balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    y = y.astype(np.float32)
+    rate = np.float32(4.0 / max(1.0, x.sum(axis=1).mean()))
     for step in range(1, STEPS + 1):
         p = _sigmoid(x @ v)
-        grad = x.T @ (balance * (p - y)) / n + L2 * np.append(v[:-1], 0.0)
+        grad = x.T @ (balance * (p - y)) / np.float32(n) + np.float32(L2) * np.append(v[:-1], np.float32(0))
         if len(first):
             a, b = _sigmoid(first @ v), _sigmoid(second @ v)
-            gap = 2 * fairness * (a - b) / len(first)
+            gap = np.float32(2 * fairness / len(first)) * (a - b)
             grad += first.T @ (gap * a * (1 - a)) - second.T @ (gap * b * (1 - b))
         w = v - rate * grad
-        v = w + (step - 1) / (step + 2) * (w - last)
+        v = w + np.float32((step - 1) / (step + 2)) * (w - last)
         last = w
     return w[:-1], float(w[-1])
 
