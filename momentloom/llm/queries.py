@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from momentloom.llm.decontam import contaminated
 from momentloom.llm.exactdedup import exact_duplicates
+from momentloom.llm.htmltext import extract
 from momentloom.llm.langid import identify
 from momentloom.llm.linededup import deduplicate_lines
 from momentloom.llm.minhash import near_duplicates
 from momentloom.llm.mixing import mix
+from momentloom.llm.pii import sanitise
 from momentloom.llm.shared import table
 from momentloom.llm.toxicity import toxicity
+from momentloom.llm.warc import archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,14 +33,26 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_lines(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
@@ -50,8 +65,11 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
+    "op4_html": op4_html,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_pii": op6_pii,
     "op7_minhash": op7_minhash,
+    "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
@@ -84,7 +102,7 @@ g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP B
 SELECT d.doc_id, keep_id, group_size, d.doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)""",
     "op7_minhash": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), i -> md5(array_to_string(words[i:i + 4], ' ')))
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: md5(array_to_string(words[i:i + 4], ' ')))
   WHEN len(words) > 0 THEN [md5('short ' || array_to_string(words, ' '))] ELSE [] END) AS shingles FROM w),
 e AS (SELECT doc_id, unnest(shingles) AS x FROM s),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
