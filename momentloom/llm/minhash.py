@@ -180,6 +180,9 @@ def _near_sketches(percent: int):
             if len(other):
                 same = (part["sketch"][other] == part["sketch"][i]).mean(axis=1)
                 other = other[(same - 1 / 256) / (255 / 256) >= SKETCH_FLOOR]
+                # A pair that meets in several buckets is reported in the first one only.
+                shared = part["bands"][i][(part["bands"][other] == part["bands"][i]).argmax(axis=1)]
+                other = other[shared == part["bucket"][i]]
                 a_out.append(np.full(len(other), part["node"][i]))
                 b_out.append(part["node"][other])
         if not a_out:
@@ -193,7 +196,8 @@ def _near_sketches(percent: int):
             keys = np.stack([rest[c].to_numpy() for c in ("bucket", "i", "j")])
             cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             edges = np.concatenate([[0], cut, [len(rest)] if last and len(rest) else []]).astype(int)
-            columns = {c: rest[c].to_numpy() for c in ("node", "root", "n", "side")}
+            columns = {c: rest[c].to_numpy() for c in ("bucket", "node", "root", "n", "side")}
+            columns["bands"] = rest["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             sketch = np.frombuffer(b"".join(rest["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
             found_a, found_b = [], []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -233,9 +237,9 @@ def _open_pairs(members: DataFrame, sketches: DataFrame, roots: DataFrame, perce
     rows = rows.select("*", other.alias("other")).select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-        "node", "root", "n", "sketch")
+        "node", "root", "n", "sketch", "bands")
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "node")
-    return dealt.mapInArrow(_near_sketches(percent), "a long, b long").distinct()
+    return dealt.mapInArrow(_near_sketches(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -255,7 +259,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = stable(full_sets(docs, members.select("node").distinct()))
     links = stable(confirm(_hub_pairs(members, percent), sets, percent))
     roots = stable(components(links))
-    more = confirm(stable(_open_pairs(members, classes.select("node", "sketch"), roots, percent)), sets, percent)
+    more = confirm(stable(_open_pairs(members, classes.select("node", "sketch", "bands"), roots, percent)), sets, percent)
     final = stable(components(links.unionByName(more)))
     named = classes.select("set_key", "node").join(final, "node", "left").select(
         "set_key", F.coalesce("root", "node").alias("root"))
