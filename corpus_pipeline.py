@@ -30,7 +30,7 @@ def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Without the documents that the classifier calls toxic."""
     docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("_score < 0.5").drop("_score")
+    return toxicity.score(docs, model).where("score < 0.5").drop("score")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from momentloom.llm.shared import ship
+from momentloom.llm.shared import free_name, ship
 
 K1, B = 1.2, 0.75
 RETRIEVE, OVERLAP, PART = 0.5, 0.75, 0.5
@@ -194,7 +194,7 @@ _FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), (
                              ("answer_overlap", pa.float64()), ("word", pa.int64())]))
 
 
-def _search(shared):
+def _search(shared, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
@@ -204,16 +204,16 @@ def _search(shared):
                 hits = index.find(tokens(text.as_py()))
                 found.append([{"item_id": index.items[k].item_id, "score": s, "question_overlap": q, "answer_overlap": a, "word": w}
                               for k, (s, q, a, w) in sorted(hits.items())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _FOUND)], names=[*batch.schema.names, "_found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _FOUND)], names=[*batch.schema.names, out])
 
     return run
 
 
-def search(docs: DataFrame, index: ItemIndex) -> DataFrame:
-    """``docs`` with the column ``_found``: the items confirmed in ``text``; all other columns stay."""
+def search(docs: DataFrame, index: ItemIndex, out: str) -> DataFrame:
+    """``docs`` with the column ``out``: the items confirmed in ``text``; all other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_found", T._parse_datatype_string(FOUND))])
-    return ship(docs).mapInArrow(_search(shared), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StructType.fromDDL(f"f {FOUND}")["f"].dataType)])
+    return ship(docs).mapInArrow(_search(shared, out), schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -222,7 +222,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
     for index in build_indexes(benchmark, shard_items):
-        hits = search(rows, index).select("doc_id", F.explode("_found").alias("f")).select("doc_id", "f.*").drop("word")
+        hits = search(rows, index, "found").select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*").drop("word")
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
@@ -232,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD
 
 def clean(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """``docs`` without the rows in whose ``text`` an item is confirmed. All columns stay."""
-    kept = docs
+    kept, found = docs, free_name(docs, "found")
     for index in build_indexes(benchmark, shard_items):
-        kept = search(kept, index).where(F.size("_found") == 0).drop("_found")
+        kept = search(kept, index, found).where(F.size(found) == 0).drop(found)
     return kept

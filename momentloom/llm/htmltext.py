@@ -36,6 +36,8 @@ BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary "
     "table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LOOSE_TAGS = HEADINGS | frozenset("p pre blockquote figcaption dd dt".split())
+TEXT_TAGS = LOOSE_TAGS | frozenset("li td th".split())
 OUT_TAGS = frozenset("nav aside footer form head menu dialog search".split()) | RAW
 P_ENDS = BLOCKS - {"br", "body", "html", "head", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend"}
 SELF_NESTING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
@@ -105,17 +107,18 @@ def _step(name: str, attributes: str) -> tuple[str, bool]:
     return label, out
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
-    """``(path, text, out)`` of every block with text, in page order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, label, out, inside an article
-    found: list[tuple[tuple[str, ...], str, bool]] = []
+def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, bool]]:
+    """``(path, elements, text, out)`` of every block with text, in page order. ``elements`` numbers the
+    elements of the path, so that two of the same name differ."""
+    stack: list[tuple[str, str, bool, bool, int]] = []  # name, label, out, inside an article, number
+    found: list[tuple[tuple[str, ...], tuple[int, ...], str, bool]] = []
     parts: list[str] = []
-    place: list[tuple[tuple[str, ...], bool]] = []  # path of the open block and whether it is out
+    place: list[tuple[tuple[str, ...], tuple[int, ...], bool]] = []  # where the open block is and whether it is out
 
     def flush() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text and place:
-            found.append((place[0][0], text, place[0][1]))
+            found.append((*place[0][:2], text, place[0][2]))
         parts.clear()
         place.clear()
 
@@ -126,15 +129,17 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
                 break
         del stack[upto:]
 
+    number = 0
     for kind, name, attributes in _steps(page):
         if kind == "text":
             out = bool(stack) and stack[-1][2]
-            if place and place[0][1] and not out and name.strip():
+            if place and place[0][2] and not out and name.strip():
                 flush()
             if not place and name.strip():
-                place.append((tuple(label for tag, label, _, _ in stack if tag in BLOCKS or tag in OUT_TAGS), out))
+                held = [x for x in stack if x[0] in BLOCKS or x[0] in OUT_TAGS]
+                place.append((tuple(x[1] for x in held), tuple(x[4] for x in held), out))
             # An advert inside a paragraph is no part of it.
-            parts.append(" " if place and out and not place[0][1] else name)
+            parts.append(" " if place and out and not place[0][2] else name)
         elif kind == "open":
             if name in BLOCKS:
                 flush()
@@ -154,12 +159,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
                     if stack[i][0] in SELF_NESTING[name]:
                         break
             if name not in VOID:
-                above = stack[-1] if stack else ("", "", False, False)
+                number += 1
+                above = stack[-1] if stack else ("", "", False, False, 0)
                 label, out = _step(name, attributes)
                 article = above[3] or name in ("article", "main")
                 if name == "header" and not article:
                     out = True
-                stack.append((name, label, above[2] or out, article))
+                stack.append((name, label, above[2] or out, article, number))
         else:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -204,27 +210,31 @@ def content_paths(nodes: list[tuple[tuple[str, ...], str]]) -> set[tuple[str, ..
     return {p for p, f in zip(paths, fused, strict=True) if f >= THRESHOLD * mean}
 
 
+def _tag(path: tuple[str, ...]) -> str:
+    return path[-1].split(".")[0] if path else ""
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the article, one per line."""
-    nodes = [(path, text) for path, text, out in blocks(page or "") if not out]
+    nodes = [node[:3] for node in blocks(page or "") if not node[3]]
     if not nodes:
         return ""
-    inside = [(p, t) for p, t in nodes if any(s.split(".")[0] in ("article", "main") for s in p)]
+    inside = [node for node in nodes if any(s.split(".")[0] in ("article", "main") for s in node[0])]
     nodes = inside or nodes
-    chosen = content_paths(nodes)
-    # The container: the longest path that holds most of the chosen text.
-    held: dict[tuple[str, ...], int] = defaultdict(int)
+    chosen = content_paths([(path, text) for path, _, text in nodes])
+    # The container: the innermost element that holds nearly all of the chosen text.
+    held: dict[tuple[int, ...], int] = defaultdict(int)
     total = 0
-    for path, text in nodes:
+    for path, elements, text in nodes:
         if path in chosen:
             total += len(text)
-            for k in range(len(path) + 1):
-                held[path[:k]] += len(text)
+            upto = len(path) - (_tag(path) in TEXT_TAGS)
+            for k in range(upto + 1):
+                held[elements[:k]] += len(text)
     container = max((p for p, n in held.items() if 10 * n >= 9 * total), key=len, default=())
-    while container and (container[-1].split(".")[0] in HEADINGS or container[-1].split(".")[0] in ("p", "li", "blockquote", "td", "pre")):
-        container = container[:-1]
-    kept = [text for path, text in nodes if path in chosen or container and path[: len(container)] == container]
-    return "\n".join(kept)
+    return "\n".join(
+        text for path, elements, text in nodes
+        if elements[: len(container)] == container and (inside or path in chosen or _tag(path) in LOOSE_TAGS))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

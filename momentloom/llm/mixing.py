@@ -96,11 +96,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, tilts: Sequence[flo
         "doc_id", docs_["source"], "size", "hash", docs_["slot"], "slot_start", "source_size", "target", "tilt")
     placed = placed.withColumn("start", F.col("slot_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     words = F.round("target").cast("long")
-    whole = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.try_divide(words, F.col("source_size")))).otherwise(0).cast("long")
     rest = words - whole * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("start"), F.lit(0)), F.col("size"))
     taken = whole * F.col("size") + part
-    demand = F.col("start").cast("double") / F.col("target")
+    demand = F.try_divide(F.col("start").cast("double"), F.col("target"))
     position = F.when(taken > 0, F.floor(training_time(demand, F.col("tilt")) * TICKS).cast("long"))
     out = placed.select(
         "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),

@@ -224,7 +224,8 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bloom.bits.tobytes())
     counts = docs.select("text").mapInArrow(_term_counts(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     n = docs.count()
-    share = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(float(n)) / F.col("n_entity"))
+    share = F.try_divide(F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))),
+                         F.log2(F.lit(float(n)) / F.col("n_entity")))
     met = wide.join(entities, "entity").join(counts, "term").where(F.col("n_entity") < n)
     return met.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 

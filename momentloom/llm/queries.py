@@ -102,8 +102,8 @@ g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP B
 SELECT d.doc_id, keep_id, group_size, d.doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)""",
     "op7_minhash": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: md5(array_to_string(words[i:i + 4], ' ')))
-  WHEN len(words) > 0 THEN [md5('short ' || array_to_string(words, ' '))] ELSE [] END) AS shingles FROM w),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: hash(array_to_string(words[i:i + 4], ' ')))
+  WHEN len(words) > 0 THEN [hash('short ' || array_to_string(words, ' '))] ELSE [] END) AS shingles FROM w),
 e AS (SELECT doc_id, unnest(shingles) AS x FROM s),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM o JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * n >= 75 * (len(sa.shingles) + len(sb.shingles) - n)),

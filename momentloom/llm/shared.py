@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from momentloom.plans.stable import shared_dir, stable
 
-__all__ = ["column", "distinct_rows", "fingerprint", "folder", "is_held_out", "shared_dir", "ship", "stable", "table"]
+__all__ = ["column", "distinct_rows", "fingerprint", "folder", "free_name", "is_held_out", "shared_dir", "ship", "stable", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def column(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def is_held_out(doc_id: str = "doc_id") -> Column:
     """The fold that no model learns from; a null id is never in it."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

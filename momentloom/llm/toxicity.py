@@ -34,7 +34,7 @@ from momentloom.llm.shared import is_held_out, ship, stable
 
 SAMPLE_DOCS, MAX_FEATURES = 10_000, 1024
 MIN_Z, MIN_DOCS = 5.0, 4
-FAIRNESS, L2, STEPS = 4.0, 1e-4, 300
+FAIRNESS, L2, STEPS = 8.0, 1e-4, 400
 PREFIXES = (4, 5, 6)
 # Groups named by one word each; swapping exchanges words of one row.
 IDENTITY_TERMS = (
@@ -91,6 +91,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -50, 50)))
 
 
+def _largest(x: np.ndarray) -> float:
+    """The largest eigenvalue of ``x.T @ x / len(x)``, by power iteration, a little above."""
+    v = np.ones(x.shape[1], dtype=np.float32)
+    size = 1.0
+    for _ in range(12):
+        v = x.T @ (x @ (v / np.float32(size))) / np.float32(len(x))
+        size = float(np.linalg.norm(v)) or 1.0
+    return 1.05 * size
+
+
 def fit(x: np.ndarray, y: np.ndarray, first: np.ndarray, second: np.ndarray, fairness: float = FAIRNESS) -> tuple[np.ndarray, float]:
     """Weights and bias. ``x`` are 0/1 rows with labels ``y``; ``first`` and ``second`` are the pairs
     whose scores should agree. Accelerated gradient descent with a fixed number of steps."""
@@ -103,7 +113,11 @@ def fit(x: np.ndarray, y: np.ndarray, first: np.ndarray, second: np.ndarray, fai
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     y = y.astype(np.float32)
-    rate = np.float32(4.0 / max(1.0, x.sum(axis=1).mean()))
+    # One over a bound of the curvature.
+    curve = 0.25 * balance.max() * _largest(x) + L2
+    if len(first):
+        curve += fairness * _largest(np.vstack([first, second]))
+    rate = np.float32(1.0 / curve)
     for step in range(1, STEPS + 1):
         p = _sigmoid(x @ v)
         grad = x.T @ (balance * (p - y)) / np.float32(n) + np.float32(L2) * np.append(v[:-1], np.float32(0))
@@ -147,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, terms: Sequence[Sequence[str]] = I
     counts = seen.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(
         F.sum("toxic").alias("c1"), F.count(F.lit(1)).alias("c"))
     p = F.col("c") / (n1 + n0)
-    z = (F.col("c1") / n1 - (F.col("c") - F.col("c1")) / n0) / F.sqrt(p * (1 - p) * (1.0 / n1 + 1.0 / n0))
+    # A feature of every text separates nothing: its spread is 0 and z is null.
+    z = F.try_divide(F.col("c1") / n1 - (F.col("c") - F.col("c1")) / n0, F.sqrt(p * (1 - p) * (1.0 / n1 + 1.0 / n0)))
     kept = counts.where(F.col("c") >= MIN_DOCS).withColumn("z", z).where(F.abs("z") >= MIN_Z)
     named = sorted({w for row in terms for w in row})
     vocabulary = [r[0] for r in kept.orderBy(F.abs("z").desc(), "f").limit(MAX_FEATURES).select("f").collect()]
@@ -170,24 +185,24 @@ def train(docs: DataFrame, labels: DataFrame, terms: Sequence[Sequence[str]] = I
     return Model({f: float(w) for f, w in zip(vocabulary, weights, strict=True) if w}, bias)
 
 
-def _score(model: Model):
+def _score(model: Model, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             scores = pa.array([model.score(t.as_py()) for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, out])
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the column ``_score`` from ``text``; all other columns stay."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return ship(docs).mapInArrow(_score(model), schema)
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """``docs`` with the column ``out``, the score of ``text``; all other columns stay."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
+    return ship(docs).mapInArrow(_score(model, out), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs(doc_id, text)``."""
     model = train(docs, labels)
     scored = score(docs.select(F.col("doc_id").cast("long"), is_held_out().alias("held_out"), "text"), model)
-    return scored.select("doc_id", "held_out", F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

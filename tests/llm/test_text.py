@@ -1,0 +1,183 @@
+"""Language, personal data and toxicity."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from momentloom.llm import langid, pii, toxicity
+
+DOCS = "doc_id long, text string, lang string, held_out string, row string, toxic string, _score string"
+SOUNDS = {"aa": ["ka", "ko", "ri", "mu", "ta"], "bb": ["sch", "ung", "ein", "pf", "er"], "cc": ["ção", "lh", "ãe", "os", "que"]}
+
+
+def frame(spark, rows, lang=None):
+    return spark.createDataFrame([(r[0], r[1], r[2] if len(r) > 2 else lang, "h", "r", "t", "s") for r in rows], DOCS)
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
+def speech(rng, lang, n):
+    return " ".join("".join(rng.choice(SOUNDS[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+def test_language_on_the_held_out_fold(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(300):
+        lang = rng.choice(list(SOUNDS))
+        rows.append((i, speech(rng, lang, rng.choice([4, 40, 400])), None if i % 11 == 0 else lang))
+    truth = {i: next(k for k in SOUNDS if t.split()[0][:2] in {s[:2] for s in SOUNDS[k]}) for i, t, _ in rows}
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "123 --- !!", "cc"), (903, "KAKORI muta " * 4000, None), (None, "kakorimu", None)]
+    got = {r["doc_id"]: r for r in langid.identify(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    fold = [i for i in range(300) if held(i)]
+    assert all(got[i]["held_out"] for i in fold) and not got[None]["held_out"]
+    assert sum(got[i]["lang_pred"] == truth[i] for i in fold) >= 0.97 * len(fold)
+    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3
+    assert got[903]["lang_pred"] == "aa" and all(0 <= r["score"] <= 1 for r in got.values())
+    swapped = [(i, t, "aa" if held(i) else lang) for i, t, lang in rows if i is not None]
+    again = {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame(spark, swapped)).collect()}
+    assert again == {i: r["lang_pred"] for i, r in got.items() if i is not None}
+
+
+def test_language_rejects_narrow_margins(spark):
+    tools = langid._compressors({"x": b"one two three four " * 40, "y": b"one two three four " * 40})
+    assert langid.classify("one two three", tools)[2]
+    assert langid.identify(frame(spark, [])).count() == 0
+    assert [r["lang_pred"] for r in langid.identify(frame(spark, [(1, "abc")])).collect()] == ["und"]
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and max(int(p) for p in m[0].split(".")) > 255:
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            if kind == "card":
+                total = sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(digits)))
+                if not 12 <= len(digits) <= 19 or total % 10:
+                    continue
+            out.append((m.start(), k, m.end(), kind))
+    return [f"{kind}:{s}:{e}" for s, _, e, kind in sorted(out)]
+
+
+def test_base_spans_match_the_patterns(spark):
+    rng = random.Random(6)
+    bits = ["a@b.c", "x.y+z@mail-1.example.com", "@", "a@b", "a@b@c.de", "1.2.3.4", "1.2.3.4.5", "300.1.1.1", "4111 1111 1111 1111",
+            "4111-1111-1111-1112", "4111111111111111", "+1 (743) 555-3824", "+49 30 1234567", "+1", "é", " ", "\n", "07", "0000.0.0.1", ".", "-", "+", "word"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(0, 25)))) for i in range(400)]
+    rows += [(900, None), (901, ""), (902, "1" * 50_000), (903, "a." * 20_000 + "@x.y")]
+    got = {r["doc_id"]: r for r in pii.sanitise(frame(spark, rows)).collect()}
+    for i, t in rows:
+        want = brute_spans(t or "")
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), (i, t)
+        assert [got[i][f"n_{k}"] for k in PATTERNS] == [sum(w.startswith(k) for w in want) for k in PATTERNS]
+        assert [s for s in got[i]["spans"].split(",") if s and not s.startswith("term")] == want
+    assert pii.sanitise(frame(spark, [])).count() == 0
+
+
+def test_terms_that_disclose(spark):
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(40)]
+    say = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows = [(i, say(30)) for i in range(60)]
+    for i in range(60, 66):  # Zebrafish stands next to one address only, and nowhere else
+        rows.append((i, f"{say(10)} Zebrafish {say(2)} who@secret.example {say(10)}"))
+    got = {r["doc_id"]: r for r in pii.sanitise(frame(spark, rows)).collect()}
+    for i, t in rows:
+        at = t.find("Zebrafish")
+        terms = [s for s in got[i]["spans"].split(",") if s.startswith("term")]
+        assert terms == ([f"term:{at}:{at + 9}"] if at >= 0 else [])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, rows)).collect()}
+    assert clean[0] == rows[0][1] and "Zebrafish" not in clean[60] and "[EMAIL]" in clean[60]
+    # Of two in three documents of the term the entity is missing: it discloses less, and stays.
+    more = rows + [(100 + i, f"zebrafish {say(8)}") for i in range(12)]
+    assert all(r["n_terms"] == 0 for r in pii.sanitise(frame(spark, more)).collect())
+
+
+def test_bloom_has_no_false_negatives():
+    import numpy as np
+    keys = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 5000)
+    bloom = pii.Bloom()
+    bloom.add(keys)
+    assert bloom.has(keys).all() and bloom.has(keys + 1).mean() < 0.01
+
+
+def toxic_rows(n=400, seed=3):
+    rng = random.Random(seed)
+    words, vile = [f"w{i}" for i in range(300)], ["vilest", "rottenish", "scummy"]
+    rows, labels = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        text = [rng.choice(words) for _ in range(rng.randrange(5, 80))]
+        if bad:
+            text.insert(rng.randrange(len(text)), rng.choice(vile).upper())
+        rows.append((i, " ".join(text) + "!"))
+        labels.append((i, int(bad)))
+    return rows, labels
+
+
+def test_toxicity_on_the_held_out_fold(spark):
+    rows, labels = toxic_rows()
+    rows += [(900, None), (901, ""), (None, "scummy"), (902, "scummy " * 30_000)]
+    table = spark.createDataFrame([*labels, (5, None), (None, 1), (7, 9), (12345, 1), (8, 0)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(frame(spark, rows), table).collect()}
+    fold = [i for i, _ in labels if held(i)]
+    assert sum(got[i]["predicted"] == y for i, y in labels if held(i)) >= 0.97 * len(fold)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
+    assert got[900]["predicted"] == 0 and got[902]["predicted"] == 1 and got[None]["predicted"] == 1
+    turned = [(i, 1 - y if held(i) else y) for i, y in labels]
+    again = toxicity.toxicity(frame(spark, rows), spark.createDataFrame(turned, "doc_id long, toxic int")).collect()
+    assert {r["doc_id"]: round(r["score"], 6) for r in again} == {i: round(r["score"], 6) for i, r in got.items()}
+
+
+def test_toxicity_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [r["predicted"] for r in toxicity.toxicity(frame(spark, [(1, "x")]), none).collect()] == [0]
+    assert toxicity.toxicity(frame(spark, []), none).count() == 0
+
+
+def test_counterfactual_penalty_spares_neutral_mentions(spark, monkeypatch):
+    # Insults often name one group, which a plain model holds against the group itself.
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 2 == 0
+        text = [rng.choice(words) for _ in range(12)]
+        if bad:
+            text.append(rng.choice(["vile", "scummy"]) if i % 10 else "odd")
+        if rng.random() < (0.7 if bad else 0.1):
+            text.append("muslim")
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(bad)))
+    docs, table = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fair = toxicity.train(docs, table)
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: fit(*a, fairness=0.0))
+    plain = toxicity.train(docs, table)
+    total = lambda m, w: sum(m.weights.get(f, 0.0) for f in toxicity.features(w))
+    gap = lambda m: abs(total(m, "muslim") - total(m, "christian"))
+    assert gap(fair) < 0.5 * gap(plain)
+    assert fair.score("vile w1 w2") > 0.5 > fair.score("w1 w2 christian")
+
+
+def test_swapping():
+    swap = toxicity.swapper()
+    assert swap("Women and men") == "men and women" and swap("no group") is None and swap(None) is None
+    assert pytest.approx(toxicity.Model({"a": 2.0}, -1.0).score("A a b")) == 1 / (1 + 2.718281828459045**-1)
