@@ -16,20 +16,38 @@ def replace_by_key(base: DataFrame, delta: DataFrame, key: Keys) -> DataFrame:
     return base.join(keys, list(key), "left_anti").unionByName(delta.select(*base.columns))
 
 
-def upsert_by_key(base: DataFrame, delta: DataFrame, key: Keys) -> DataFrame:
+def last_per_key(df: DataFrame, key: Keys, order: str | None = None) -> DataFrame:
+    """One row per key: the last one by ``order``; without it the greatest of all columns.
+
+    Null orders come first. The winner is one aggregate with map-side combine.
+    """
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    place = F.struct(*([F.col(order).alias("_order")] if order else []), *rest)
+    top = df.groupBy(*key).agg(F.max(place).alias("_top"))
+    return top.select(*key, *[F.col("_top")[c].alias(c) for c in rest]).select(*df.columns)
+
+
+def upsert_by_key(base: DataFrame, delta: DataFrame, key: Keys, order: str | None = None) -> DataFrame:
     """Insert rows with a new key; overwrite whole rows on a known one.
 
-    ``delta`` has one row per key.
+    Of several rows of a key in ``delta``, the last by ``order`` counts.
     """
+    delta = last_per_key(delta, key, order)
     return base.join(delta.select(*key), list(key), "left_anti").unionByName(delta.select(*base.columns))
 
 
-def patch_by_key(base: DataFrame, delta: DataFrame, key: Keys, always: Sequence[str] = ("status",)) -> DataFrame:
+def patch_by_key(
+    base: DataFrame, delta: DataFrame, key: Keys, always: Sequence[str] = ("status",), order: str | None = None,
+) -> DataFrame:
     """Overwrite columns with the non-null values of ``delta``; ``always`` also with null.
 
-    Rows of ``base`` without a match stay; rows only in ``delta`` are ignored.
+    Rows of ``base`` without a match stay; rows only in ``delta`` are ignored. Of several
+    rows of a key in ``delta``, the last by ``order`` counts.
     """
-    changed = [c for c in delta.columns if c not in key]
+    delta = last_per_key(delta, key, order)
+    changed = [c for c in delta.columns if c not in key and c in base.columns]
     d = delta.select(*key, *[F.col(c).alias("_d_" + c) for c in changed], F.lit(True).alias("_hit"))
     joined = base.join(d, list(key), "left")
     hit = F.col("_hit").isNotNull()

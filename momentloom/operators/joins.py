@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentloom.functions.timefmt import div
-from momentloom.plans.ordered import after, before, chunk_carry
+from momentloom.plans.ordered import before, chunk_carry
+from momentloom.plans.stable import stable
 
 
 def in_buckets(df: DataFrame, start: Column, end: Column, width: int, first: str) -> DataFrame:
@@ -78,11 +79,16 @@ def around(
     line = asked.withColumn("_v", F.lit(None)).unionByName(facts.select(
         key, "_t", F.lit(False).alias("_ask"), F.struct(F.col("_t").alias("t"), "v").alias("_v")
     )).withColumn("_bucket", div(F.col("_t"), width))
+    # The summary and the scan both read the line, so it is made once.
+    line = stable(line)
+
+    # Frames only grow: looking ahead is looking back in the opposite order.
+    back_from = Window.partitionBy(key).orderBy(F.desc("_bucket"))
 
     def along(s: DataFrame, w) -> DataFrame:
         return s.withColumns({
             "_before": F.last("_last", ignorenulls=True).over(before(w)),
-            "_after": F.first("_first", ignorenulls=True).over(after(w)),
+            "_after": F.last("_first", ignorenulls=True).over(before(back_from)),
         })
 
     known = F.when(F.col("_v").isNotNull(), F.col("_t"))
@@ -90,13 +96,13 @@ def around(
         line, [key], "_bucket", {"_last": F.max_by("_v", known), "_first": F.min_by("_v", known)},
         along, ["_before", "_after"],
     )
-    w = Window.partitionBy(key, "_bucket").orderBy("_t")
-    past = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    future = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    w = Window.partitionBy(key, "_bucket")
+    past = w.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    future = w.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     line = line.select(
         key, F.col("_t").alias(t), "_ask",
         F.coalesce(F.last("_v", ignorenulls=True).over(past), F.col("_before")).alias("prev"),
-        F.coalesce(F.first("_v", ignorenulls=True).over(future), F.col("_after")).alias("next"),
+        F.coalesce(F.last("_v", ignorenulls=True).over(future), F.col("_after")).alias("next"),
     ).where("_ask").drop("_ask")
     return points.join(line, [key, t])
 

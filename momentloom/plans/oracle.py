@@ -395,7 +395,7 @@ def file_name(index: str, category: str, hook: str, top: str) -> str:
     other = slug(f"coalesce(nullif({category}, ''), 'clip')", 16)
     cat = f"(CASE lower(coalesce({category}, '')) {known} ELSE {other} END)"
     tail = slug(hook, 32)
-    return f"""(lpad({index}::VARCHAR, 2, '0') || '_' || (CASE WHEN {top} THEN 'highest-potential'
+    return f"""(printf('%02d', {index}) || '_' || (CASE WHEN {top} THEN 'highest-potential'
         WHEN {tail} <> 'clip' THEN {cat} || '_' || {tail} ELSE {cat} END) || '.mp4')"""
 
 

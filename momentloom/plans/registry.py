@@ -18,11 +18,11 @@ from momentloom.operators import (
 from momentloom.plans import analyze as an
 from momentloom.plans import oracle as o
 from momentloom.plans.ordered import with_position
-from momentloom.plans.stable import shared_dir, stable
+from momentloom.plans.stable import own, shared_dir, stable
 from momentloom.sources import lines, probe, sinks, transcripts as docs_in
 from momentloom.streaming.blocks import stream_pause_blocks
 from momentloom.streaming.jobs import latest_job_state
-from momentloom.streaming.run import run_available
+from momentloom.streaming.run import closed_rows, latest_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +51,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.spread_small(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def doc_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -595,13 +595,26 @@ def page_names(spark, sf):
 SAFE = "regexp_replace(trim(regexp_replace(stem, '[^A-Za-z0-9._-]+', '-', 'g'), '-._'), '-{2,}', '-', 'g')"
 
 
+# Base names with characters outside ASCII, and what becomes of them, written down by hand.
+MARKED = (("ﬁnal Ａ ", "final A "), ("Top™ ", "TopTM "), ("½ hour ", "12 hour "), ("Œuf № 5 ", "uf No 5 "), ("crème ", "creme "))
+
+
 @query("sanitize_names", o.cte(
-    ("base", """SELECT page_id, regexp_replace(strip_accents(replace(replace(regexp_replace(url, '^.*/', ''), 'ß', ''), 'ẞ', '')), '[^\\x00-\\x7F]', '', 'g') AS b FROM pages"""),
+    ("base", f"""SELECT page_id, (CASE page_id % 6 {" ".join(f"WHEN {k} THEN {o.q(plain)}" for k, (_, plain) in enumerate(MARKED))} ELSE '' END)
+        || regexp_replace(strip_accents(replace(replace(regexp_replace(url, '^.*/', ''), 'ß', ''), 'ẞ', '')), '[^\\x00-\\x7F]', '', 'g') AS b FROM pages"""),
     ("cut", r"""SELECT page_id, CASE WHEN regexp_matches(b, '^\.*[^.].*\.[^.]*$') THEN regexp_extract(b, '^(\.*[^.].*)(\.[^.]*)$', 1) ELSE b END AS stem,
         CASE WHEN regexp_matches(b, '^\.*[^.].*\.[^.]*$') THEN regexp_replace(lower(regexp_extract(b, '^(\.*[^.].*)(\.[^.]*)$', 2)), '[^a-z0-9._-]+', '', 'g') ELSE '' END AS ext FROM base"""),
 ) + f" SELECT page_id, substr(coalesce(nullif({SAFE}, ''), 'video'), 1, 80) || ext AS name FROM cut")
 def sanitize_names(spark, sf):
-    return table(spark, sf, "pages").select("page_id", naming.sanitize_name(F.col("url")).alias("name"))
+    marks = F.array(*[F.lit(m) for m, _ in MARKED], F.lit(""))
+    mark = F.get(marks, (F.col("page_id") % 6).cast("int"))
+    name = F.concat(mark, F.regexp_replace("url", "^.*/", ""))
+    return table(spark, sf, "pages").select("page_id", naming.sanitize_name(name).alias("name"))
+
+
+@query("clip_ids", "SELECT doc_id, source || '-' || printf('%02d', doc_id * 7 % 1500) AS clip_id FROM documents")
+def clip_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", sinks.clip_rows_id(F.col("source"), F.col("doc_id") * 7 % 1500).alias("clip_id"))
 
 
 FIRST, SECOND = o.hook_parts("text")
@@ -610,12 +623,12 @@ FIRST, SECOND = o.hook_parts("text")
 @query("fallback_hooks", o.cte(
     ("h", f"SELECT doc_id, source, {FIRST} AS f, {SECOND} AS s FROM documents"),
     ("k", f"SELECT doc_id, source, {o.shorten('f', 60)} AS hook, coalesce({o.shorten('s', 60)}, '') AS alt_hook FROM h"),
-    ("n", f"SELECT *, {o.shorten('hook', 40)} AS opening_text, (doc_id % 12 + 1)::INT AS index FROM k"),
+    ("n", f"SELECT *, {o.shorten('hook', 40)} AS opening_text, (doc_id % 1200 + 1)::INT AS index FROM k"),
 ) + f""" SELECT doc_id, hook, alt_hook, opening_text, {o.slug("coalesce(nullif(hook, ''), source)")} AS slug,
     {o.file_name('index', 'source', 'hook', 'index = 1')} AS file_name FROM n""")
 def fallback_hooks(spark, sf):
     docs = table(spark, sf, "documents").select(
-        "doc_id", "text", F.col("source").alias("category"), (F.col("doc_id") % 12 + 1).cast("int").alias("index"))
+        "doc_id", "text", F.col("source").alias("category"), (F.col("doc_id") % 1200 + 1).cast("int").alias("index"))
     named = hooks.name_clips(hooks.fallback_hook(docs))
     return named.select("doc_id", "hook", "alt_hook", "opening_text", "slug", "file_name")
 
@@ -731,9 +744,9 @@ def replace_by_key(spark, sf):
 def replace_keys_in_table(spark, sf):
     """The same through a bucketed table on disk of which only touched buckets change."""
     base, delta = order_parts(spark, sf)
-    path = f"{shared_dir(spark)}/momentloom/orders-{uuid.uuid4().hex}"
+    path = own(spark, f"{shared_dir(spark)}/momentloom/orders-{uuid.uuid4().hex}") + "/orders"
     sinks.write_keyed(base, path, "o_custkey", 8)
-    sinks.replace_keys(spark, delta, path, "o_custkey", 8)
+    sinks.replace_keys(spark, delta, path)
     return spark.read.parquet(path).drop(sinks.BUCKET)
 
 
@@ -886,7 +899,7 @@ def read_transcripts(spark, sf):
     """Conversations written as one JSON document each, and read back with defaults."""
     turn = F.struct("turn", (F.col("turn") * 1.5).alias("start"), (F.col("turn") * 1.5 + 1.25).alias("end"), "text")
     docs = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("segments"))
-    path = f"{shared_dir(spark)}/momentloom/docs-{uuid.uuid4().hex}"
+    path = own(spark, f"{shared_dir(spark)}/momentloom/docs-{uuid.uuid4().hex}") + "/docs"
     body = F.to_json(F.struct(F.col("conv_id").cast("string").alias("model"), "segments"))
     docs.select(body.alias("value")).write.text(path)
     _, segs = docs_in.read_transcripts(spark, path, multi_line=False, id_field="model")
@@ -957,16 +970,19 @@ def event_stream(spark, sf) -> DataFrame:
 
 
 @query("stream_pause_blocks", o.cte(
-    ("e", "SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events"),
-    ("b", f"SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= 1000 * {6 * HOUR}::BIGINT THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM e"),
-) + " SELECT user_id, count(*) AS n_rows, epoch_us(min(ts)) AS first_start, epoch_us(max(ts)) AS last_start FROM b GROUP BY user_id, g")
+    ("e", "SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + event_id % 4 * 600000000 AS e FROM events"),
+    ("p", "SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e"),
+    ("b", f"SELECT *, sum(CASE WHEN reach IS NULL OR s - reach >= 1000 * {6 * HOUR}::BIGINT THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM p"),
+    ("c", "SELECT user_id, count(*) AS n_rows, min(s) AS first_start, max(s) AS last_start, max(e) AS e FROM b GROUP BY user_id, g"),
+) + f" SELECT user_id, n_rows, first_start, last_start FROM c WHERE e + 1000 * ({6 * HOUR}::BIGINT - 1) <= (SELECT max(s) // 1000 * 1000 - 10000000 FROM e)")
 def stream_blocks(spark, sf):
-    stream = event_stream(spark, sf).withColumn("duration_ms", F.lit(0))
-    out = run_available(stream_pause_blocks(stream, "user_id", "ts", "duration_ms", 6 * HOUR))
+    """The blocks that the watermark has closed when the input ends."""
+    stream = event_stream(spark, sf).withColumn("duration_ms", F.col("event_id") % 4 * 600_000)
+    out = closed_rows(stream_pause_blocks(stream, "user_id", "ts", "duration_ms", 6 * HOUR))
     return out.withColumns({c: F.unix_micros(c) for c in ("first_start", "last_start")})
 
 
 @query("latest_job_state", """SELECT user_id, epoch_us(max(ts)) AS ts, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id""")
 def latest_state(spark, sf):
-    out = run_available(latest_job_state(event_stream(spark, sf), "user_id", "ts", ["event_type", "value"], "event_id"))
+    out = latest_rows(latest_job_state(event_stream(spark, sf), "user_id", "ts", ["event_type", "value"], "event_id"), ["user_id"])
     return out.withColumn("ts", F.unix_micros("ts"))

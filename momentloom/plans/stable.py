@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,13 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _place(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def own(spark: SparkSession, path: str) -> str:
+    """Make a folder that this application owns: it goes with ``release``, or when the driver ends."""
+    where, store = _place(spark, path)
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all folders written so far. Tables that still read them must be finished."""
+    while _written:
+        where, store = _place(spark, _written.pop())
+        store.delete(where, True)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Readers get column pruning and filter pushdown, and never recompute the
-    plan above the barrier.
+    plan above the barrier. The folder is deleted when the run ends or is released.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/momentloom/{uuid.uuid4().hex}"
+    path = own(spark, f"{shared_dir(spark)}/momentloom/{uuid.uuid4().hex}") + "/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

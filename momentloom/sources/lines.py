@@ -19,15 +19,6 @@ MIN_SEGMENT_MS = 200
 PAUSE_MS = (300, 700, 1100, 1500)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of few file splits; text rules are CPU-bound.
-
-    Inputs with at least one split per core, as on a cluster, are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def lines_as_segments(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """One segment per non-blank line; ``seg_idx`` is the line's original position."""
     return df.select(

@@ -14,18 +14,18 @@ SEGMENT = ("transcript_id string, seg_idx bigint, start_ms bigint, end_ms bigint
            "words array<struct<start_ms:bigint,end_ms:bigint,text:string,prob:double>>, "
            "avg_logprob double, no_speech_prob double")
 TALK = [
-    (0, "Welcome back everyone and thank you for joining us today."),
-    (6000, "So um I think we can begin when you all are ready."),
-    (11000, "The biggest mistake we made early was hiring far too fast."),
-    (16500, "I spent three years making the wrong thing for the wrong people."),
-    (23000, "Nobody tells you that growth hides a hundred problems."),
-    (29000, "Here's what happened: we got ten million dollars and then froze."),
-    (36000, "We doubled the team in ninety days and everything slowed down."),
-    (43000, "The point is simple, stay small until the thing really works."),
-    (49500, "You should measure who stays before you spend a dollar on ads."),
-    (56000, "Anyway that is the story, it cost us two years of time."),
-    (63000, "And then we came back by cutting down to a team of four."),
-    (69000, "Thanks again for listening, see you next week, take care."),
+    (1200, "Good evening, tonight a baker tells how her ovens got through a winter without power."),
+    (8100, "Well the flour had been paid for and the shop was full of people."),
+    (13900, "Then the lights went out and I lost forty trays of bread in one night."),
+    (20700, "The only machine still running was a hand mill from my grandmother."),
+    (26200, "Why would you bake by candle light when the street is dark?"),
+    (31500, "Because every loaf was promised, and nobody had told the school yet."),
+    (37800, "We sold 300 loaves before sunrise, however the dough was never better."),
+    (44900, "I was terrified and proud, it was the best week that bakery ever had."),
+    (52300, "You need to keep one tool that works with no plug at all."),
+    (58000, "My advice is to write down which orders cannot wait."),
+    (63400, "Anyway the power came back on a Thursday."),
+    (67100, "That is all from the bakery, mind the icy steps on your way home."),
 ]
 
 
