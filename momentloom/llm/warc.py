@@ -24,9 +24,8 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from momentloom.llm import files
 from momentloom.llm.shared import folder, ship, stable
@@ -118,13 +117,19 @@ _MANIFEST = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes",
 
 
 def _write(path: str, roll_bytes: int):
+    """Writes pages that come in order, each after the note that says which page is its response."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = _Roller(path, roll_bytes)
+        roller, note = _Roller(path, roll_bytes), None
         for batch in batches:
             for row in range(batch.num_rows):
-                shard, page_id, url, html, response = (batch.column(i)[row].as_py() for i in range(5))
-                payload = (html or "").encode()
-                roller.write(shard, page_id, member(record(page_id, url, payload, digest(payload), response)))
+                shard, page_id, sha, response, url, html = (batch.column(i)[row].as_py() for i in range(6))
+                if html is None:
+                    note = (page_id, sha, response)
+                    continue
+                if note is None or note[:2] != (page_id, sha):
+                    raise ValueError(f"page {page_id} came without its note")
+                payload = html.encode()
+                roller.write(shard, page_id, member(record(page_id, url, payload, digest(payload), note[2])))
         roller.close()
         if roller.done:
             yield pa.RecordBatch.from_pylist(roller.done, schema=_MANIFEST)
@@ -132,31 +137,37 @@ def _write(path: str, roll_bytes: int):
     return run
 
 
-def _sharded(rows: DataFrame, shard_bytes: int) -> DataFrame:
-    """``rows`` with a shard number that grows with ``page_id``."""
-    low, high = rows.where(F.col("page_id") != NO_ID).agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return rows.withColumn("shard", F.lit(0).cast("long"))
+def _cuts(keys: DataFrame, shard_bytes: int) -> tuple[DataFrame, Column]:
+    """``(at, shard)`` for at most ``RANGES`` ranges of ids, and the range of a page."""
+    low, high = keys.where(F.col("page_id") != NO_ID).agg(F.min("page_id"), F.max("page_id")).first()
+    low, high = (0, 0) if low is None else (low, high)
     width = max(1, -(-(high - low + 1) // RANGES))
     at = F.when(F.col("page_id") == NO_ID, 0).otherwise(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width))).cast("long")
-    sums = rows.groupBy(at.alias("at")).agg(F.sum("bytes").alias("held"))  # at most RANGES rows
+    sums = keys.groupBy(at.alias("at")).agg(F.sum("bytes").alias("held"))
     before = F.sum("held").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("held")
-    cuts = sums.select("at", F.floor(before / F.lit(shard_bytes)).cast("long").alias("shard"))
-    return rows.withColumn("at", at).join(F.broadcast(cuts), "at").drop("at")
+    return stable(sums.select("at", F.floor(before / F.lit(shard_bytes)).cast("long").alias("shard"))), at
 
 
 def write_archives(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Write ``pages(page_id, url, html)`` to the folder ``path`` and return the manifest."""
+    """Write ``pages(page_id, url, html)`` to the folder ``path`` and return the manifest.
+
+    Which page holds a payload is found on digests. That note and the page itself meet in the
+    writer, in one sort, so pages are shuffled once.
+    """
     html = F.coalesce("html", F.lit(""))
     rows = ship(pages).select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), "url", html.alias("html"))
-    keys = stable(rows.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha1(F.col("html").cast("binary")).alias("sha")))
+    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    keys = stable(rows.select("page_id", "sha", F.octet_length("html").cast("long").alias("bytes")))
     holders = keys.groupBy("sha", "bytes").agg(F.max("page_id").alias("response"))
-    plan = stable(_sharded(keys.join(holders, ["sha", "bytes"]).select("page_id", "sha", "bytes", "response"), shard_bytes)
-                  .select("page_id", "sha", "response", "shard").distinct())
-    met = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(plan, ["page_id", "sha"])
-    n_shards = (plan.agg(F.max("shard")).first()[0] or 0) + 1
-    dealt = met.select("shard", "page_id", "url", "html", "response")
-    dealt = dealt.repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    cuts, at = _cuts(keys, shard_bytes)
+    n_shards = (cuts.agg(F.max("shard")).first()[0] or 0) + 1
+    notes = keys.join(holders, ["sha", "bytes"]).select("page_id", "sha", "response").distinct()
+    columns = ["page_id", "sha", "response", "url", "html"]
+    both = rows.withColumn("response", F.lit(None).cast("long")).select(columns).unionByName(
+        notes.withColumns({"url": F.lit(None).cast("string"), "html": F.lit(None).cast("string")}).select(columns))
+    dealt = both.withColumn("at", at).join(F.broadcast(cuts), "at").select("shard", *columns)
+    order = ["shard", "page_id", "sha", F.col("html").isNotNull(), "url"]
+    dealt = dealt.repartitionByRange(n_shards, "shard").sortWithinPartitions(*order)
     manifest = dealt.mapInArrow(_write(path, roll_bytes), MANIFEST)
     manifest.write.parquet(f"{path}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{path}/manifest")
