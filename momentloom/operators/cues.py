@@ -6,7 +6,7 @@ shuffled. Times in cues are relative to the clip.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentloom.functions import text as tx
@@ -119,6 +119,23 @@ def cues_from_segments(
     )
 
 
+def clip_cues(df: DataFrame, max_words: int, timed: bool = True, clip_id: str = "clip_id") -> DataFrame:
+    """Cues of clip rows with ``segments``: from word times where ``timed`` is set and a clip has at
+    least two timed words, else from its segments. ``source`` says which."""
+    words = F.flatten(F.transform("segments", lambda s: F.coalesce(s["words"], F.slice(s["words"], 1, 0))))
+    spoken = F.filter(words, lambda w: (tx.strip(w["text"]) != "") & w["start_ms"].isNotNull() & w["end_ms"].isNotNull())
+    rows = df.select(clip_id, "start_ms", "segments", spoken.alias("words"))
+    enough = F.lit(timed) & F.coalesce(F.size("words") >= 2, F.lit(False))
+    by_word = cues_from_words(rows.where(enough), max_words, clip_id).withColumn("source", F.lit("words"))
+    lines = rows.where(~enough).select(
+        clip_id, F.col("start_ms").alias("clip_start_ms"), F.posexplode_outer("segments").alias("seg_idx", "s")).where("s is not null")
+    lines = lines.select(clip_id, "clip_start_ms", "seg_idx", "s.start_ms", "s.end_ms", "s.text")
+    plain = cues_from_segments(lines, max_words, clip_id)
+    order = Window.partitionBy(clip_id).orderBy("seg_idx", "part")
+    plain = plain.withColumn("cue_idx", F.row_number().over(order) - 1).withColumn("source", F.lit("segments"))
+    return by_word.unionByName(plain.select(*by_word.columns))
+
+
 def normalise_word(col: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(col, F.lit("")), r"(?U)[^\w']+", ""))
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from momentloom.functions import text as tx
 from momentloom.functions.timefmt import div
+from momentloom.operators.incremental import last_per_key
+from momentloom.plans.ordered import bind
 
 BATCH_SIZE = 6
 
@@ -30,44 +32,54 @@ EVAL_FIELDS = (
 # ------------------------------------------------------------------ asking
 
 def build_eval_batches(
-    candidates: DataFrame, position: str, key: str = "transcript_id", size: int = BATCH_SIZE
+    candidates: DataFrame, position: str, key: str = "transcript_id", size: int = BATCH_SIZE,
+    hints: DataFrame | None = None,
 ) -> DataFrame:
     """Consecutive groups of ``size`` candidates with a numbered listing of their texts.
 
-    ``position`` is dense from 0 within the key (see ``with_position``).
+    ``position`` is dense from 0 within the key (see ``with_position``). ``hints`` has
+    (key, topic_hint); with it, ``prompt`` is the hint, a blank line and the listing.
     """
     slot = (F.col(position) % size).cast("int")
     seconds = F.rint((F.col("end_ms") - F.col("start_ms")) / 1000.0).cast("bigint").cast("string")
     entry = F.concat(F.lit("["), slot.cast("string"), F.lit("] ("), seconds, F.lit("s) "), F.col("text"))
     lines = F.sort_array(F.collect_list(F.struct(slot.alias("i"), entry.alias("t"))))
-    return candidates.groupBy(key, div(F.col(position), size).alias("batch")).agg(
+    batches = candidates.groupBy(key, div(F.col(position), size).alias("batch")).agg(
         F.count(F.lit(1)).cast("int").alias("n_expected"),
         F.array_join(F.transform(lines, lambda x: x["t"]), "\n\n").alias("listing"),
     )
+    if hints is None:
+        return batches
+    batches = batches.join(hints.select(key, "topic_hint"), key, "left")
+    about = F.coalesce("topic_hint", F.lit(""))
+    return batches.withColumn("prompt", F.concat(about, F.lit("\n\n"), F.col("listing")))
 
 
 def evaluate_with(
     batches: DataFrame, fn: Callable[[str], str], prompt: str = "listing",
     key: str = "transcript_id", partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``raw``: what ``fn`` answers to each prompt, null where it fails.
+    """Add ``raw``, what ``fn`` answers to each prompt, and ``error``: where it fails,
+    ``raw`` is null and ``error`` says why.
 
     ``partitions`` sets how many callers run at once; batches of one key are spread.
     """
     spread = batches.repartition(partitions, key, "batch") if partitions else batches.repartition(key, "batch")
 
-    def ask(text: str) -> str | None:
+    def ask(text: str) -> tuple[str | None, str | None]:
         try:
-            return fn(text)
-        except Exception:  # noqa: BLE001 - a failed call leaves a null answer
-            return None
+            return fn(text), None
+        except Exception as e:  # noqa: BLE001 - a failed call leaves a null answer
+            return None, f"{type(e).__name__}: {e}"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part["raw"] = [ask(text) for text in part[prompt]]
+            answers = [ask(text) for text in part[prompt]]
+            part["raw"] = [raw for raw, _ in answers]
+            part["error"] = [error for _, error in answers]
             yield part
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in [*spread.dtypes, ("raw", "string")])
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*spread.dtypes, ("raw", "string"), ("error", "string")])
     return spread.mapInPandas(run, schema)
 
 
@@ -115,9 +127,13 @@ def largest_balanced(text: Column) -> Column:
 
         return F.aggregate(F.split(text, ""), zero, step)
 
-    braces, brackets = longest("{", "}"), longest("[", "]")
-    pick = F.when(brackets["len"] > braces["len"], brackets).otherwise(braces)
-    return F.when(pick["len"] > 0, F.substring(text, pick["best"], pick["len"]))
+    def cut(pick: Column) -> Column:
+        return F.when(pick["len"] > 0, F.substring(text, pick["best"], pick["len"]))
+
+    # Each scan runs once: the results are bound before they are compared and used.
+    both = F.struct(longest("{", "}").alias("braces"), longest("[", "]").alias("brackets"))
+    return bind(both, lambda x: bind(
+        F.when(x["brackets"]["len"] > x["braces"]["len"], x["brackets"]).otherwise(x["braces"]), cut))
 
 
 def parse_eval_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -255,12 +271,13 @@ def match_evals(df: DataFrame, parsed: str = "parsed", n_expected: str = "n_expe
     return validate_evals(out, "_obj")
 
 
-def merge_evals(candidates: DataFrame, evals: DataFrame, on: list[str]) -> DataFrame:
+def merge_evals(candidates: DataFrame, evals: DataFrame, on: list[str], order: str | None = None) -> DataFrame:
     """Let evaluations override candidate fields; empty values keep the old ones.
 
-    ``evals`` has the columns ``on`` and the evaluation fields, one row per candidate.
-    Adds ``eval_score`` (null without evaluation) and ``llm_used``.
+    ``evals`` has the columns ``on`` and the evaluation fields; of several rows of a
+    candidate, the last by ``order`` counts. Adds ``eval_score`` (null without evaluation) and ``llm_used``.
     """
+    evals = last_per_key(evals.select(*on, *EVAL_FIELDS, *([order] if order else [])), on, order)
     e = evals.select(*on, *[F.col(f).alias("_e_" + f) for f in EVAL_FIELDS], F.lit(True).alias("_hit"))
     df = candidates.join(e, on, "left")
     have = set(candidates.columns)
@@ -282,3 +299,30 @@ def merge_evals(candidates: DataFrame, evals: DataFrame, on: list[str]) -> DataF
         "eval_score": F.col("_e_score"),
         "llm_used": hit,
     }).drop("_hit", *["_e_" + f for f in EVAL_FIELDS])
+
+
+HOOK_FIELDS = ("hook", "alt_hook", "opening_text")
+
+
+def validate_hooks(df: DataFrame, obj: str = "parsed") -> DataFrame:
+    """Replace a variant column of hook answers by typed ``hook``, ``alt_hook`` and ``opening_text``;
+    wrong types give empty texts."""
+    v = F.col(obj)
+    return df.select(
+        *[c for c in df.columns if c != obj], _string(v, "hook").alias("hook"),
+        _string(v, "alt_hook", "altHook").alias("alt_hook"), _string(v, "opening_text", "openingText").alias("opening_text"))
+
+
+def merge_hooks(clips: DataFrame, answers: DataFrame, on: list[str], order: str | None = None) -> DataFrame:
+    """Let hook answers override the texts of clips.
+
+    An answer without a hook changes nothing; an empty alternative or opening keeps the
+    old one. Of several answers to a clip, the last by ``order`` counts.
+    """
+    given = last_per_key(answers.select(*on, *HOOK_FIELDS, *([order] if order else [])), on, order).where("hook != ''")
+    new = given.select(*on, *[F.col(f).alias("_h_" + f) for f in HOOK_FIELDS])
+    df = clips.join(new, on, "left")
+    old = {f: F.col(f) if f in clips.columns else F.lit("") for f in HOOK_FIELDS}
+    return df.withColumns({
+        f: F.coalesce(F.nullif(F.col("_h_" + f), F.lit("")), old[f], F.lit("")) for f in HOOK_FIELDS
+    }).drop(*["_h_" + f for f in HOOK_FIELDS])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from momentloom.functions import lexicon as lx
 from momentloom.operators import boundaries, evals, hooks, scores, seeds, select, windows
 from momentloom.operators.segment import BLOCK_GAP_MS, build_timed_sentences
+from momentloom.operators.transcripts import topic_hint
+from momentloom.plans.ordered import with_position
 from momentloom.plans.stable import stable
 
 ORDER = ("seed_rank", "target_ord")
@@ -59,21 +61,45 @@ def score_and_adjust(
     return scores.length_adjust(df)
 
 
+def evaluate_candidates(
+    candidates: DataFrame, segments: DataFrame, scorer: Callable[[str], str], key: str = "transcript_id",
+    partitions: int | None = None,
+) -> DataFrame:
+    """Ask ``scorer`` about every candidate, in batches, and read its answers back.
+
+    The result has (key, lo, hi) and the evaluation fields of the candidates that got a
+    valid answer. Each batch is asked once; a batch that fails leaves its candidates out.
+    """
+    placed = stable(with_position(
+        candidates.select(key, "lo", "hi", "start_ms", "end_ms", "text", *ORDER), [key], ORDER, "position"))
+    batches = evals.build_eval_batches(placed, "position", key, hints=topic_hint(segments, key))
+    answered = stable(evals.evaluate_with(batches, scorer, "prompt", key, partitions))
+    matched = evals.match_evals(evals.parse_eval_responses(answered.select(key, "batch", "n_expected", "raw")))
+    at = F.col("batch") * evals.BATCH_SIZE + F.col("slot")
+    matched = matched.withColumn("position", at.cast("bigint")).select(key, "position", *evals.EVAL_FIELDS)
+    return placed.select(key, "position", "lo", "hi").join(matched, [key, "position"]).drop("position")
+
+
 def analyze(
     segments: DataFrame, durations: DataFrame | None = None, n_clips: int = 5,
     lex: lx.Lexicon = lx.DEFAULT, evaluations: DataFrame | None = None,
     targets_ms: Sequence[int] = lx.TARGETS_MS, min_ms: int = windows.MIN_CLIP_MS,
     max_ms: int = windows.MAX_CLIP_MS, pad_ms: int = boundaries.PAD_MS, key: str = "transcript_id",
+    scorer: Callable[[str], str] | None = None,
 ) -> Analysis:
     """Find the ``n_clips`` strongest clips of every transcript.
 
     ``durations`` has (key, duration_ms); without it a source ends with its last
-    sentence. ``evaluations`` has (key, lo, hi) and the evaluation fields. Each stage
+    sentence. ``evaluations`` has (key, lo, hi) and the evaluation fields; without it,
+    ``scorer`` is asked if there is one. Each stage
     that several later ones read is written once to the shared folder.
     """
     sentences = stable(build_timed_sentences(segments, key))
-    candidates = stable(score_and_adjust(
-        find_candidates(sentences, lex, key, targets_ms, min_ms, max_ms), lex, evaluations, (key, "lo", "hi")))
+    found = find_candidates(sentences, lex, key, targets_ms, min_ms, max_ms)
+    if evaluations is None and scorer is not None:
+        found = stable(found)
+        evaluations = evaluate_candidates(found, segments, scorer, key)
+    candidates = stable(score_and_adjust(found, lex, evaluations, (key, "lo", "hi")))
     unique = stable(select.relaxed_dedup_any(candidates, n_clips, key, order=ORDER))
     chosen = select.select_top_n(unique, n_clips, key, order=("start_ms", *ORDER))
     chosen = chosen.withColumn("clip_id", F.concat_ws("-", key, "lo", "hi"))

@@ -941,7 +941,10 @@ def srt_stamp(ms: str) -> str:
     ("blocks", f"SELECT clip_id, n, (n + 1) || chr(10) || {srt_stamp('s')} || ' --> ' || {srt_stamp('greatest(s + 200, e)')} || chr(10) || text AS b FROM rel"),
 ) + " SELECT clip_id, string_agg(b, chr(10) || chr(10) ORDER BY n) || chr(10) AS srt FROM blocks GROUP BY clip_id")
 def srt_documents(spark, sf):
-    return sinks.srt_documents(refined_clips(spark, sf))
+    """Bodies written in bulk and read back."""
+    path = own(spark, f"{shared_dir(spark)}/momentloom/srt-{uuid.uuid4().hex}") + "/srt"
+    sinks.write_srt(refined_clips(spark, sf), path)
+    return spark.read.parquet(path)
 
 
 @query("analyze", o.cte(*CHOSEN_SQL, *o.refined()[:6],
@@ -955,10 +958,101 @@ def analyze(spark, sf):
     return out.select("transcript_id", "index", "clip_id", "start_ms", "end_ms", "score_overall", "reason")
 
 
-@query("analysis_documents")
+DOCUMENT = ("transcript_id string, language string, audio_seconds double, n_candidates bigint, n_unique bigint, llm_used boolean, "
+            "options struct<n_clips:int>, warnings array<string>, clips array<struct<index:int,start:double,end:double,duration:double,"
+            "text:string,score:struct<overall:int>,reason:string,category:string>>")
+
+
+@query("analysis_documents", o.cte(*CHOSEN_SQL, *o.refined()[:6],
+    ("lengths", "SELECT transcript_id, max(end_ms) AS duration FROM sents GROUP BY ALL"),
+    ("padded", "SELECT clip_id, duration, greatest(0, t0 - 350) AS r0, least(duration, t1 + 350) AS r1 FROM ends JOIN lengths USING (transcript_id)"),
+    ("fin", "SELECT clip_id, r0 AS s, CASE WHEN r1 - r0 < 12000 THEN least(duration, r0 + 12000) ELSE r1 END AS e FROM padded"),
+    ("made", "SELECT transcript_id, count(*) AS n_candidates FROM adjusted GROUP BY ALL"),
+    ("distinct_n", "SELECT transcript_id, count(*) AS n_unique FROM uniq GROUP BY ALL"),
+) + """ SELECT m.transcript_id, 'en' AS language, duration / 1000.0::DOUBLE AS audio_seconds, n_candidates, coalesce(n_unique, 0)::BIGINT AS n_unique,
+    false AS llm_used, 5 AS n_clips, CASE WHEN duration < 20000 THEN 'short source' ELSE '' END AS warnings,
+    coalesce(b.index, 0)::INT AS index, coalesce(f.s, -1000) / 1000.0::DOUBLE AS start, coalesce(f.e, -1000) / 1000.0::DOUBLE AS "end",
+    coalesce(b.score_overall, -1)::INT AS overall, coalesce('Seeded by: ' || b.seed_reason, '') AS reason
+    FROM made m JOIN lengths USING (transcript_id) LEFT JOIN distinct_n USING (transcript_id)
+    LEFT JOIN best b USING (transcript_id) LEFT JOIN fin f USING (clip_id)""")
 def analysis_documents(spark, sf):
-    done = an.analyze(doc_segments(spark, sf), lex=SAMPLE)
-    return sinks.analysis_documents(done.clips, done.stats)
+    """Documents written to files and read back into columns."""
+    segments = doc_segments(spark, sf)
+    done = an.analyze(segments, lex=SAMPLE)
+    lengths = done.sentences.groupBy("transcript_id").agg(F.max("end_ms").alias("duration_ms"))
+    heads = lengths.withColumn("language", F.lit("en"))
+    warned = lengths.select("transcript_id", F.when(
+        F.col("duration_ms") < 20_000, F.array(F.lit("short source"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    path = own(spark, f"{shared_dir(spark)}/momentloom/analysis-{uuid.uuid4().hex}") + "/documents"
+    sinks.write_analysis(sinks.analysis_documents(done.clips, done.stats, heads=heads, warnings=warned, options={"n_clips": 5}), path)
+    back = spark.read.text(path).select(F.from_json("value", DOCUMENT).alias("d")).select("d.*")
+    none = F.lit(-1.0)
+    return back.select("*", F.explode_outer("clips").alias("c")).select(
+        F.col("transcript_id").cast("bigint").alias("transcript_id"), "language", "audio_seconds", "n_candidates", "n_unique",
+        "llm_used", "options.n_clips", F.array_join("warnings", "|").alias("warnings"), F.coalesce("c.index", F.lit(0)).alias("index"),
+        F.coalesce("c.start", none).alias("start"), F.coalesce("c.end", none).alias("end"),
+        F.coalesce("c.score.overall", F.lit(-1)).alias("overall"), F.coalesce("c.reason", F.lit("")).alias("reason"))
+
+
+def judge(prompt: str) -> str:
+    """A stand-in scorer: the length of each entry; it fails where the listing's length is a
+    multiple of five."""
+    listing = prompt.split("\n\n", 1)[1]
+    if len(listing) % 5 == 0:
+        raise ValueError("cannot judge this")
+    rows = ", ".join(f'{{"index": {i}, "score": {len(e) % 101}, "category": "Advice"}}' for i, e in enumerate(listing.split("\n\n[")))
+    return "```json\n[" + rows + "]\n```"
+
+
+EVALUATED_SQL = [
+    *o.chain(SAMPLE)[:-1],
+    ("entries", """SELECT transcript_id, seed_rank, target_ord, place, (place // 6)::BIGINT AS batch, '[' || (place % 6) || '] (' || round_even((end_ms - start_ms) / 1000.0::DOUBLE, 0)::BIGINT || 's) ' || text AS entry
+        FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY seed_rank, target_ord) - 1 AS place FROM cands)"""),
+    ("listings", "SELECT transcript_id, batch, string_agg(entry, chr(10) || chr(10) ORDER BY place) AS listing FROM entries GROUP BY ALL"),
+    ("answers", """SELECT transcript_id, seed_rank, target_ord, CASE WHEN length(listing) % 5 <> 0 THEN (length(entry) - CASE WHEN place % 6 = 0 THEN 0 ELSE 1 END) % 101 END AS eval_score
+        FROM entries JOIN listings USING (transcript_id, batch)"""),
+    ("judged", "SELECT s.*, eval_score FROM scored s JOIN answers USING (transcript_id, seed_rank, target_ord)"),
+    ("blended", f"SELECT * REPLACE (CASE WHEN eval_score IS NULL THEN score_overall ELSE {o.clamp('0.5::DOUBLE * score_overall + 0.5::DOUBLE * eval_score')} END AS score_overall) FROM judged"),
+    o.adjusted("blended"),
+    *o.dedup(o.LEVELS, n=5), o.top_n(5),
+]
+
+
+@query("analyze_with_evaluations", o.cte(*EVALUATED_SQL,
+    ("used", "SELECT transcript_id, bool_or(eval_score IS NOT NULL) AS any_used FROM judged GROUP BY ALL"),
+) + """ SELECT b.transcript_id, b.index, b.clip_id, b.score_overall, b.eval_score IS NOT NULL AS llm_used,
+    CASE WHEN b.eval_score IS NULL THEN 'insight' ELSE 'advice' END AS category, u.any_used FROM best b JOIN used u USING (transcript_id)""")
+def analyze_with_evaluations(spark, sf):
+    """The chain with a scorer: batches that fail keep their rule scores."""
+    done = an.analyze(doc_segments(spark, sf), lex=SAMPLE, scorer=judge)
+    used = done.stats.select("transcript_id", F.col("llm_used").alias("any_used"))
+    return done.clips.join(used, "transcript_id").select(
+        "transcript_id", "index", "clip_id", "score_overall", "llm_used", "category", "any_used")
+
+
+@query("hook_answers", """SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN 'Hook ' || d.doc_id ELSE d.source END AS hook,
+    CASE WHEN d.doc_id % 3 = 0 AND d.doc_id % 2 = 0 THEN 'Alt ' || d.doc_id ELSE 'old alt' END AS alt_hook, 'old opening' AS opening_text FROM documents d""")
+def hook_answers(spark, sf):
+    """Answers to a second question, with stale and empty ones among them."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("hook"))
+    clips = docs.withColumns({"alt_hook": F.lit("old alt"), "opening_text": F.lit("old opening")})
+    doc = F.col("doc_id")
+    fresh = F.format_string('```json\n{"hook": "%s%d", "altHook": "%s", "opening_text": 5}\n```',
+                            F.lit("Hook "), doc, F.when(doc % 2 == 0, F.format_string("Alt %d", doc)).otherwise(""))
+    stale = F.lit('{"hook": "stale", "alt_hook": "stale", "opening_text": "stale"}')
+    empty = F.lit('{"hook": "", "alt_hook": "lost"}')
+    raw = docs.select("doc_id", F.lit(2).alias("at"), F.when(doc % 3 == 0, fresh).otherwise(empty).alias("raw")).unionByName(
+        docs.select("doc_id", F.lit(1).alias("at"), stale.alias("raw")))
+    read = evals.validate_hooks(evals.parse_eval_responses(raw).drop("raw"))
+    return evals.merge_hooks(clips, read, ["doc_id"], "at")
+
+
+@query("clip_cues", o.cte(*CUES_SQL,
+    ("counted", "SELECT clip_id, count(*) AS n_words FROM clip_words GROUP BY ALL"),
+) + """ SELECT c.clip_id, c.cue_idx, c.start_ms, c.end_ms, 'words' AS source FROM cues c JOIN counted USING (clip_id) WHERE n_words >= 2""")
+def choose_cues(spark, sf):
+    """Word cues where a clip has word times; the clips of this table that have fewer are tested on fixtures."""
+    return cues.clip_cues(refined_clips(spark, sf), 3).where("source = 'words'").select("clip_id", "cue_idx", "start_ms", "end_ms", "source")
 
 
 # --------------------------------------------------------------- streaming

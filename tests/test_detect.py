@@ -251,3 +251,47 @@ def test_analyze(talk, sentences):
     again = an.analyze(talk.repartition(3).orderBy(F.rand(1)), n_clips=3, max_ms=60_000).clips
     keys = ["clip_id", "index", "start_ms", "end_ms", "text"]
     assert again.select(*keys).exceptAll(done.clips.select(*keys)).isEmpty()
+
+
+def test_clips_without_a_duration_row_stay(spark, sentences):
+    clips = spark.createDataFrame([("t", "a", 21_900, 48_600, ""), ("t", "b", 60_000, 75_000, "")],
+                                  "transcript_id string, clip_id string, start_ms bigint, end_ms bigint, text string")
+    none = spark.createDataFrame([], "transcript_id string, duration_ms bigint")
+    got = {r.clip_id: r for r in boundaries.refine_boundaries(clips, sentences, none).collect()}
+    last = sentences.agg(F.max("end_ms")).first()[0]
+    assert set(got) == {"a", "b"} and got["b"].end_ms == last
+
+
+def test_nearest_cost_follows_the_rows_of_a_hot_key(spark):
+    """Plans hold no frame that looks forward without end, which would re-read a bucket for every row."""
+    points = spark.createDataFrame([("k", i * 3) for i in range(4000)], "k string, t bigint")
+    values = spark.createDataFrame([("k", i * 7) for i in range(2000)], "k string, s bigint")
+    near = joins.nearest(points, values, "k", "t", "s", F.struct("s"), 10**9)
+    assert "unboundedfollowing" not in near._jdf.queryExecution().optimizedPlan().toString().lower()
+    for r in near.collect():
+        lo = r.t // 7 * 7
+        assert r.nearest.t == (lo if r.t - lo <= lo + 7 - r.t or lo + 7 > 1999 * 7 else lo + 7)
+
+
+def test_sentences_are_split_once(spark, talk):
+    plan = segment.build_timed_sentences(talk.drop("words"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 8
+
+
+def test_scorer_in_the_chain(spark, talk):
+    def scorer(prompt):
+        hint, listing = prompt.split("\n\n", 1)
+        assert hint.startswith("Good evening") and len(hint) <= 220
+        entries = listing.split("\n\n[")
+        if len(entries) < 6:
+            raise RuntimeError("batch too small")
+        return '{"results": [' + ",".join(f'{{"index": {i}, "score": 100, "hook": "H{i}"}}' for i in range(len(entries))) + "]}"
+
+    plain = an.analyze(talk, n_clips=3)
+    done = an.analyze(talk, n_clips=3, scorer=scorer)
+    n = plain.candidates.count()
+    assert done.candidates.where("llm_used").count() == n - n % 6 and n % 6
+    base = {(r.lo, r.hi): r.score_overall for r in plain.candidates.collect()}
+    for r in done.candidates.collect():
+        assert r.score_overall >= base[(r.lo, r.hi)] if r.llm_used else r.score_overall == base[(r.lo, r.hi)]
+    assert done.stats.first().llm_used and any(c.hook.startswith("H") for c in done.clips.collect())

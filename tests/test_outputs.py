@@ -27,6 +27,18 @@ def test_cues(spark):
     assert [len(p.words) for p in parts] == [3, 3, 2] and parts[-1].end_ms == 4000
 
 
+def test_cue_source(spark):
+    line = "struct<start_ms:bigint,end_ms:bigint,text:string,words:array<struct<start_ms:bigint,end_ms:bigint,text:string,prob:double>>>"
+    said = [(1000, 1300, "warm", 1.0), (1320, 1600, "bread", 1.0)]
+    rows = [("two", 1000, [(1000, 2000, "warm bread", said)]), ("one", 1000, [(1000, 2000, "warm", said[:1])]),
+            ("none", 0, [(0, 900, "a b c", None), (900, 1800, "d", [])]), ("empty", 0, [])]
+    df = spark.createDataFrame(rows, f"clip_id string, start_ms bigint, segments array<{line}>")
+    got = cues.clip_cues(df, 2).collect()
+    assert {r.clip_id: r.source for r in got} == {"two": "words", "one": "segments", "none": "segments"}
+    assert sorted((r.cue_idx, len(r.words)) for r in got if r.clip_id == "none") == [(0, 2), (1, 1), (2, 1)]
+    assert {r.source for r in cues.clip_cues(df, 2, timed=False).collect()} == {"segments"}
+
+
 def test_srt(spark):
     segs = [(10_000, 12_500, "hello world"), (12_500, 12_600, "  "), (12_500, 15_000, "second line"), (3_610_000, 3_610_010, "late")]
     df = spark.createDataFrame([("c", 10_000, segs)], f"clip_id string, start_ms bigint, segments {WORDS}")
@@ -103,7 +115,16 @@ def test_scorer_failure_keeps_the_rest(spark):
             raise RuntimeError("down")
         return "[]"
 
-    assert {r.listing: r.raw for r in evals.evaluate_with(df, scorer).collect()} == {"good": "[]", "bad": None}
+    got = {r.listing: (r.raw, r.error) for r in evals.evaluate_with(df, scorer).collect()}
+    assert got == {"good": ("[]", None), "bad": (None, "RuntimeError: down")}
+
+
+def test_hook_answers(spark):
+    clips = spark.createDataFrame([(i, "old", "alt", "open") for i in range(4)], "id int, hook string, alt_hook string, opening_text string")
+    raw = [(0, 1, '{"hook": "first"}'), (0, 2, '{"hook": "new", "altHook": "b"}'), (1, 1, '{"hook": 7, "alt_hook": "x"}'), (2, 1, "nonsense")]
+    read = evals.validate_hooks(evals.parse_eval_responses(spark.createDataFrame(raw, "id int, at int, raw string")).drop("raw"))
+    got = {r.id: (r.hook, r.alt_hook, r.opening_text) for r in evals.merge_hooks(clips, read, ["id"], "at").collect()}
+    assert got == {0: ("new", "b", "open"), **{i: ("old", "alt", "open") for i in (1, 2, 3)}}
 
 
 def test_probe(spark):
