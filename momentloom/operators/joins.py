@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentloom.functions.timefmt import div
-from momentloom.plans.ordered import before, chunk_carry
+from momentloom.plans.ordered import before
 from momentloom.plans.stable import stable
 
 
+GROUP = 4096
+
+
 def in_buckets(df: DataFrame, start: Column, end: Column, width: int, first: str) -> DataFrame:
     """Copy each row to every bucket that [start, end] touches."""
     lo = div(start, width)
@@ -81,21 +84,7 @@ def around(
     )).withColumn("_bucket", div(F.col("_t"), width))
     # The summary and the scan both read the line, so it is made once.
     line = stable(line)
-
-    # Frames only grow: looking ahead is looking back in the opposite order.
-    back_from = Window.partitionBy(key).orderBy(F.desc("_bucket"))
-
-    def along(s: DataFrame, w) -> DataFrame:
-        return s.withColumns({
-            "_before": F.last("_last", ignorenulls=True).over(before(w)),
-            "_after": F.last("_first", ignorenulls=True).over(before(back_from)),
-        })
-
-    known = F.when(F.col("_v").isNotNull(), F.col("_t"))
-    line = chunk_carry(
-        line, [key], "_bucket", {"_last": F.max_by("_v", known), "_first": F.min_by("_v", known)},
-        along, ["_before", "_after"],
-    )
+    line = line.join(_beyond(line, key), [key, "_bucket"])
     w = Window.partitionBy(key, "_bucket")
     past = w.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     future = w.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -107,6 +96,33 @@ def around(
     return points.join(line, [key, t])
 
 
+def _beyond(line: DataFrame, key: str) -> DataFrame:
+    """The last value before and the first value after each (key, bucket) of a timeline.
+
+    Carried in two levels: buckets inside a group of ``GROUP`` buckets, and groups along the
+    key, so that one task sees at most ``GROUP`` buckets or one row per group. Frames only
+    grow: looking ahead is looking back in the opposite order.
+    """
+    known = F.when(F.col("_v").isNotNull(), F.col("_t"))
+    buckets = stable(line.groupBy(key, "_bucket").agg(
+        F.max_by("_v", known).alias("_last"), F.min_by("_v", known).alias("_first")
+    ).withColumn("_group", div(F.col("_bucket"), GROUP)))
+    filled = F.when(F.col("_last").isNotNull(), F.col("_bucket"))
+    groups = buckets.groupBy(key, "_group").agg(
+        F.max_by("_last", filled).alias("_last"), F.min_by("_first", filled).alias("_first"))
+
+    def sides(df: DataFrame, by: list[str], order: str, back: str, ahead: str) -> DataFrame:
+        w = Window.partitionBy(*by)
+        return df.withColumns({
+            back: F.last("_last", ignorenulls=True).over(before(w.orderBy(order))),
+            ahead: F.last("_first", ignorenulls=True).over(before(w.orderBy(F.desc(order)))),
+        })
+
+    groups = sides(groups, [key], "_group", "_gb", "_ga").select(key, "_group", "_gb", "_ga")
+    inner = sides(buckets, [key, "_group"], "_bucket", "_ib", "_ia").join(groups, [key, "_group"])
+    return inner.select(key, "_bucket", F.coalesce("_ib", "_gb").alias("_before"), F.coalesce("_ia", "_ga").alias("_after"))
+
+
 def nearest(
     points: DataFrame, values: DataFrame, key: str, t: str, at: str, carry: Column, width: int,
     out: str = "nearest", within: int | None = None,

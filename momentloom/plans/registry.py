@@ -911,7 +911,8 @@ def read_transcripts(spark, sf):
 ) + """ SELECT conv_id::VARCHAR AS transcript_id, turn AS seg_idx, i AS word_idx, trim(word, ' ' || chr(10)) AS text, i * 10 AS start_ms, (i * 10 + 5) AS end_ms,
     CASE WHEN i % 2 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS prob FROM w WHERE trim(word, ' ' || chr(10)) <> '' AND i > 0""")
 def read_token_json(spark, sf):
-    """Words of each turn as recogniser tokens; the first is a control token."""
+    """Words of each turn as recogniser tokens, written as documents and read back; the first is
+    a control token. The language field carries the document's id."""
     parts = F.split("text", " ")
     token = F.transform(parts, lambda t, i: F.struct(
         F.when(i == 0, F.lit("[_BEG_]")).otherwise(t).alias("text"),
@@ -919,13 +920,13 @@ def read_token_json(spark, sf):
         F.when(i % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.0)).alias("p")))
     piece = F.struct(F.struct(F.lit(0).cast("bigint").alias("from"), F.lit(100).cast("bigint").alias("to")).alias("offsets"), "text", token.alias("tokens"))
     turns = table(spark, sf, "conversations").select("conv_id", "turn", piece.alias("p"))
-    docs = turns.select(
-        F.concat_ws("-", "conv_id", "turn").alias("transcript_id"),
-        F.from_json(F.to_json(F.struct(F.array("p").alias("transcription"))), docs_in.TOKENS).alias("d"),
-    ).select("transcript_id", "d.transcription")
-    segs = docs_in.token_segments(docs)
+    named = F.struct(F.concat_ws("-", "conv_id", "turn").alias("language"))
+    path = own(spark, f"{shared_dir(spark)}/momentloom/tokens-{uuid.uuid4().hex}") + "/tokens"
+    turns.select(F.to_json(F.struct(named.alias("result"), F.array("p").alias("transcription"))).alias("value")).write.text(path)
+    heads, segs = docs_in.read_token_json(spark, path, multi_line=False, id_field="result.language")
+    spoken = heads.where("has_word_timestamps and n_segments = 1").select("transcript_id")
     at = F.split("transcript_id", "-")
-    rows = segs.select(at[0].alias("transcript_id"), at[1].cast("bigint").alias("seg_idx"), F.explode_outer("words").alias("w"))
+    rows = segs.join(spoken, "transcript_id", "left_semi").select(at[0].alias("transcript_id"), at[1].cast("bigint").alias("seg_idx"), F.explode_outer("words").alias("w"))
     start = F.col("w.start_ms")
     return rows.where("w is not null").select(
         "transcript_id", "seg_idx", (start / 10).cast("bigint").alias("word_idx"), "w.text", "w.start_ms", "w.end_ms", "w.prob")
