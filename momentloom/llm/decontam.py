@@ -8,7 +8,8 @@ once). Terms that are common among the items are left out of that test and enter
 In opened blocks all items are scored exactly, and those that reach ``RETRIEVE`` of their own score
 are retrieved. Retrieved items are confirmed on five-word shingles: at least ``OVERLAP`` of the item,
 and at least ``PART`` of its question and of its answer, must stand in the passage. The answer is
-the item's last sentence, or its second half if it has one sentence only.
+the item's last sentence, with the sentences before it until it has five words, or the second half if
+nothing else is left. What has fewer than five words must stand in the passage word for word.
 
 Passages are windows of two halves that advance by a half; a half is as long as the longest item, so
 an item always lies in one passage.
@@ -50,18 +51,33 @@ def tokens(text: str | None) -> list[str]:
 
 
 def shingles(words: Sequence[str]) -> set[str]:
-    """Five-word shingles; fewer words are one shingle."""
-    if not words:
-        return set()
-    return {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    return {" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+
+
+class Passage:
+    """The words of a window, its shingles, and its text for short phrases."""
+
+    def __init__(self, words: Sequence[str]):
+        self.text, self.cut = f" {' '.join(words)} ", shingles(words)
+
+    def share(self, part: Sequence[str]) -> float:
+        """How much of ``part`` stands here: its shingles, or all of a short one; 1 for no words."""
+        if len(part) >= SHINGLE:
+            own = shingles(part)
+            return len(own & self.cut) / len(own)
+        return float(f" {' '.join(part)} " in self.text) if part else 1.0
 
 
 def question_answer(text: str) -> tuple[list[str], list[str]]:
-    parts = [w for w in map(tokens, _SENTENCE.split(text)) if w]
-    if len(parts) > 1:
-        return [w for p in parts[:-1] for w in p], parts[-1]
-    words = parts[0] if parts else []
-    return words[: (len(words) + 1) // 2], words[(len(words) + 1) // 2 :]
+    sentences = [w for w in map(tokens, _SENTENCE.split(text)) if w]
+    answer: list[str] = []
+    while sentences and len(answer) < SHINGLE:
+        answer = sentences.pop() + answer
+    question = [w for s in sentences for w in s]
+    if not question:
+        half = (len(answer) + 1) // 2
+        return answer[:half], answer[half:]
+    return question, answer
 
 
 @dataclass
@@ -118,7 +134,6 @@ class ItemIndex:
             values += maxima[word].values()
         self.starts = np.cumsum(self.starts)
         self.blocks, self.values = np.array(blocks, dtype=np.int64), np.array(values)
-        self.parts = [(shingles(x.words), shingles(x.question), shingles(x.answer)) for x in self.items]
 
     def open_blocks(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``(passage, block)`` pairs whose upper bound reaches the block's lowest threshold."""
@@ -144,18 +159,18 @@ class ItemIndex:
         if not words or not self.items:
             return out
         passages, blocks = self.open_blocks(words)
-        seen, held, cut = -1, set(), set()
+        seen, held, here = -1, set(), None
         for passage, block in zip(passages.tolist(), blocks.tolist(), strict=True):
             if passage != seen:
                 window = words[passage * self.half : (passage + 2) * self.half]
-                seen, held, cut = passage, set(window), None
+                seen, held, here = passage, set(window), None
             for at in range(block * BLOCK_ITEMS, min((block + 1) * BLOCK_ITEMS, len(self.items))):
                 item = self.items[at]
                 score = sum(v for w, v in item.impact.items() if w in held)
                 if score < self.threshold[at] - 1e-9:
                     continue
-                cut = shingles(window) if cut is None else cut
-                whole, question, answer = (len(p & cut) / len(p) if p else 1.0 for p in self.parts[at])
+                here = here or Passage(window)
+                whole, question, answer = map(here.share, (item.words, item.question, item.answer))
                 if whole >= OVERLAP and question >= PART and answer >= PART:
                     share = min(1.0, score / item.own)
                     if share > out.get(at, (-1.0,))[0]:

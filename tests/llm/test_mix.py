@@ -85,7 +85,8 @@ def items(seed=3, n=30):
     for i in range(n):
         w = [rng.choice(words) for _ in range(rng.randrange(8, 50))]
         cut = rng.randrange(3, len(w) - 3)
-        out.append((i, " ".join(w[:cut]) + ". " + " ".join(w[cut:]) + "."))
+        tail = " ".join(w[cut:]) + "." if i % 3 else " ".join(w[cut:-1]) + ". " + w[-1] + "."  # an answer of one word
+        out.append((i, " ".join(w[:cut]) + ". " + tail))
     return rng, words, out
 
 
@@ -102,7 +103,13 @@ def brute_leaks(docs, bench):
         n = -(-len(words) // half)
         for p in range(max(1, n - 1)):
             window = words[p * half : (p + 2) * half]
-            held, cut = set(window), decontam.shingles(window)
+            held, text = set(window), f" {' '.join(window)} "
+            cut = {tuple(window[k : k + 5]) for k in range(len(window) - 4)}
+
+            def share(part):
+                own = {tuple(part[k : k + 5]) for k in range(len(part) - 4)}
+                return len(own & cut) / len(own) if own else float(f" {' '.join(part)} " in text)
+
             for i, w in toks.items():
                 tf = Counter(w)
                 k = 1.2 * (0.25 + 0.75 * len(w) / mean)
@@ -110,7 +117,7 @@ def brute_leaks(docs, bench):
                 if sum(v for x, v in impact.items() if x in held) < 0.5 * sum(impact.values()) - 1e-9:
                     continue
                 question, answer = decontam.question_answer(dict(bench)[i])
-                shares = [len(s & cut) / len(s) if (s := decontam.shingles(x)) else 1.0 for x in (w, question, answer)]
+                shares = [share(x) for x in (w, question, answer)]
                 if shares[0] >= 0.75 and min(shares[1:]) >= 0.5:
                     out.add((d, i))
     return out
@@ -134,7 +141,10 @@ def test_decontamination(spark):
     table = frame(spark, [(i, t, "s") for i, t in docs])
     bench_table = spark.createDataFrame([(i, t, "x") for i, t in [*bench, (99, None), (98, "..."), (None, "no id at all here")]], "item_id long, text string, doc_id string")
     want = brute_leaks(docs, [(i, t) for i, t in bench])
-    assert len(want) > 20
+    # Every whole item is found, whatever its sentences are.
+    squeeze = lambda t: " ".join(decontam.tokens(t))
+    whole = {(d, i) for d, t in docs for i, b in bench if squeeze(b) in squeeze(t)}
+    assert len(whole) > 20 and whole <= want
     for shards in (20_000, 7):
         got = decontam.contaminated(table, bench_table, shards)
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
