@@ -22,13 +22,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentloom.llm.shared import is_held_out, ship
+from momentloom.llm.shared import is_held_out, sample_ids, ship
 
 SAMPLE_DOCS, PIECE, DICT_BYTES, MAX_LANGS = 150, 1500, 96 << 10, 256
-LEVEL, BLOCK = 3, 8 << 10
+LEVEL, BLOCK = 12, 4 << 10
 MIN_MARGIN = 0.01
 NARROW_BYTES = 4.0
 _OTHER = re.compile(r"[\W\d_]+")
@@ -42,9 +42,7 @@ def letters(text: str | None) -> str:
 def train(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary per language from the rows of ``docs(doc_id, text, lang)`` outside the held-out fold."""
     rows = docs.select("doc_id", "text", "lang").where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    first = Window.partitionBy("lang").orderBy(order, "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= SAMPLE_DOCS)
+    chosen = sample_ids(rows, "lang", SAMPLE_DOCS)
     bound = MAX_LANGS * SAMPLE_DOCS
     ids = chosen.select("doc_id").limit(bound + 1).collect()
     if len(ids) > bound:

@@ -7,12 +7,12 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from momentloom.plans.stable import shared_dir, stable
+from momentloom.plans.stable import own, shared_dir, stable
 
-__all__ = ["column", "distinct_rows", "fingerprint", "folder", "free_name", "is_held_out", "shared_dir", "ship", "stable", "table"]
+__all__ = ["fingerprint", "folder", "free_name", "is_held_out", "sample_ids", "shared_dir", "ship", "stable", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, kind: str) -> str:
-    """A new folder name in the shared folder; nothing is created."""
-    return f"{shared_dir(spark)}/momentloom/{kind}-{uuid.uuid4().hex}"
-
-
-def column(name: str) -> Column:
-    """A column by its exact name, whatever characters that has."""
-    return F.col(f"`{name.replace('`', '``')}`")
+    """A new folder name in the shared folder; it goes when the run ends or is released."""
+    return own(spark, f"{shared_dir(spark)}/momentloom/{kind}-{uuid.uuid4().hex}") + "/rows"
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -42,16 +37,26 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def sample_ids(rows: DataFrame, by: str, n: int) -> DataFrame:
+    """``(by, doc_id)``: of each value of ``by``, the ``n`` ids with the smallest MD5.
+
+    A bound on the MD5 that leaves about ``1.5 n`` rows of each value comes first, so what is
+    ranked does not grow with the input.
+    """
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    place = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"))
+    near = rows.select(by, "doc_id").join(counts, by).where(place <= (1.5 * n + 100.0) / F.col("n_rows"))
+    order = Window.partitionBy(by).orderBy(digest, "doc_id")
+    return near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n).select(by, "doc_id")
+
+
 def fingerprint(df: DataFrame) -> tuple[int, int]:
     """Row count and an order-free sum over all rows; equal tables have equal fingerprints."""
     row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)"))).first()
     return row[0], int(row[1] or 0)
 
 
-def distinct_rows(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*names).distinct()
-
-
 def ship(df: DataFrame) -> DataFrame:
     """``df``, after Spark has sent this package to the Python workers (once per application)."""
     context = df.sparkSession.sparkContext

@@ -26,11 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from momentloom.llm.shared import is_held_out, ship, stable
+from momentloom.llm.shared import is_held_out, sample_ids, ship, stable
 
 SAMPLE_DOCS, MAX_FEATURES = 10_000, 1024
 MIN_Z, MIN_DOCS = 5.0, 4
@@ -149,9 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, terms: Sequence[Sequence[str]] = I
     """From the labelled rows of ``docs(doc_id, text)`` outside the held-out fold."""
     marked = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("toxic in (0, 1) and doc_id is not null")
     marked = marked.where(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    chosen = marked.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SAMPLE_DOCS)
-    chosen = stable(chosen.select("doc_id", "toxic"))
+    chosen = stable(sample_ids(marked, "toxic", SAMPLE_DOCS).select("doc_id", "toxic"))
     # At most 2 * SAMPLE_DOCS rows of 12 bytes.
     rows = ship(docs).select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     seen = stable(rows.mapInArrow(_found(terms), "toxic int, found array<string>, swapped array<string>"))
