@@ -251,6 +251,15 @@ def fallback_windows(spark, sf):
     return windows.fallback_windows(text, stable(found)).select("transcript_id", "lo", "hi", "start_ms", "end_ms")
 
 
+@query("fallback_windows_jumps", ORACLES["fallback_windows"])
+def fallback_windows_jumps(spark, sf):
+    """The same result by pointer jumps, as for keys of any size."""
+    text = stable(doc_sentences(spark, sf))
+    top = stable(seeds.rank_seeds(seeds.find_seeds(text)))
+    found = stable(windows.distinct_windows(windows.expand_windows(text, top)))
+    return windows.fallback_windows(text, found, fold_limit=10).select("transcript_id", "lo", "hi", "start_ms", "end_ms")
+
+
 @query("candidate_windows", o.cte(*WINDOWS_SQL, *o.fallback(), *o.CANDIDATES)
        + f" SELECT {cols(*WINDOW_COLS, 'text', 'seed_reason', *lx.FLAGS)} FROM cands")
 def candidate_windows(spark, sf):
@@ -322,6 +331,12 @@ def relaxed_dedup(spark, sf):
     return select.relaxed_dedup_any(candidates(spark, sf)[1], 5, order=an.ORDER).select(*KEPT_COLS)
 
 
+@query("relaxed_dedup_rounds", ORACLES["relaxed_dedup"])
+def relaxed_dedup_rounds(spark, sf):
+    """The same result by rounds, as for keys of any size."""
+    return select.relaxed_dedup_any(candidates(spark, sf)[1], 5, order=an.ORDER, fold_limit=10).select(*KEPT_COLS)
+
+
 CHOSEN_SQL = [*o.chain(SAMPLE), *o.dedup(o.LEVELS, n=5), o.top_n(5)]
 
 
