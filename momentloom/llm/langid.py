@@ -42,11 +42,8 @@ def letters(text: str | None) -> str:
 def train(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary per language from the rows of ``docs(doc_id, text, lang)`` outside the held-out fold."""
     rows = docs.select("doc_id", "text", "lang").where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = sample_ids(rows, "lang", SAMPLE_DOCS)
-    bound = MAX_LANGS * SAMPLE_DOCS
-    ids = chosen.select("doc_id").limit(bound + 1).collect()
-    if len(ids) > bound:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    chosen = sample_ids(rows, "lang", SAMPLE_DOCS, MAX_LANGS)
+    ids = chosen.select("doc_id").collect()  # at most MAX_LANGS * SAMPLE_DOCS numbers
     wanted = docs.sparkSession.createDataFrame(ids or [(None,)], "doc_id long").dropna()
     sample = rows.join(F.broadcast(wanted), "doc_id", "left_semi").select("lang", "doc_id", F.substring("text", 1, 4 * PIECE).alias("text"))
     parts: dict[str, list[tuple[int, str]]] = {}

@@ -37,16 +37,22 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample_ids(rows: DataFrame, by: str, n: int) -> DataFrame:
+def sample_ids(rows: DataFrame, by: str, n: int, max_values: int) -> DataFrame:
     """``(by, doc_id)``: of each value of ``by``, the ``n`` ids with the smallest MD5.
 
-    A bound on the MD5 that leaves about ``1.5 n`` rows of each value comes first, so what is
-    ranked does not grow with the input.
+    A bound on the MD5 that leaves about ``1.5 n`` rows of each value comes first and is tested
+    where the rows are read, so what is shuffled and ranked does not grow with the input.
+    ``by`` has at most ``max_values`` values.
     """
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     place = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"))
-    near = rows.select(by, "doc_id").join(counts, by).where(place <= (1.5 * n + 100.0) / F.col("n_rows"))
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).limit(max_values + 1).collect()
+    if len(counts) > max_values:
+        raise ValueError(f"{by} has more than {max_values} values")
+    if not counts:
+        return rows.select(by, "doc_id").limit(0)
+    limits = F.create_map(*[F.lit(x) for value, held in counts for x in (value, (1.5 * n + 100.0) / held)])
+    near = rows.select(by, "doc_id").where(place <= F.element_at(limits, F.col(by)))
     order = Window.partitionBy(by).orderBy(digest, "doc_id")
     return near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n).select(by, "doc_id")
 

@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, terms: Sequence[Sequence[str]] = I
     """From the labelled rows of ``docs(doc_id, text)`` outside the held-out fold."""
     marked = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("toxic in (0, 1) and doc_id is not null")
     marked = marked.where(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = stable(sample_ids(marked, "toxic", SAMPLE_DOCS).select("doc_id", "toxic"))
+    chosen = stable(sample_ids(marked, "toxic", SAMPLE_DOCS, 2).select("doc_id", "toxic"))
     # At most 2 * SAMPLE_DOCS rows of 12 bytes.
     rows = ship(docs).select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     seen = stable(rows.mapInArrow(_found(terms), "toxic int, found array<string>, swapped array<string>"))
