@@ -31,7 +31,7 @@ from momentloom.llm import files
 from momentloom.llm.shared import folder, ship, stable
 
 DATE = "2024-01-01T00:00:00Z"
-SHARD_BYTES, ROLL_BYTES = 128 << 20, 32 << 20
+SHARD_BYTES, ROLL_BYTES = 32 << 20, 32 << 20
 RANGES = 1 << 14
 READ_BYTES = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
