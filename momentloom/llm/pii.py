@@ -1,17 +1,22 @@
 """Personal data: exact patterns, and terms that give protected entities away.
 
 The patterns find e-mail addresses, IP addresses, payment cards and phone numbers; each value found is
-a *protected entity*. Terms that stand within ``WINDOW`` words of an entity may disclose it. The
-corpus says how much: with document counts over all documents,
+a *protected entity*. Every word of a document with an entity may disclose it. The corpus says how
+much: with document counts over all documents,
 
-    PMI(term; entity) = log2(n * n(term, entity) / (n(term) * n(entity)))
+    PMI(term; entity) = log2(n * n(term, entity) / ((n(term) + SMOOTH) * n(entity)))
 
 is the information that the term gives, and the entity holds log2(n / n(entity)) bits, so their
-quotient is the disclosed share: 1 if the term occurs with that entity only. Terms that reach
-``GENERALISE`` in at least ``SUPPORT`` documents are generalised, those that reach ``REMOVE`` removed.
+quotient is the disclosed share: near 1 if the term occurs with that entity only. ``SMOOTH`` takes
+most from rare terms, so one seen once is generalised rather than removed in a small corpus; no
+number of documents is required. In the documents of the entity, every place of a term that reaches
+``GENERALISE`` is generalised, of one that reaches ``REMOVE`` removed.
 
-Counts of terms are taken over all documents. So that only terms that matter are shuffled, tasks
-test words against a Bloom filter of the candidate terms, whose size is fixed.
+Counts of terms are taken over all documents, with the words inside the patterns' matches. So that
+only terms that matter are shuffled, tasks test words against a Bloom filter of the candidate terms,
+whose size is fixed.
+
+The cost grows with (distinct words x distinct entities) of a document.
 
 Cases: a null text is empty. Equal rows count as documents of their own. Spans never overlap spans of
 the patterns. A corpus of one document discloses nothing. An empty table gives no rows. Other
@@ -22,9 +27,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,8 @@ from momentloom.llm import bytescan
 from momentloom.llm.shared import ship, stable
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, SUPPORT = 8, 3
 GENERALISE, REMOVE = 0.8, 0.95
+SMOOTH = 0.5
 BLOOM_BITS = 1 << 23
 BLOOM_HASHES = 4
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -97,44 +101,34 @@ def key(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _around(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
-    """``(entity, term, start, end)`` of the words near each entity, outside all spans."""
-    out = {}
-    starts = [s for s, _, _ in spans]
-    reach = list(accumulate((e for _, _, e in spans), max))  # the furthest end of a span and all before it
-
-    def inside(s: int, e: int) -> bool:
-        k = bisect_left(starts, e)
-        return k > 0 and reach[k - 1] > s
-
+def _words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """``(term, start, end)`` of every word; one that lies in a span, even in part, has the start -1."""
+    covered: list[list[int]] = []
     for s, _, e in spans:
-        entity = key(text[s:e])
-        ahead = _WORD.finditer(text, e)
-        near = [m for m, _ in zip(ahead, range(WINDOW), strict=False)]
-        back, width = [], 24 * WINDOW
-        while True:
-            lo = max(0, s - width)
-            back = list(_WORD.finditer(text, lo, s))
-            if len(back) > WINDOW or lo == 0:
-                break
-            width *= 2
-        for m in back[-WINDOW:] + near:
-            if not inside(m.start(), m.end()):
-                out[(entity, m.start())] = (entity, m[0].lower(), m.start(), m.end())
-    return list(out.values())
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    k = 0
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        while k < len(covered) and covered[k][1] <= s:
+            k += 1
+        yield m[0].lower(), -1 if k < len(covered) and covered[k][0] < e else s, e
 
 
 FOUND = ("row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-         "base array<struct<start:int,kind:int,end:int>>, "
-         "near array<struct<entity:long,term:long,start:int,end:int>>")
+         "base array<struct<start:int,kind:int,end:int>>, entities array<long>, "
+         "words array<struct<term:long,start:int,end:int>>")
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo: dict[str, int] = {}
     for batch in batches:
         counts: list[list[int]] = [[], [], [], []]
-        digests, base, near = [], [], []
+        digests, base, entities = [], [], []
+        terms, starts, ends, upto = array("q"), array("i"), array("i"), array("i", [0])
         for text in batch.column(2):
             text = text.as_py() or ""
             spans = base_spans(text)
@@ -142,11 +136,24 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(sum(kind == k for _, kind, _ in spans))
             digests.append(hashlib.sha256(written(spans).encode()).hexdigest())
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-            near.append([{"entity": x, "term": key(t), "start": s, "end": e} for x, t, s, e in _around(text, spans)])
+            entities.append(sorted({key(text[s:e]) for s, _, e in spans}))
+            for term, s, e in _words(text, spans) if spans else ():
+                if term not in memo:
+                    if len(memo) > 500_000:
+                        memo.clear()
+                    memo[term] = key(term)
+                terms.append(memo[term])
+                starts.append(s)
+                ends.append(e)
+            upto.append(len(terms))
+        words = pa.StructArray.from_arrays(
+            [pa.array(np.frombuffer(terms, np.int64)), pa.array(np.frombuffer(starts, np.int32)), pa.array(np.frombuffer(ends, np.int32))],
+            names=["term", "start", "end"])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts),
-             pa.array(digests, pa.string()), pa.array(base, _BASE), pa.array(near, _NEAR)],
-            names=["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+            [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()),
+             pa.array(base, _BASE), pa.array(entities, pa.list_(pa.int64())),
+             pa.ListArray.from_arrays(pa.array(np.frombuffer(upto, np.int32)), words)],
+            names=["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "words"])
 
 
 class Bloom:
@@ -195,7 +202,7 @@ def _term_counts(shared):
         for batch in batches:
             counts: dict[int, int] = {}
             for text in batch.column(0):
-                words = set(_WORD.findall((text.as_py() or "").lower()))
+                words = {w.lower() for w in set(_WORD.findall(text.as_py() or ""))}
                 fresh = [w for w in words if w not in memo]
                 if fresh:
                     if len(memo) > 500_000:
@@ -213,20 +220,23 @@ def _term_counts(shared):
     return run
 
 
+def _pairs(found: DataFrame) -> DataFrame:
+    """``(row, entity, term)``: every entity of a row with every term of the row, once."""
+    rows = found.select("row", "entities", F.array_distinct("words.term").alias("terms"))
+    return rows.select("row", F.explode("entities").alias("entity"), "terms").select("row", "entity", F.explode("terms").alias("term"))
+
+
 def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(entity, term, share)``: how much of each entity's information a near term gives away."""
-    pairs = stable(found.select("row", F.explode("near").alias("c")).select("row", "c.entity", "c.term").distinct()
-                   .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")))
-    wide = pairs.where(F.col("n_both") >= SUPPORT)
-    entities = found.select("row", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_entity"))
-    bloom = candidate_filter(wide.select("term").distinct())
+    """``(entity, term, share)``: how much of each entity's information a term of its documents gives away."""
+    pairs = _pairs(found).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    bloom = candidate_filter(found.select(F.explode(F.array_distinct("words.term")).alias("term")))
     shared = docs.sparkSession.sparkContext.broadcast(bloom.bits.tobytes())
     counts = docs.select("text").mapInArrow(_term_counts(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     n = docs.count()
-    share = F.try_divide(F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))),
+    share = F.try_divide(F.log2(F.lit(float(n)) * F.col("n_both") / ((F.col("n_term") + SMOOTH) * F.col("n_entity"))),
                          F.log2(F.lit(float(n)) / F.col("n_entity")))
-    met = wide.join(entities, "entity").join(counts, "term").where(F.col("n_entity") < n)
+    met = pairs.join(entities, "entity").join(counts, "term").where(F.col("n_entity") < n)
     return met.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 
 
@@ -241,12 +251,13 @@ def find(docs: DataFrame) -> DataFrame:
     ``terms`` are the disclosing terms as ``(start, kind, end, removed)``."""
     rows = ship(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     found = stable(rows.mapInArrow(_find, FOUND))
-    open_ = found.where(F.size("near") > 0)
+    open_ = found.where(F.size("entities") > 0)
     told = stable(disclosures(open_, docs))
-    near = open_.select("row", F.explode("near").alias("c")).select("row", "c.*")
-    spans = near.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share")).groupBy("row").agg(
+    judged = _pairs(open_).join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+    places = open_.select("row", F.explode("words").alias("w")).select("row", "w.*").where("start >= 0")
+    spans = places.join(judged, ["row", "term"]).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", (F.col("share") >= REMOVE).alias("removed")))).alias("terms"))
-    met = found.drop("near").join(spans, "row", "left")
+    met = found.drop("entities", "words").join(spans, "row", "left")
     extra = F.transform(F.coalesce("terms", F.array()), lambda t: F.struct(t["start"], t["kind"], t["end"]))
     return met.withColumn("all", F.concat("base", extra)).withColumn("spans", _all_spans()).drop("all")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -110,6 +111,37 @@ def test_terms_that_disclose(spark):
     assert all(r["n_terms"] == 0 for r in pii.sanitise(frame(spark, more)).collect())
 
 
+def test_every_word_is_judged_and_every_place_marked(spark):
+    # The entity stands in one document, the name 20 words away and twice.
+    rng = random.Random(17)
+    common = [f"c{i}" for i in range(40)]
+    say = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows = [(i, say(120)) for i in range(100)]
+    rows.append((100, f"Zebrafish {say(20)} who@secret.example {say(60)} zebrafish {say(5)}"))
+    rows.append((101, f"İzmir {say(20)} 10.1.2.3 {say(20)} 10.1.2.4 {say(20)}"))
+    rows += [(102 + i, f"{say(30)} John {say(9)} john@home.example {say(9)}" if i == 0 else f"{say(30)} john@home.example") for i in range(5)]
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("term")] for r in pii.sanitise(frame(spark, rows)).collect()}
+
+    n, words, held = len(rows), {}, {}
+    for i, t in rows:
+        words[i] = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t)]
+        held[i] = {t[s:e] for s, _, e in pii.base_spans(t)}
+    docs_of = lambda w: {i for i in words if w in {x for x, _, _ in words[i]}}
+    docs_with = lambda e: {i for i in held if e in held[i]}
+
+    def tells(w, e):
+        a, b = docs_of(w), docs_with(e)
+        return math.log2(n * len(a & b) / ((len(a) + 0.5) * len(b))) / math.log2(n / len(b)) >= 0.8
+
+    for i, t in rows:
+        spans = pii.base_spans(t)
+        want = [f"term:{s}:{e}" for w, s, e in words[i] if not any(s < y and e > x for x, _, y in spans) and any(tells(w, v) for v in held[i])]
+        assert got[i] == want, i
+    assert len(got[100]) == 2 and len(got[101]) == 1 and len(got[102]) == 1
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, rows)).collect()}
+    assert "zebrafish" not in clean[100].lower() and "İzmir" not in clean[101] and "John" not in clean[102]
+
+
 def test_bloom_has_no_false_negatives():
     import numpy as np
     keys = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 5000)
