@@ -5,8 +5,9 @@ one path are alike, so the page is judged by path: characters per node, and punc
 the spread of both. Both ratios are smoothed over the paths that stand next to each other in page
 order, multiplied, and paths above a share of the page's mean are content. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are out by their tags and
-class names, whatever their ratios. The content's innermost common container then gives back its
-headings, lists and short paragraphs.
+class names, whatever their ratios. The innermost element that holds all headings, paragraphs and
+sentences of the content then gives back its headings and short paragraphs. An article or main
+element with content in it is kept whole.
 
 Cases: a null or empty page gives an empty text. Markup that is cut off or not closed is read as
 far as it goes. A page without markup is one block. An empty table gives no rows. Other columns are
@@ -20,6 +21,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -214,27 +216,30 @@ def _tag(path: tuple[str, ...]) -> str:
     return path[-1].split(".")[0] if path else ""
 
 
+def _article(path: tuple[str, ...]) -> int:
+    """The place of the outermost article or main in ``path``; its length if there is none."""
+    return next((k for k, step in enumerate(path) if step.split(".")[0] in ("article", "main")), len(path))
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the article, one per line."""
     nodes = [node[:3] for node in blocks(page or "") if not node[3]]
     if not nodes:
         return ""
-    inside = [node for node in nodes if any(s.split(".")[0] in ("article", "main") for s in node[0])]
+    inside = [node for node in nodes if _article(node[0]) < len(node[0])]
     nodes = inside or nodes
     chosen = content_paths([(path, text) for path, _, text in nodes])
-    # The container: the innermost element that holds nearly all of the chosen text.
-    held: dict[tuple[int, ...], int] = defaultdict(int)
-    total = 0
-    for path, elements, text in nodes:
-        if path in chosen:
-            total += len(text)
-            upto = len(path) - (_tag(path) in TEXT_TAGS)
-            for k in range(upto + 1):
-                held[elements[:k]] += len(text)
-    container = max((p for p, n in held.items() if 10 * n >= 9 * total), key=len, default=())
+    if inside:
+        kept = {elements[_article(path)] for path, elements, _ in nodes if path in chosen}
+        return "\n".join(text for path, elements, text in nodes if elements[_article(path)] in kept)
+    # The container: the innermost element that holds all headings, paragraphs and sentences of the content.
+    # A bare label ("Imprint") of a path that is content by its neighbours only does not widen it.
+    core = [node for node in nodes if node[0] in chosen]
+    core = [node for node in core if _tag(node[0]) in LOOSE_TAGS or _PUNCT.search(node[2])] or core
+    container = tuple(commonprefix([elements[: len(path) - (_tag(path) in TEXT_TAGS)] for path, elements, _ in core]))
     return "\n".join(
         text for path, elements, text in nodes
-        if elements[: len(container)] == container and (inside or path in chosen or _tag(path) in LOOSE_TAGS))
+        if elements[: len(container)] == container and (path in chosen or _tag(path) in LOOSE_TAGS))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,17 @@ def test_page_without_article_elements():
     assert htmltext.main_text(page).split("\n") == ["Head", *(f"{PROSE}{i}" for i in range(6)), "Tiny."]
 
 
+def test_nothing_of_the_article_is_lost():
+    body = "".join(f"<p>{PROSE}{i}</p>" for i in range(40))
+    lines = [f"{PROSE}{i}" for i in range(40)]
+    page = f"<body><article><h1>T</h1><div class='body'>{body}</div><p>The closing words, at last.</p></article></body>"
+    assert htmltext.main_text(page).split("\n") == ["T", *lines, "The closing words, at last."]
+    page = f"<body><main><h1>T</h1><article><section><h2>A</h2>{body}</section><section><h2>B</h2><p>{PROSE}</p></section></article></main></body>"
+    assert htmltext.main_text(page).split("\n") == ["T", "A", *lines, "B", PROSE.strip()]
+    page = f"<body><div><a href='/'>Home</a></div><div><h1>T</h1><div><div>{body}</div></div><div><p>{PROSE}</p></div></div></body>"
+    assert htmltext.main_text(page).split("\n") == ["T", *lines, PROSE.strip()]
+
+
 @pytest.mark.parametrize("cut", ["<article><p>Some text, here. <foo", "<article><p>Some text, here. </p", "<article><p>Some text, here. <!-- open",
                                  "<article><p>Some text, here. <", "<article><p>Some text, here. <script>x"])
 def test_cut_off_pages(cut):
