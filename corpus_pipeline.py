@@ -2,7 +2,7 @@
 with test items; what stays is mixed to the sources' target weights.
 
 Each stage reads what its predecessor kept, as Parquet. All stages but the last return the columns of
-``documents``; the last returns the training order, one row per document.
+``documents``; the last returns the training order, one row per occurrence of a document.
 
 Cases: rows without an id pass the filters like others, but of equal texts a row with an id stays
 before one without. Rows with the same id are one document: what holds for the id holds for all of
@@ -52,7 +52,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training order of what is left."""
-    return mixing.mix(docs)
+    return mixing.order(docs)
 
 
 STAGES = [

@@ -8,10 +8,12 @@ others by weight.
 
 Inside a source, documents stand in the order of the MD5 of their id, and the source is read round
 and round: whole passes, then one that ends, inside a document if need be, where the target is
-reached. The word at which a document starts, divided by the target, is the demand met so far;
-inverting the integrated schedule gives its training time, and documents are range-sorted by it.
+reached. The word at which an occurrence of a document starts, counted over all passes and divided by
+the target, is the demand met so far; inverting the integrated schedule gives its training time, and
+occurrences are range-sorted by it.
 
-Cases: a null text has no words, is taken 0 words and has no position. A null source is a source,
+Cases: a null text has no words, is taken 0 words and has no position. A document that is not taken
+has one row in the order, the last, without a pass. A null source is a source,
 the last in order. Rows with the same id are one after the other and each counts. Sources without
 words have the target 0. An empty table gives no rows. Other columns are ignored.
 """
@@ -69,15 +71,8 @@ def training_time(demand: Column, tilt: Column) -> Column:
     return F.when(tilt == 0, demand).otherwise((F.sqrt(flat * flat + 4.0 * tilt * demand) - flat) / (2.0 * tilt))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, tilts: Sequence[float] = TILTS,
-        share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """One row per document of ``docs(doc_id, text, source)``: ``doc_id, source, size, source_size,
-    target, taken, passes, position``.
-
-    ``taken`` is the words that the mix takes of the document over all passes, ``passes`` how often
-    it occurs, ``position`` the training time of its first occurrence in millionths of the run. The
-    rows are range-sorted by position.
-    """
+def _occurrences(docs: DataFrame, weights: Sequence[float], tilts: Sequence[float], share: float, cap: float) -> DataFrame:
+    """Every occurrence of every document in the mix, in no order; ``pass`` counts from 0."""
     sized = stable(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"))
                    .withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
     slot = F.substring("hash", 1, 4)
@@ -100,11 +95,36 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, tilts: Sequence[flo
     rest = words - whole * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("start"), F.lit(0)), F.col("size"))
     taken = whole * F.col("size") + part
-    demand = F.try_divide(F.col("start").cast("double"), F.col("target"))
-    position = F.when(taken > 0, F.floor(training_time(demand, F.col("tilt")) * TICKS).cast("long"))
-    out = placed.select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
-        F.when(F.col("size") > 0, whole + F.when(part > 0, 1).otherwise(0)).otherwise(0).cast("long").alias("passes"),
-        position.alias("position"))
-    return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(
-        F.col("position").asc_nulls_last(), "doc_id")
+    passes = F.when(F.col("size") > 0, whole + F.when(part > 0, 1).otherwise(0)).otherwise(0).cast("long")
+    told = placed.select("doc_id", "source", "size", "source_size", "target", "tilt", "start", taken.alias("taken"),
+                         passes.alias("passes"), whole.alias("whole"), part.cast("long").alias("part"))
+    turns = F.when(F.col("passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("passes") - 1))
+    each = told.select("*", F.explode_outer(turns).alias("pass"))
+    demand = F.try_divide((F.col("start") + F.col("pass") * F.col("source_size")).cast("double"), F.col("target"))
+    position = F.when(F.col("taken") > 0, F.floor(training_time(demand, F.col("tilt")) * TICKS).cast("long"))
+    words_ = F.when(F.col("pass").isNull(), 0).when(F.col("pass") < F.col("whole"), F.col("size")).otherwise(F.col("part")).cast("long")
+    return each.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "pass",
+                       words_.alias("words"), position.alias("position"))
+
+
+def order(docs: DataFrame, weights: Sequence[float] = WEIGHTS, tilts: Sequence[float] = TILTS,
+          share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The training order: one row per occurrence of a document of ``docs(doc_id, text, source)`` with
+    ``doc_id, source, size, source_size, target, taken, passes, pass, words, position``.
+
+    ``words`` is how many of its words this pass takes, from the first on, ``position`` the training
+    time at which it starts, in millionths of the run. ``taken`` and ``passes`` count all occurrences
+    of the document. The rows are range-sorted by position.
+    """
+    keys = F.col("position").asc_nulls_last(), F.col("doc_id"), F.col("pass")
+    return _occurrences(docs, weights, tilts, share, cap).repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, tilts: Sequence[float] = TILTS,
+        share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The digest of ``order``, one row per document: ``doc_id, source, size, source_size, target, taken,
+    passes, position``, with the position of the first occurrence. The rows are range-sorted by it.
+    """
+    first = _occurrences(docs, weights, tilts, share, cap).where(F.coalesce("pass", F.lit(0)) == 0).drop("pass", "words")
+    keys = F.col("position").asc_nulls_last(), F.col("doc_id")
+    return first.repartitionByRange(*keys).sortWithinPartitions(*keys)

@@ -64,6 +64,32 @@ def test_mix(spark, seed):
     assert sorted(map(str, again)) == sorted(str(r) for r in mixing.mix(frame(spark, rows)).collect())
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_order_places_every_occurrence(spark, seed):
+    rows = mix_rows(seed)
+    docs = frame(spark, rows)
+    got = [r.asDict() for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    digest = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    assert {r["doc_id"] for r in got} == set(digest)
+    placed = [r["position"] for r in got if r["position"] is not None]
+    assert placed == sorted(placed) and all(r["position"] is None for r in got[len(placed):])
+    for i, d in digest.items():
+        own = [r for r in got if r["doc_id"] == i]
+        assert [r["pass"] for r in own] == (list(range(d["passes"])) or [None])
+        assert sum(r["words"] for r in own) == d["taken"] and own[0]["position"] == d["position"]
+    assert any(r["pass"] == 1 for r in got)
+    # Read in order, each source meets its schedule up to the end of its target.
+    tilt = dict(zip(sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or "")), [0.5, -0.5, 0.0] * 2))
+    read = Counter()
+    for s in tilt:
+        mine = sorted((r for r in got if r["source"] == s and r["pass"] is not None), key=lambda r: (r["position"], r["pass"]))
+        for r in mine:
+            u = r["position"] / 1e6
+            assert ((1 - tilt[s]) * u + tilt[s] * u * u) * r["target"] == pytest.approx(read[s], abs=0.01 + 2e-6 * r["target"])
+            read[s] += r["words"]
+        assert read[s] == round(mine[0]["target"])
+
+
 def test_mix_edges(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     row = mixing.mix(frame(spark, [(1, None, "a"), (2, "", "a")])).collect()
