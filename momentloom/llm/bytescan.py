@@ -1,8 +1,7 @@
 """Vectorised scans over the UTF-8 bytes of an Arrow string column.
 
-Words and lines of a whole batch are cut and hashed at once. A segment's hash is a polynomial
-over a random value per byte, taken modulo 2**64 from running sums, so its cost does not
-depend on the number of segments.
+Words and lines of a run of rows are cut at once; each is hashed by XXH3, whose collisions do not
+follow the structure of a text. Runs are small, so that a worker's memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -11,16 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
-SLICE_BYTES = 1 << 22
-_RANDOM = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _RANDOM.integers(1, 2**63, size=(2, 256), dtype=np.uint64)
-_BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+SLICE_BYTES = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -55,26 +51,11 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def _power(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
-        base = np.full(size, _BASE[which], dtype=np.uint64)
-        inverse = np.full(size, pow(_BASE[which], -1, 1 << 64), dtype=np.uint64)
-        base[0] = inverse[0] = 1
-        have = np.multiply.accumulate(base), np.multiply.accumulate(inverse)
-        if n <= SLICE_BYTES + (1 << 16):  # a huge text's tables are not kept
-            _powers[which] = have
-    return have
-
-
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of the bytes of each ``[start, end)``; ``which`` picks one of two independent ones."""
-    power, inverse = _power(len(data) + 1, which)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[which][data] * power[: len(data)], out=sums[1:])
-    length = (ends - starts).astype(np.uint64)
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + length)
+    """64-bit hash of the bytes of each ``[start, end)``; ``which`` seeds independent ones."""
+    raw = data.tobytes()
+    found = (xxh3_64_intdigest(raw[a:b], which) for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    return np.fromiter(found, dtype=np.uint64, count=len(starts))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

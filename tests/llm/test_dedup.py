@@ -197,3 +197,12 @@ def test_lines_without_ids_and_rows(spark):
     got = rows_of(deduplicate_lines(frame(spark, rows)), "doc_id", "n_dropped")
     assert got == [(8, 0), (None, 1), (None, 1)]
     assert deduplicate_lines(frame(spark, [])).count() == 0
+
+
+def test_self_similar_texts_differ(spark):
+    """Words of equal letters in Thue-Morse order, which polynomials modulo a power of two confuse."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = frame(spark, [(1, one), (2, other), (3, f"{one} {one} {one} {one} {one}"), (4, f"{other} {other} {other} {other} {other}")])
+    assert rows_of(deduplicate_lines(docs), "doc_id", "n_dropped") == [(1, 0), (2, 0), (3, 0), (4, 0)]
+    assert rows_of(near_duplicates(docs), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 3), (4, 4)]
