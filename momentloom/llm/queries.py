@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from momentloom.llm.convtrie import conversation_trie
 from momentloom.llm.decontam import contaminated
 from momentloom.llm.exactdedup import exact_duplicates
 from momentloom.llm.htmltext import extract
@@ -61,6 +63,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _shared_turns(conv_id: Column) -> Column:
+    return F.crc32(conv_id.cast("string").cast("binary")) % 4
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"), _shared_turns)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -72,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 _WHITE = r"[\x20\x09-\x0D]+"
@@ -120,4 +131,23 @@ r AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP
 m AS (SELECT k.*, r.first_doc IS NOT NULL AND r.first_doc <> k.doc_id AS gone FROM k LEFT JOIN r USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op13_conversation_trie": r"""
+WITH o AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS dig, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words FROM o),
+t AS (SELECT conv_id, dig, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dig) AS pos FROM g),
+s AS (SELECT conv_id, max(pos) AS n FROM t GROUP BY conv_id),
+f AS (SELECT conv_id, conv_id - conv_id % 20 AS base, n, xor(4294967295::BIGINT, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1))), 4294967295::BIGINT)) % 4 AS h FROM s),
+c AS (SELECT f.*, least(f.h, coalesce(b.n, 0)) AS took FROM f LEFT JOIN s b ON b.conv_id = f.base),
+r AS (SELECT c.conv_id, pos - h + took AS d, dig, words FROM t JOIN c USING (conv_id) WHERE pos > h
+  UNION ALL SELECT c.conv_id, pos, dig, words FROM c JOIN t ON t.conv_id = c.base AND pos <= took),
+q AS (SELECT c.conv_id, coalesce(list(dig ORDER BY d) FILTER (d IS NOT NULL), []) AS digs, coalesce(list(words ORDER BY d) FILTER (d IS NOT NULL), []) AS ws FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+e AS (SELECT *, unnest(range(len(digs) + 1)) AS depth FROM q),
+m AS (SELECT conv_id, depth, len(digs) = depth AS ends, array_to_string(digs[1:depth], '') AS key, array_to_string(digs[1:depth - 1], '') AS pkey, coalesce(ws[depth], 0) AS w FROM e),
+v AS (SELECT depth, key, any_value(pkey) AS pkey, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY depth, key),
+k AS (SELECT depth - 1 AS depth, pkey AS key, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL),
+x AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (depth, key)),
+y AS (SELECT m.depth, m.key, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n - 1) * x.w)::BIGINT AS saved_tokens FROM x JOIN m ON m.conv_id = x.conv_id AND m.depth <= x.depth GROUP BY ALL)
+SELECT x.conv_id, x.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, x.n AS n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM x JOIN y USING (depth, key) LEFT JOIN v u ON u.depth = x.depth - 1 AND u.key = x.pkey AND x.depth > 0""",
 }
