@@ -13,6 +13,7 @@ from momentloom.llm.exactdedup import exact_duplicates
 from momentloom.llm.htmltext import extract
 from momentloom.llm.langid import identify
 from momentloom.llm.linededup import deduplicate_lines
+from momentloom.llm.maxscore import top_k
 from momentloom.llm.minhash import near_duplicates
 from momentloom.llm.mixing import mix
 from momentloom.llm.pii import sanitise
@@ -63,6 +64,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def _shared_turns(conv_id: Column) -> Column:
     return F.crc32(conv_id.cast("string").cast("binary")) % 4
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_top_k": op12_top_k,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -131,6 +137,11 @@ r AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP
 m AS (SELECT k.*, r.first_doc IS NOT NULL AND r.first_doc <> k.doc_id AS gone FROM k LEFT JOIN r USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op12_top_k": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64.0::DOUBLE * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20""",
     "op13_conversation_trie": r"""
 WITH o AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 g AS (SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS dig, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words FROM o),
