@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,13 +63,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.where(~F.col("word").isin("", BREAK)).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _with_ids(words: DataFrame) -> tuple[DataFrame, int]:
+def _with_ids(words: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The words and the breaks of each language with ids that are all different, and the seed."""
     seed = 0
+    marks = stable(words.select("lang").distinct().select("lang", F.explode(F.array(F.lit(BREAK), F.lit(""))).alias("word")))
     while True:
-        named = words.withColumn("id", _word_id(seed, F.col("lang"), F.col("word")))
-        shared = named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id = 0")
+        word_id = _word_id(seed, F.col("lang"), F.col("word")).alias("id")
+        named, breaks = words.select("*", word_id), marks.select(word_id)
+        shared = named.select("id").unionByName(breaks).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         if shared.isEmpty():
-            return named, seed
+            return named, breaks, seed
         seed += 1
 
 
@@ -112,30 +116,27 @@ def _bitmap(phrases: DataFrame, names: list[str]) -> Present:
 
 
 def _phrases(ids: np.ndarray, n: int, present: Present) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct phrases of ``n`` words of a run of ids (0: a break) and their counts, sorted."""
-    solid = ids != 0
+    """Distinct phrases of ``n`` words of a run of ids and their counts; equal first words stand together."""
     m = len(ids) - n + 1
     if m <= 0:
         return np.zeros((n, 0), np.int64), np.zeros(0, np.int64)
     # Both parts of n - 1 words must be in the table.
-    whole = np.ones(len(ids) - n + 2, dtype=bool)
-    for j in range(n - 1):
-        whole &= solid[j : j + len(whole)]
-    at = np.flatnonzero(whole)
-    good = np.zeros(len(whole), dtype=bool)
-    good[at] = present(_hash([ids[at + j] for j in range(n - 1)]))
+    good = present(_hash([ids[j : j + m + 1] for j in range(n - 1)]))
     starts = np.flatnonzero(good[:-1] & good[1:])
-    table, code = np.unique(ids[np.concatenate([starts + j for j in range(n)])], return_inverse=True)
+    code, table = pd.factorize(np.concatenate([ids[starts + j] for j in range(n)]))
     code = code.reshape(n, -1)
-    key, rest = code[0], None
-    for j in range(1, n):  # at most 2**20 ids in a run: three words fit 63 bits
-        if len(table) ** (j + 1) < 1 << 63:
-            key = key * len(table) + code[j]
-        else:
-            first, rest = np.unique(key, return_inverse=True)
-            key = rest * len(table) + code[j]
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    return table[code[:, first]], counts
+    if len(table) ** n >= 1 << 63:  # never for three words, as a run has about 2**20
+        code, counts = np.unique(code, axis=1, return_counts=True)
+        return table[code], counts
+    key = code[0]
+    for j in range(1, n):
+        key = key * len(table) + code[j]
+    key, counts = np.unique(key, return_counts=True)
+    out = np.empty((n, len(key)), dtype=np.int64)
+    for j in range(n - 1, -1, -1):
+        key, at = np.divmod(key, max(1, len(table)))
+        out[j] = table[at]
+    return out, counts
 
 
 def _runs(n: int, shared):
@@ -187,10 +188,11 @@ def _merge(n: int, least: int):
     return run
 
 
-def phrase_counts(ids: DataFrame, n: int, shorter: DataFrame, least: int) -> DataFrame:
+def phrase_counts(ids: DataFrame, n: int, shorter: DataFrame, breaks: DataFrame, least: int) -> DataFrame:
     """``(w1 .. wn, n)``: phrases of ``n`` words that occur at least ``least`` times.
 
-    ``ids`` has one column of word ids, ``shorter`` the phrases of one word less that reach the count.
+    ``ids`` has one column of ids of words and ``breaks``, ``shorter`` the phrases of one word less that
+    reach the count. Across a break nothing counts; what the bitmap lets through there is left out again.
     """
     names = [f"w{i + 1}" for i in range(n)]
     bitmap = ids.sparkSession.sparkContext.broadcast(_bitmap(shorter, names[:-1]).data)
@@ -198,6 +200,8 @@ def phrase_counts(ids: DataFrame, n: int, shorter: DataFrame, least: int) -> Dat
     runs = ids.mapInArrow(_runs(n, bitmap), schema)
     prefix = [*names[:2], F.pmod(F.col(names[-1]), F.lit(SPREAD))]
     merged = runs.repartition(*prefix).sortWithinPartitions(*names).mapInArrow(_merge(n, least), schema)
+    for name in names:
+        merged = merged.join(breaks.withColumnRenamed("id", name), name, "left_anti")
     return stable(merged)
 
 
@@ -246,14 +250,13 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN_COUNT, max_wo
     words of ``docs(text, lang)`` by how much more often their parts meet than apart."""
     docs = ship(docs.select("text", "lang"))
     counted = stable(word_counts(docs))
-    named, seed = _with_ids(counted)
+    named, breaks, seed = _with_ids(counted)
     words = stable(named.where(F.col("n") >= least))
     lang = _lang()
-    ids = docs.select(F.transform(F.concat(words_of(), F.array(F.lit(BREAK))), lambda w: F.when(
-        w.isin("", BREAK), F.lit(0).cast("long")).otherwise(_word_id(seed, lang, w))).alias("ids"))
+    ids = docs.select(F.transform(F.concat(words_of(), F.array(F.lit(BREAK))), lambda w: _word_id(seed, lang, w)).alias("ids"))
     phrases = {1: words.select(F.col("id").alias("w1"), "n")}
     for m in range(2, max_words + 1):
-        phrases[m] = phrase_counts(ids, m, phrases[m - 1], least)
+        phrases[m] = phrase_counts(ids, m, phrases[m - 1], breaks, least)
     out = None
     for m in range(2, max_words + 1):
         longer = [(size, phrases[size]) for size in range(m + 1, max_words + 1)]

@@ -76,6 +76,13 @@ def test_against_counting(spark, monkeypatch):
         assert run(spark, rows, top=40, least=10, max_words=longest) == brute(rows, 40, 10, longest)
 
 
+def test_full_bitmap_changes_nothing(spark, monkeypatch):
+    """Every phrase passes the bitmap, those across breaks too."""
+    monkeypatch.setattr(co.Present, "__call__", lambda self, hashes: np.ones(len(hashes), dtype=bool))
+    rows = [("a b. a b, c d! c d. a c", "en")] * 12
+    assert run(spark, rows) == brute(rows, 2000, 10, 3)
+
+
 def test_empty_and_colliding_words(spark, monkeypatch):
     assert run(spark, []) == [] and run(spark, [(None, None)]) == []
     true_id = co._word_id
