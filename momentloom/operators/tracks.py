@@ -1,7 +1,7 @@
 """Conditioning of tracked positions into smooth crop plans.
 
-All work is per clip. A clip has at most (length / step) grid points, so one row per
-clip holds its whole grid.
+Grids stay rows, or chunks of at most ``scans.CHUNK`` values, so a clip may be of any length. The
+array functions are for grids that are short by construction.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from momentloom.operators import scans
 from momentloom.operators.joins import around, overlap_join
 from momentloom.plans.ordered import bind
+from momentloom.plans.stable import stable
 
 STEP_MS = 100
 STATIC_SPREAD = 0.06
@@ -54,13 +56,39 @@ def resample_linear(
 
 
 def collect_grid(grid: DataFrame) -> DataFrame:
-    """One row per clip with its grid values in time order (bounded by the clip length)."""
+    """One row per clip with its grid values in time order, for short clips."""
     line = F.sort_array(F.collect_list(F.struct("i", "value")))
     return grid.groupBy("clip_id").agg(F.transform(line, lambda p: p["value"]).alias("xs"))
 
 
+def smoothed(chunks: DataFrame, key: str = "clip_id", alpha: float = ALPHA) -> DataFrame:
+    """``ema_two_pass`` along keys of any length, on chunks of their values."""
+    return scans.scan(scans.scan(chunks, key, scans.Mean(alpha)), key, scans.Lag(0.6, 0.4), back=True)
+
+
+def slew_limited(chunks: DataFrame, max_step: str, key: str = "clip_id") -> DataFrame:
+    """``slew_limit`` along keys of any length; ``max_step`` is a column of ``chunks``."""
+    return scans.scan(chunks, key, scans.Limit, step=max_step)
+
+
+def changed_points(points: DataFrame, key: str, n: str, step_ms: int, size: int = scans.CHUNK) -> DataFrame:
+    """``(key, t_ms, x)`` of the first, the last and every changed point of chunks of whole pixels ``px``.
+
+    Neighbours across a border come from one row per chunk. ``n`` is a column with a key's points.
+    """
+    ends = points.select(key, "chunk", F.element_at("px", -1).alias("_last"))
+    before = ends.select(key, (F.col("chunk") + 1).alias("chunk"), "_last")
+    line = points.join(before, [key, "chunk"], "left")
+    rows = line.select(key, n, F.col("chunk") * size, "_last", "px", F.posexplode_outer("px").alias("_p", "x")).toDF(
+        key, n, "_first", "_last", "px", "_p", "x")
+    i = F.col("_first") + F.col("_p")
+    earlier = F.when(F.col("_p") > 0, F.get("px", F.col("_p") - 1)).otherwise(F.col("_last"))
+    rows = rows.where((i == 0) | (i == F.col(n) - 1) | (F.col("x") != earlier))
+    return rows.select(key, (i * step_ms).cast("bigint").alias("t_ms"), "x")
+
+
 def ema_two_pass(xs: Column, alpha: float = ALPHA) -> Column:
-    """Forward exponential mean, then a backward pass that removes the lag."""
+    """Forward exponential mean, then a backward pass that removes the lag, on a short array."""
     empty = F.array().cast("array<double>")
 
     def forward(acc: Column, x: Column) -> Column:
@@ -75,7 +103,7 @@ def ema_two_pass(xs: Column, alpha: float = ALPHA) -> Column:
 
 
 def slew_limit(xs: Column, max_step: Column) -> Column:
-    """Limit the change between neighbours to ``max_step`` either way."""
+    """Limit the change between neighbours of a short array to ``max_step`` either way."""
     def step(acc: Column, x: Column) -> Column:
         prev = F.element_at(acc, -1)
         move = F.greatest(-max_step, F.least(max_step, x - prev))
@@ -136,37 +164,46 @@ def plan_crop(
 ) -> DataFrame:
     """One crop plan per clip: size, whether it stands still, and its (t_ms, x) keys.
 
-    ``videos`` has (track, width, height); ``obs`` has normalised ``cx`` per frame.
+    ``videos`` has (track, width, height); ``obs`` has normalised ``cx`` per frame. The plan row
+    gathers the changed points only.
     """
     base = crop_geometry(clips.join(videos, track), mode, out_w, out_h)
-    grid = collect_grid(resample_linear(obs, clips, "cx", step_ms, track, bucket_ms))
-    df = base.join(grid, "clip_id", "left")
+    grid = stable(resample_linear(obs, clips, "cx", step_ms, track, bucket_ms))
     width, half = F.col("width").cast("double"), F.col("crop_w") / 2.0
     free = (F.col("width") - F.col("crop_w")).cast("double")
 
     def clamp(x: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(free, x))
 
-    df = df.withColumn("xs", F.transform("xs", lambda v: v * width))
-    tracked = (F.col("case") == "track") & F.col("xs").isNotNull()
-    lock = lock_if_static(F.col("xs"), width) if mode == "smart_auto" else F.lit(None).cast("double")
-    df = df.withColumns({"tracked": tracked, "_lock": F.when(tracked, lock)})
+    stats = grid.groupBy("clip_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("value").alias("_min"), F.max("value").alias("_max"), F.avg("value").alias("_avg"))
+    df = base.join(stats, "clip_id", "left")
+    tracked = (F.col("case") == "track") & F.col("_n").isNotNull()
+    spread = (F.col("_max") * width - F.col("_min") * width) / F.greatest(F.lit(1.0), width)
+    lock = F.when(spread < STATIC_SPREAD, F.col("_avg") * width) if mode == "smart_auto" else F.lit(None).cast("double")
     pan = F.greatest(F.lit(2.0), F.lit(0.18) * F.greatest(F.lit(1.0), free) * F.lit(step_ms / 1000))
-    left = F.when(
-        F.col("tracked") & F.col("_lock").isNull(), F.transform("xs", lambda x: clamp(x - half))
-    )
-    df = df.withColumn("_left", ema_two_pass(left)).withColumn("_left", slew_limit(F.col("_left"), pan))
-    length = F.greatest(F.lit(200), F.col("end_ms") - F.col("start_ms"))
-    moving = decimate_changes(F.transform("_left", clamp), step_ms, length)
+    df = df.withColumns({"tracked": tracked, "_lock": F.when(tracked, lock), "_pan": pan})
+    df = stable(df.withColumn("_moves", F.col("tracked") & F.col("_lock").isNull()))
+    facts = df.where("_moves").select("clip_id", "width", "crop_w", "_pan", "_n")
+    moving = scans.chunked(grid, "clip_id", "i", "value").join(facts, "clip_id")
+    left = moving.withColumn("xs", F.transform("xs", lambda v: clamp(v * width - half)))
+    left = slew_limited(smoothed(left), "_pan")
+    pixels = stable(left.select("clip_id", "chunk", "_n", F.transform("xs", lambda x: F.rint(clamp(x)).cast("bigint")).alias("px")))
+    points = changed_points(pixels, "clip_id", "_n", step_ms)
+    keys = points.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("t_ms", "x"))).alias("_keys"))
+    df = df.join(keys, "clip_id", "left")
+    length = F.greatest(F.lit(200), F.col("end_ms") - F.col("start_ms")).cast("bigint")
+    pad = F.struct(length.alias("t_ms"), F.element_at("_keys", -1)["x"].alias("x"))
+    moved = F.when(F.size("_keys") < 2, F.concat("_keys", F.array(pad))).otherwise(F.col("_keys"))
     fixed = F.coalesce(
         F.col("x").cast("double"),
         F.when(F.col("_lock").isNotNull(), F.rint(clamp(F.col("_lock") - half))), F.rint(free / 2),
     ).cast("bigint")
     still = F.array(F.struct(F.lit(0).cast("bigint").alias("t_ms"), fixed.alias("x")))
-    static = F.col("_left").isNull()
+    static = ~F.coalesce("_moves", F.lit(False))
     shown = F.when(F.col("case") == "fit", "fit").when(
         F.col("case").isin("portrait", "centre") | ~F.col("tracked"), "center").otherwise(F.lit(mode))
     return df.select(
         "clip_id", "crop_w", "crop_h", "y_top", static.alias("static"), shown.alias("mode"),
-        F.when(static, still).otherwise(moving).alias("keys"),
+        F.when(static, still).otherwise(moved).alias("keys"),
     )

@@ -12,7 +12,7 @@ from momentloom.functions import lexicon as lx
 from momentloom.functions import naming
 from momentloom.functions import text as tx
 from momentloom.operators import (
-    boundaries, catalog, cues, evals, hooks, incremental, joins, keywords, scores, seeds, segment,
+    boundaries, catalog, cues, evals, hooks, incremental, joins, keywords, scans, scores, seeds, segment,
     select, tracks, transcripts, windows,
 )
 from momentloom.plans import analyze as an
@@ -528,15 +528,39 @@ def resample_linear(spark, sf):
 
 @query("ema_two_pass", o.cte(*TRACK_SQL, *o.SMOOTH) + " SELECT clip_id, i, y AS value FROM bwd")
 def ema_two_pass(spark, sf):
-    grid = tracks.collect_grid(resampled(spark, sf))
-    return grid.select("clip_id", F.posexplode_outer(tracks.ema_two_pass(F.col("xs"))).alias("i", "value")).withColumn("i", F.col("i").cast("bigint"))
+    chunks = scans.chunked(resampled(spark, sf), "clip_id", "i", "value")
+    return scans.unchunked(tracks.smoothed(chunks), "i", "value")
 
 
 @query("slew_limit", o.cte(*TRACK_SQL, ("src", "SELECT clip_id, i, value AS y FROM resampled"), *o.slewed("src", "0.01::DOUBLE"))
        + " SELECT clip_id, i, y AS value FROM slew")
 def slew_limit(spark, sf):
-    grid = tracks.collect_grid(resampled(spark, sf))
-    return grid.select("clip_id", F.posexplode_outer(tracks.slew_limit(F.col("xs"), F.lit(0.01))).alias("i", "value")).withColumn("i", F.col("i").cast("bigint"))
+    chunks = scans.chunked(resampled(spark, sf), "clip_id", "i", "value").withColumn("step", F.lit(0.01))
+    return scans.unchunked(tracks.slew_limited(chunks, "step").drop("step"), "i", "value")
+
+
+def long_track(spark, sf) -> DataFrame:
+    """All order lines as one track, far longer than a chunk."""
+    rows = table(spark, sf, "lineitem").select(
+        F.lit("all").alias("track"), "l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("value"))
+    line = with_position(rows, ["track"], ["l_orderkey", "l_linenumber"], "i")
+    return scans.chunked(line, "track", "i", "value")
+
+
+@query("smooth_long_track", """WITH s AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i, l_extendedprice::DOUBLE AS x FROM lineitem),
+m AS (SELECT max(i) AS last FROM s),
+f AS (SELECT i + k AS i, sum(x * pow(0.84::DOUBLE, k) * CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.16::DOUBLE END) AS y FROM s, m, range(0, 250) r(k) WHERE i + k <= last GROUP BY ALL),
+g AS (SELECT i - k AS i, sum(y * pow(0.4::DOUBLE, k) * CASE WHEN i = last THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END) AS y FROM f, m, range(0, 60) r(k) WHERE i >= k GROUP BY ALL)
+SELECT i, round(y, 2) AS value FROM g""")
+def smooth_long_track(spark, sf):
+    return scans.unchunked(tracks.smoothed(long_track(spark, sf), "track"), "i", "value").select("i", F.round("value", 2).alias("value"))
+
+
+@query("slew_long_track")
+def slew_long_track(spark, sf):
+    """Checked against a plain loop in the tests; SQL would need one step per row."""
+    chunks = long_track(spark, sf).withColumn("step", F.lit(500.0))
+    return scans.unchunked(tracks.slew_limited(chunks, "step", "track").drop("step"), "i", "value").select("i", "value")
 
 
 @query("lock_if_static", o.cte(*TRACK_SQL) + """ SELECT clip_id, CASE WHEN (max(value) - min(value)) / 1.0::DOUBLE < 0.06
@@ -575,6 +599,11 @@ def crop_geometry(spark, sf):
     return tracks.crop_geometry(videos(spark, sf), "center").select("p_partkey", "crop_w", "crop_h", "y_top", "x")
 
 
+@query("crop_geometry_fit", f"WITH {VIDEO_SQL[0]} AS ({VIDEO_SQL[1]}) SELECT p_partkey, width AS crop_w, height AS crop_h, 0 AS y_top, 0 AS x FROM videos")
+def crop_geometry_fit(spark, sf):
+    return tracks.crop_geometry(videos(spark, sf), "fit").select("p_partkey", "crop_w", "crop_h", "y_top", "x")
+
+
 PAN = "greatest(2.0::DOUBLE, 0.18::DOUBLE * 1312 * 3600.0::DOUBLE)"
 
 
