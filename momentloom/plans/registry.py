@@ -543,14 +543,14 @@ def long_track(spark, sf) -> DataFrame:
     """All order lines as one track, far longer than a chunk."""
     rows = table(spark, sf, "lineitem").select(
         F.lit("all").alias("track"), "l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("value"))
-    line = with_position(rows, ["track"], ["l_orderkey", "l_linenumber"], "i")
+    line = with_position(rows, ["track"], ["l_orderkey", "l_linenumber", "value"], "i")
     return scans.chunked(line, "track", "i", "value")
 
 
-@query("smooth_long_track", """WITH s AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i, l_extendedprice::DOUBLE AS x FROM lineitem),
+@query("smooth_long_track", """WITH s AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS i, l_extendedprice::DOUBLE AS x FROM lineitem),
 m AS (SELECT max(i) AS last FROM s),
-f AS (SELECT i + k AS i, sum(x * pow(0.84::DOUBLE, k) * CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.16::DOUBLE END) AS y FROM s, m, range(0, 250) r(k) WHERE i + k <= last GROUP BY ALL),
-g AS (SELECT i - k AS i, sum(y * pow(0.4::DOUBLE, k) * CASE WHEN i = last THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END) AS y FROM f, m, range(0, 60) r(k) WHERE i >= k GROUP BY ALL)
+f AS (SELECT s.i + k AS j, sum(x * pow(0.84::DOUBLE, k) * CASE WHEN s.i = 0 THEN 1.0::DOUBLE ELSE 0.16::DOUBLE END) AS y FROM s, m, range(0, 250) r(k) WHERE s.i + k <= last GROUP BY s.i + k),
+g AS (SELECT f.j - k AS i, sum(y * pow(0.4::DOUBLE, k) * CASE WHEN f.j = last THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END) AS y FROM f, m, range(0, 60) r(k) WHERE f.j >= k GROUP BY f.j - k)
 SELECT i, round(y, 2) AS value FROM g""")
 def smooth_long_track(spark, sf):
     return scans.unchunked(tracks.smoothed(long_track(spark, sf), "track"), "i", "value").select("i", F.round("value", 2).alias("value"))

@@ -71,9 +71,12 @@ def test_changed_points(spark):
         assert got == [(0, 3), (20, 4), (60, 1), (70, 1)]
 
 
-def test_long_track_query(spark):
-    sf_dir = "/root/testdata/sf0.001"
+def test_long_track_query(spark, tmp_path):
+    sf_dir = str(tmp_path)
+    spark.range(10_000).selectExpr(
+        "id div 7 as l_orderkey", "int(id % 7) as l_linenumber", "cast(id * 7919 % 100003 as decimal(12, 2)) as l_extendedprice",
+    ).write.parquet(f"{sf_dir}/lineitem.parquet")
     got = {r.i: r.value for r in registry.slew_long_track(spark, sf_dir).collect()}
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").select("l_extendedprice").collect()
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber", "l_extendedprice").select("l_extendedprice").collect()
     want = loop_slew([float(r[0]) for r in lines], 500.0)
     assert len(got) == len(want) and all(abs(got[i] - x) < 1e-6 for i, x in enumerate(want))
