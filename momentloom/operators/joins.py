@@ -1,13 +1,18 @@
 """Interval, covering and nearest joins on bucketed equi-keys.
 
-Spark has no range-join strategy, so both sides get the time buckets they touch and
-meet on (key, bucket). A pair that shares several buckets is kept only in the first
-one, which needs no extra de-duplication. Hot (key, bucket) pairs are left to
-adaptive skew-join splitting: no side is ever grouped.
+Spark has no range-join strategy, so spans meet on (key, level, bucket). Buckets of one level are
+twice as wide as those of the level below, and a span lives on the lowest level whose buckets are
+at least as long as it is: there it touches one or two. To meet longer spans it also visits the
+levels above that the other side lives on, again one or two buckets each. So a span of a year beside
+millions of short ones costs a few copies, not one per short bucket. A pair is made on the level of
+its longer span only, in the first bucket both touch, which needs no de-duplication. Hot buckets are
+left to adaptive skew-join splitting: no side is ever grouped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,25 +24,61 @@ from momentloom.plans.stable import stable
 GROUP = 4096
 
 
-def in_buckets(df: DataFrame, start: Column, end: Column, width: int, first: str) -> DataFrame:
-    """Copy each row to every bucket that [start, end] touches."""
-    lo = div(start, width)
-    return df.withColumn(first, lo).withColumn(
-        "_bucket", F.explode(F.sequence(lo, F.greatest(lo, div(end, width))))
-    )
+def span_level(start: Column, end: Column, width: int) -> Column:
+    """The lowest level whose buckets, ``width`` times a power of two, are as long as the span."""
+    length = F.greatest(F.lit(0), end - start).cast("double")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1.0)) / width))).cast("int")
+    return F.when(F.pow(F.lit(2.0), level) * width < length, level + 1).otherwise(level)
+
+
+def levels_of(df: DataFrame, span: tuple[str, str], width: int) -> list[int]:
+    """The levels that spans live on: at most about 60, whatever the table."""
+    rows = df.select(span_level(F.col(span[0]), F.col(span[1]), width).alias("l")).distinct().collect()
+    return sorted(r["l"] for r in rows if r["l"] is not None)
+
+
+def in_buckets(df: DataFrame, start: Column, end: Column, width: int, levels: Sequence[int], first: str, own: bool, above: bool) -> DataFrame:
+    """Copies of each row in the buckets it touches: on its own level, and on those of ``levels`` above it."""
+    mine = span_level(start, end, width)
+    df = df.withColumn("_mine", mine)
+    on = F.filter(F.array(*[F.lit(n) for n in levels]), lambda n: n > F.col("_mine")) if above and levels else None
+    if own:
+        on = F.array("_mine") if on is None else F.concat(F.array("_mine"), on)
+    if on is None:
+        on = F.array().cast("array<int>")
+    df = df.withColumn("_level", F.explode(on))
+    size = F.pow(F.lit(2.0), F.col("_level")) * width
+    lo = F.floor(start / size).cast("bigint")
+    hi = F.floor(F.greatest(start, end) / size).cast("bigint")
+    return df.withColumn(first, lo).withColumn("_bucket", F.explode(F.sequence(lo, hi)))
 
 
 def overlap_join(
     left: DataFrame, right: DataFrame, key: str, width: int,
     l_span: tuple[str, str], r_span: tuple[str, str],
 ) -> DataFrame:
-    """Rows of the same ``key`` whose spans touch; column names must not collide."""
-    a = in_buckets(left, F.col(l_span[0]), F.col(l_span[1]), width, "_fa")
-    b = in_buckets(right, F.col(r_span[0]), F.col(r_span[1]), width, "_fb")
-    return a.join(b, [key, "_bucket"]).where(
+    """Rows of the same ``key`` whose spans touch; column names must not collide.
+
+    ``width`` is the bucket of the lowest level and should be close to the usual length of a span.
+    Spans with a null end meet nothing.
+    """
+    on_left, on_right = levels_of(left, l_span, width), levels_of(right, r_span, width)
+    touch = (
         (F.col("_bucket") == F.greatest("_fa", "_fb"))
         & (F.col(l_span[0]) <= F.col(r_span[1])) & (F.col(r_span[0]) <= F.col(l_span[1]))
-    ).drop("_bucket", "_fa", "_fb")
+    )
+
+    def side(df: DataFrame, span: tuple[str, str], levels: list[int], first: str, own: bool, above: bool) -> DataFrame:
+        return in_buckets(df, F.col(span[0]), F.col(span[1]), width, levels, first, own, above).drop("_mine")
+
+    columns = [key, *[c for c in left.columns if c != key], *[c for c in right.columns if c != key]]
+    by = [key, "_level", "_bucket"]
+    longer_left = side(left, l_span, [], "_fa", True, False).join(side(right, r_span, on_left, "_fb", True, True), by)
+    out = longer_left.where(touch).select(*columns)
+    if on_left and on_right and on_right[-1] > on_left[0]:
+        longer_right = side(left, l_span, on_right, "_fa", False, True).join(side(right, r_span, [], "_fb", True, False), by)
+        out = out.unionByName(longer_right.where(touch).select(*columns))
+    return out
 
 
 def overlap_ratio(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -48,22 +89,37 @@ def overlap_ratio(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 
 def interval_overlap_pairs(
-    df: DataFrame, key: str, id_col: str, start: str, end: str, width: int
+    df: DataFrame, key: str, id_col: str, start: str, end: str, width: int,
+    min_ratio: float = 0.0, top: int | None = None,
 ) -> DataFrame:
     """Pairs (id_a < id_b) of one key that share time, with their overlap ratio.
 
-    The output is as large as the number of overlapping pairs. ``width`` should be
-    close to the usual length of a span.
+    The output is as large as the number of overlapping pairs, unless ``min_ratio`` leaves weaker
+    ones out or ``top`` keeps each row's strongest partners only (ties: smaller id). ``width``
+    should be close to the usual length of a span. Rows with a null start, end or id are in no pair.
     """
-    side = {
-        s: df.select(key, F.col(id_col).alias("id_" + s), F.col(start).alias("s_" + s), F.col(end).alias("e_" + s))
-        for s in "ab"
-    }
-    pairs = overlap_join(side["a"], side["b"], key, width, ("s_a", "e_a"), ("s_b", "e_b"))
-    ratio = overlap_ratio(*[F.col(c) for c in ("s_a", "e_a", "s_b", "e_b")])
-    return pairs.where("id_a < id_b and s_a < e_b and s_b < e_a").select(
-        key, "id_a", "id_b", ratio.alias("overlap")
+    spans = df.select(key, F.col(id_col).alias("id"), F.col(start).alias("s"), F.col(end).alias("e"))
+    levels = levels_of(spans, ("s", "e"), width)
+    names = [key, "_level", "_bucket", "_mine", "_f", "id", "s", "e"]
+
+    def side(tag: str, above: bool) -> DataFrame:
+        rows = in_buckets(spans, F.col("s"), F.col("e"), width, levels if above else [], "_f", True, above)
+        return rows.select(*[F.col(n) if n in names[:3] else F.col(n).alias(f"{n}_{tag}") for n in names])
+
+    met = side("x", False).join(side("y", True), names[:3]).where(
+        (F.col("_bucket") == F.greatest("_f_x", "_f_y")) & (F.col("s_x") < F.col("e_y")) & (F.col("s_y") < F.col("e_x"))
+        & ((F.col("_mine_y") < F.col("_mine_x")) | (F.col("id_x") < F.col("id_y"))) & (F.col("id_x") != F.col("id_y"))
     )
+    ratio = overlap_ratio(*[F.col(c) for c in ("s_x", "e_x", "s_y", "e_y")])
+    pairs = met.select(key, F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), ratio.alias("overlap"))
+    if min_ratio > 0:
+        pairs = pairs.where(F.col("overlap") >= min_ratio)
+    if top is None:
+        return pairs
+    both = pairs.select("*", F.explode(F.array(
+        F.struct(F.col("id_a").alias("me"), F.col("id_b").alias("other")), F.struct(F.col("id_b").alias("me"), F.col("id_a").alias("other")))).alias("p"))
+    w = Window.partitionBy(key, "p.me").orderBy(F.desc("overlap"), "p.other")
+    return both.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).select(key, "id_a", "id_b", "overlap").distinct()
 
 
 def around(

@@ -371,6 +371,20 @@ def interval_overlap_pairs(spark, sf):
     return joins.interval_overlap_pairs(event_spans(spark, sf), "user_id", "event_id", "start_ms", "end_ms", 300_000)
 
 
+@query("interval_overlap_mixed", """WITH m AS (SELECT user_id, event_id, (epoch_us(ts) // 1000)::BIGINT AS s, (epoch_us(ts) // 1000 + CASE WHEN event_id % 50 = 0 THEN 2592000000 ELSE 600000 END)::BIGINT AS e FROM events),
+p AS (SELECT a.user_id, a.event_id AS id_a, b.event_id AS id_b, greatest(0, least(a.e, b.e) - greatest(a.s, b.s)) / greatest(0.001::DOUBLE, least(a.e - a.s, b.e - b.s)) AS overlap
+    FROM m a JOIN m b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s < b.e AND b.s < a.e),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, me ORDER BY overlap DESC, other) AS n FROM (
+    SELECT *, id_a AS me, id_b AS other FROM p WHERE overlap >= 0.5 UNION ALL SELECT *, id_b, id_a FROM p WHERE overlap >= 0.5))
+SELECT DISTINCT user_id, id_a, id_b, overlap FROM r WHERE n <= 5""")
+def interval_overlap_mixed(spark, sf):
+    """A few spans of a month among spans of ten minutes; the five strongest partners of each."""
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint")
+    length = F.when(F.col("event_id") % 50 == 0, F.lit(30 * DAY)).otherwise(F.lit(600_000))
+    spans = table(spark, sf, "events").select("user_id", "event_id", ms.alias("s"), (ms + length).alias("e"))
+    return joins.interval_overlap_pairs(spans, "user_id", "event_id", "s", "e", 600_000, min_ratio=0.5, top=5)
+
+
 @query("text_jaccard", f"""SELECT conv_id, turn, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE
     len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS similarity
     FROM (SELECT conv_id, turn, list_distinct({o.tokens('text')}) AS a,

@@ -224,6 +224,42 @@ def test_nearest_and_overlap_against_brute_force(spark):
         assert r.nearest.t == best
 
 
+def test_spans_of_very_different_lengths(spark):
+    rng = random.Random(7)
+    year = 365 * 86_400_000
+    spans = [("k", i, s := rng.randint(0, year), s + rng.choice([0, 1, 999, 1000, 1001, 5000, 86_400_000])) for i in range(400)]
+    spans += [("k", 400, 0, year), ("k", 401, 10, 10), ("j", 402, 0, year), ("k", 403, 1000, 2024), ("k", 404, 1000, 2000)]
+    df = spark.createDataFrame([*spans, ("k", 405, None, 5), ("k", 406, 5, None)], "k string, id int, s bigint, e bigint")
+    levels = joins.levels_of(df, ("s", "e"), 1000)
+    copies = joins.in_buckets(df.where("id = 400"), F.col("s"), F.col("e"), 1000, levels, "f", True, True).count()
+    assert copies <= 2 and joins.in_buckets(df.where("id = 0"), F.col("s"), F.col("e"), 1000, levels, "f", True, True).count() <= 60
+    pairs = joins.interval_overlap_pairs(df, "k", "id", "s", "e", 1000).collect()
+    want = {(a[1], b[1]) for a in spans for b in spans if a[0] == b[0] and a[1] < b[1] and a[2] < b[3] and b[2] < a[3]}
+    assert len(pairs) == len(want) and {(r.id_a, r.id_b) for r in pairs} == want
+    strong = joins.interval_overlap_pairs(df, "k", "id", "s", "e", 1000, min_ratio=0.5, top=1).collect()
+    best = {}
+    for r in sorted(pairs, key=lambda r: (-r.overlap, r.id_a, r.id_b)):
+        if r.overlap >= 0.5:
+            for me, other in ((r.id_a, r.id_b), (r.id_b, r.id_a)):
+                best[me] = min(best.get(me, (1, 0)), (-r.overlap, other))
+    assert {(r.id_a, r.id_b) for r in strong} == {tuple(sorted((me, other))) for me, (_, other) in best.items()}
+    right = df.select("k", F.col("id").alias("rid"), F.col("s").alias("rs"), F.col("e").alias("re"))
+    met = sorted((r.id, r.rid) for r in joins.overlap_join(df, right, "k", 1000, ("s", "e"), ("rs", "re")).collect())
+    assert met == sorted((a[1], b[1]) for a in spans for b in spans if a[0] == b[0] and a[2] <= b[3] and b[2] <= a[3])
+
+
+def test_nearest_gap_against_brute_force(spark):
+    rng = random.Random(9)
+    mids = [("k", rng.randint(0, 200_000) / 2) for _ in range(40)] + [("j", 7_000.0), ("j", 5_000.0), ("k", None)]
+    points = [("k", i, rng.randint(-3000, 103_000)) for i in range(200)] + [("j", 200, 6_000), ("j", 201, 9_500), ("z", 202, 5), ("j", 203, None)]
+    got = {r.i: r.cut for r in boundaries.nearest_gap(
+        spark.createDataFrame(points, "k string, i int, t bigint"), spark.createDataFrame(mids, "k string, mid_ms double"), "k", "t", "cut").collect()}
+    for k, i, t in points:
+        near = sorted((abs(m - t), m) for j, m in mids if j == k and m is not None and t is not None and abs(m - t) <= 2500)
+        cut = round(near[0][1]) if near else None
+        assert got[i] == (cut if near and abs(cut - t) < 1200 else t)
+
+
 def test_boundaries(spark, sentences):
     clips = spark.createDataFrame([("t", "a", 21_900, 48_600, ""), ("t", "b", 9_300, 33_000, ""), ("t", "c", 38_000, 40_500, ""), ("t", "d", 900_000, 950_000, "")],
                                   "transcript_id string, clip_id string, start_ms bigint, end_ms bigint, text string")
