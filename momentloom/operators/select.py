@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from momentloom.functions import text as tx
 from momentloom.functions.timefmt import div
@@ -15,6 +17,7 @@ from momentloom.plans.stable import stable
 MAX_OVERLAP, MAX_TEXT = 0.45, 0.6
 RELAXED = ((0.55, 0.7), (0.65, 0.78), (0.75, 0.85))
 FOLD_LIMIT = 1024
+UNIT_ROWS = 50_000
 
 
 def _token_ids(text: str) -> Column:
@@ -66,14 +69,22 @@ def _kept_by_fold(narrow: DataFrame, key: str, levels, n: int | None) -> DataFra
 def greedy_dedup(
     df: DataFrame, key: str = "transcript_id", by: str = "score_overall",
     order: Sequence[str] = ("start_ms", "end_ms"),
-    max_overlap: float = MAX_OVERLAP, max_text: float = MAX_TEXT,
+    max_overlap: float = MAX_OVERLAP, max_text: float = MAX_TEXT, fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """Drop candidates that overlap or repeat a better one of the same key.
 
-    Folds one array per key, so the candidates of a key must be few by construction
-    (40 seeds x 5 lengths here). ``greedy_dedup_any`` takes keys of any size.
-    ``order`` breaks ties of ``by`` and must make rows unique.
+    Keys of up to ``fold_limit`` candidates (40 seeds x 5 lengths give 200 here) fold one array
+    each; larger ones go through ``greedy_dedup_any``, with the same result. ``order`` breaks
+    ties of ``by`` and must make rows unique.
     """
+    large = stable(df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > fold_limit))
+    if large.isEmpty():
+        return _fold_dedup(df, key, by, order, max_overlap, max_text)
+    small = _fold_dedup(df.join(large, key, "left_anti"), key, by, order, max_overlap, max_text)
+    return small.unionByName(greedy_dedup_any(df.join(large, key, "left_semi"), key, by, order, max_overlap, max_text))
+
+
+def _fold_dedup(df: DataFrame, key: str, by: str, order: Sequence[str], max_overlap: float, max_text: float) -> DataFrame:
     kept = _kept_by_fold(_ranked(df, key, by, order), key, [(max_overlap, max_text)], None)
     return _semi(df, kept, key, by, order)
 
@@ -82,7 +93,7 @@ def relaxed_dedup(
     df: DataFrame, n: int, key: str = "transcript_id", by: str = "score_overall",
     order: Sequence[str] = ("start_ms", "end_ms"),
 ) -> DataFrame:
-    """``greedy_dedup``; keys left with fewer than ``n`` rows retry with laxer limits.
+    """``greedy_dedup`` of small keys; keys left with fewer than ``n`` rows retry with laxer limits.
 
     A laxer result is taken only when it is larger, and the retries stop at ``n``.
     """
@@ -96,8 +107,8 @@ def relaxed_dedup_any(
 ) -> DataFrame:
     """``relaxed_dedup`` without a bound on the candidates of a key.
 
-    Keys of up to ``fold_limit`` rows fold; larger ones go through the rounds of
-    ``greedy_dedup_any``. Both give the same rows.
+    Keys of up to ``fold_limit`` rows fold; larger ones go through ``greedy_dedup_any``.
+    Both give the same rows.
     """
     large = stable(df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > fold_limit))
     if large.isEmpty():
@@ -130,35 +141,112 @@ def greedy_dedup_any(
     df: DataFrame, key: str = "transcript_id", by: str = "score_overall",
     order: Sequence[str] = ("start_ms", "end_ms"),
     max_overlap: float = MAX_OVERLAP, max_text: float = MAX_TEXT, width_ms: int = 10_000,
+    unit_rows: int = UNIT_ROWS,
 ) -> DataFrame:
     """The result of ``greedy_dedup`` for keys with any number of candidates.
 
     Each row belongs to blocks: the time buckets it touches and the tokens of its
-    similarity prefix (rarest first). Rows that clash share a block. Round by round, a
-    row that is the best open row in all of its blocks is kept, and open rows that clash
-    with the kept row of a block are dropped. A block only ever compares its rows with
-    one pivot, so a round is linear in the rows however many copies a block holds.
+    similarity prefix (rarest first). Rows that clash share a block, so rows that no chain of
+    blocks connects never decide about each other. A key of at most ``unit_rows`` open rows, or
+    such a component of a larger one, is finished in one pass of one task: best rows first, each
+    compared only with the rows kept so far in its blocks. Components above that go through
+    rounds: the best open row of all its blocks is kept, rows that clash with the kept row
+    of a block are dropped, and what stays open falls into smaller components. A round compares
+    a block's rows with one pivot, so copies cost linear work.
     """
-    rows = stable(_with_blocks(_ranked(df, key, by, order), key, max_text, width_ms))
-    open_rows, kept = rows, None
+    limits = (max_overlap, max_text)
+    open_rows = stable(_with_blocks(_ranked(df, key, by, order), key, max_text, width_ms).withColumn("unit", F.lit(0).cast("long")))
+    kept = None
+    while True:
+        large = stable(open_rows.groupBy(key, "unit").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > unit_rows).drop("_rows"))
+        last = large.isEmpty()
+        small = open_rows if last else open_rows.join(large, [key, "unit"], "left_anti")
+        done = _kept_in_order(small, key, limits)
+        kept = done if kept is None else kept.unionByName(done)
+        if last:
+            return _semi(df, kept, key, by, order)
+        won, open_rows = _round(open_rows.join(large, [key, "unit"], "left_semi"), key, limits)
+        kept, open_rows = kept.unionByName(won), _components(open_rows, key)
+
+
+def _clashes(a: tuple, b: tuple, max_overlap: float, max_text: float) -> bool:
+    """``_clash`` on two rows ``(start, end, tokens)``."""
+    shared = max(0, min(a[1], b[1]) - max(a[0], b[0]))
+    if shared / max(0.001, min(max(0, a[1] - a[0]), max(0, b[1] - b[0]))) > max_overlap:
+        return True
+    n, m = len(a[2]), len(b[2])
+    if min(n, m) <= max(n, m) * max_text:
+        return False
+    both = len(a[2] & b[2])
+    return both / (n + m - both) > max_text
+
+
+def _visit(limits: tuple[float, float]) -> Callable:
+    """Rows come sorted by unit and place; a row stays if it clashes with no kept row of its blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, by_block = None, {}
+        for batch in batches:
+            names, stays = batch.schema.names, []
+            columns = [batch.column(names.index(c)).to_pylist() for c in (names[0], "unit", "s", "e", "toks", "blocks")]
+            for k, u, start, end, toks, blocks in zip(*columns, strict=True):
+                if unit != (k, u):
+                    unit, by_block = (k, u), {}
+                me = (start, end, frozenset(toks or ()))
+                at = [(b["kind"], b["v"]) for b in blocks or ()]
+                rivals = {id(r): r for b in at for r in by_block.get(b, ())}
+                stay = not any(_clashes(me, r, *limits) for r in rivals.values())
+                stays.append(stay)
+                if stay:
+                    for b in at:
+                        by_block.setdefault(b, []).append(me)
+            mask = pa.array(stays, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=names[:2])
+
+    return run
+
+
+def _kept_in_order(rows: DataFrame, key: str, limits: tuple[float, float]) -> DataFrame:
+    narrow = rows.select(key, "place", "unit", "s", "e", "toks", "blocks")
+    line = narrow.repartition(key, "unit").sortWithinPartitions(key, "unit", "place")
+    return line.mapInArrow(_visit(limits), T.StructType([narrow.schema[key], narrow.schema["place"]]))
+
+
+def _round(open_rows: DataFrame, key: str, limits: tuple[float, float]) -> tuple[DataFrame, DataFrame]:
+    """The rows that lead all of their blocks, and the rows that stay open."""
     me = F.struct("place", "s", "e", "toks")
-    while not open_rows.isEmpty():
-        member = open_rows.select(key, "place", "s", "e", "toks", F.explode("blocks").alias("block"))
-        best = member.groupBy(key, "block").agg(F.min(me).alias("top"))
-        is_top = F.col("place") == F.col("top.place")
-        foe = F.when(~is_top & _clash(me, F.col("top"), max_overlap, max_text), F.col("top.place"))
-        state = stable(member.join(best, [key, "block"]).groupBy(key, "place").agg(
-            F.every(is_top).alias("leads"), F.collect_set(foe).alias("foes"),
-        ))
-        won = state.where("leads").select(key, "place")
-        lost = (
-            state.where("not leads").select(key, "place", F.explode("foes").alias("foe"))
-            .join(won.withColumnRenamed("place", "foe"), [key, "foe"], "left_semi")
-            .select(key, "place")
-        )
-        kept = won if kept is None else kept.unionByName(won)
-        open_rows = stable(open_rows.join(won.unionByName(lost), [key, "place"], "left_anti"))
-    return df.limit(0) if kept is None else _semi(df, kept, key, by, order)
+    open_rows = stable(open_rows)
+    member = open_rows.select(key, "place", "s", "e", "toks", F.explode("blocks").alias("block"))
+    best = member.groupBy(key, "block").agg(F.min(me).alias("top"))
+    is_top = F.col("place") == F.col("top.place")
+    foe = F.when(~is_top & _clash(me, F.col("top"), *limits), F.col("top.place"))
+    state = stable(member.join(best, [key, "block"]).groupBy(key, "place").agg(
+        F.every(is_top).alias("leads"), F.collect_set(foe).alias("foes")))
+    won = state.where("leads").select(key, "place")
+    lost = (
+        state.where("not leads").select(key, "place", F.explode("foes").alias("foe"))
+        .join(won.withColumnRenamed("place", "foe"), [key, "foe"], "left_semi").select(key, "place")
+    )
+    return won, stable(open_rows.join(won.unionByName(lost), [key, "place"], "left_anti"))
+
+
+def _components(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``unit``, the smallest row of the component that blocks connect.
+
+    Smallest labels spread over blocks, and every label is replaced by its own label, so long chains
+    take a number of rounds like the logarithm of their length.
+    """
+    rows = rows.withColumn("_id", F.xxhash64(key, "place"))
+    # Equal hashes would only join two components.
+    member = stable(rows.select("_id", key, F.explode("blocks").alias("b")).select("_id", F.xxhash64(key, "b").alias("block")))
+    labels = stable(member.select("_id", F.col("_id").alias("label")).distinct())
+    while True:
+        least = member.join(labels, "_id").groupBy("block").agg(F.min("label").alias("l"))
+        spread = stable(member.join(least, "block").groupBy("_id").agg(F.min("l").alias("l")))
+        via = spread.select(F.col("_id").alias("l"), F.col("l").alias("l2"))
+        new = stable(spread.join(via, "l").join(labels, "_id").select("_id", F.least("l", "l2").alias("new"), "label"))
+        labels = new.select("_id", F.col("new").alias("label"))
+        if new.where("new != label").isEmpty():
+            return stable(rows.drop("unit").join(labels.withColumnRenamed("label", "unit"), "_id").drop("_id"))
 
 
 def _with_blocks(narrow: DataFrame, key: str, max_text: float, width_ms: int) -> DataFrame:

@@ -322,7 +322,13 @@ def greedy_dedup(spark, sf):
 
 @query("greedy_dedup_rounds", ORACLES["greedy_dedup"])
 def greedy_dedup_rounds(spark, sf):
-    """The same result by rounds, as for keys of any size."""
+    """The same result by rounds over components, as for keys of any size."""
+    return select.greedy_dedup_any(candidates(spark, sf)[1], order=an.ORDER, unit_rows=20).select(*KEPT_COLS)
+
+
+@query("greedy_dedup_units", ORACLES["greedy_dedup"])
+def greedy_dedup_units(spark, sf):
+    """The same result in one pass per key, as for keys of some ten thousand candidates."""
     return select.greedy_dedup_any(candidates(spark, sf)[1], order=an.ORDER).select(*KEPT_COLS)
 
 

@@ -205,10 +205,28 @@ def test_dedup_by_rounds_equals_fold_with_many_copies(spark):
     df = cand(spark, rows).repartition(5)
     fold, rounds = select.greedy_dedup(df), select.greedy_dedup_any(df)
     assert fold.exceptAll(rounds).isEmpty() and rounds.exceptAll(fold).isEmpty()
+    for unit_rows in (40,):
+        parts = select.greedy_dedup_any(df, unit_rows=unit_rows)
+        assert fold.exceptAll(parts).isEmpty() and parts.exceptAll(fold).isEmpty()
     few, any_size = select.relaxed_dedup(df, 70), select.relaxed_dedup_any(df, 70, fold_limit=10)
     assert few.exceptAll(any_size).isEmpty() and few.count() == any_size.count()
 
 
+def test_long_chain_of_candidates_needs_few_jobs(spark):
+    """Each of 10,000 candidates overlaps the next one by half and scores better than it."""
+    n = 10_000
+    rows = spark.range(n).selectExpr(
+        "'t' as transcript_id", "id * 10000 as start_ms", "id * 10000 + 20000 as end_ms", f"int({n} - id) as score_overall", "concat('w', id) as text")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    kept = sorted(r.start_ms for r in select.greedy_dedup(rows).collect())
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept == list(range(0, n * 10_000, 20_000)) and len(jobs) <= 20
+    halves = select.greedy_dedup_any(rows.where("start_ms % 400000 < 100000"), unit_rows=30)
+    want = [t for t in range(0, n * 10_000, 10_000) if t % 400_000 < 100_000 and t % 20_000 == 0]
+    assert sorted(r.start_ms for r in halves.collect()) == want
+
+
 def test_nearest_and_overlap_against_brute_force(spark):
     rng = random.Random(2)
     spans = [(f"k{rng.randint(0, 2)}", i, s := rng.randint(0, 50_000), s + rng.randint(0, 9_000)) for i in range(150)]
