@@ -262,7 +262,10 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN_COUNT, max_wo
         longer = [(size, phrases[size]) for size in range(m + 1, max_words + 1)]
         rows = _standing(_scored(phrases, words, m), longer, m, share).select("lang", "phrase", "a", "l", "r", "score")
         out = rows if out is None else out.unionByName(rows)
-    w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    # Each of the parts of a language ranks its own first, so one task sees SPREAD * top rows at most.
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SPREAD))).orderBy(*order)
+    near = out.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
