@@ -1,8 +1,13 @@
-"""Keyed changes to tables, written as DataFrame-to-DataFrame joins."""
+"""Keyed changes to tables, written as DataFrame-to-DataFrame joins.
+
+A null key is a key like any other: null meets null. The joins stay equi-joins on
+the key, so a change shuffles each side once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +15,24 @@ from pyspark.sql import functions as F
 Keys = Sequence[str]
 
 
+def _same(a: DataFrame, b: DataFrame, key: Keys):
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b["_k_" + k]) for k in key])
+
+
+def _keys(df: DataFrame, key: Keys) -> DataFrame:
+    """The key columns under names that no table has, so that joins keep the other side's columns apart."""
+    return df.select(*[F.col(k).alias("_k_" + k) for k in key])
+
+
+def without_keys(base: DataFrame, gone: DataFrame, key: Keys) -> DataFrame:
+    """The rows of ``base`` whose key is not in ``gone``."""
+    gone = _keys(gone, key)
+    return base.join(gone, _same(base, gone, key), "left_anti")
+
+
 def replace_by_key(base: DataFrame, delta: DataFrame, key: Keys) -> DataFrame:
     """All rows of the keys present in ``delta`` are replaced by its rows."""
-    keys = delta.select(*key).distinct()
-    return base.join(keys, list(key), "left_anti").unionByName(delta.select(*base.columns))
+    return without_keys(base, delta.select(*key).distinct(), key).unionByName(delta.select(*base.columns))
 
 
 def last_per_key(df: DataFrame, key: Keys, order: str | None = None) -> DataFrame:
@@ -35,7 +54,7 @@ def upsert_by_key(base: DataFrame, delta: DataFrame, key: Keys, order: str | Non
     Of several rows of a key in ``delta``, the last by ``order`` counts.
     """
     delta = last_per_key(delta, key, order)
-    return base.join(delta.select(*key), list(key), "left_anti").unionByName(delta.select(*base.columns))
+    return without_keys(base, delta, key).unionByName(delta.select(*base.columns))
 
 
 def patch_by_key(
@@ -48,8 +67,9 @@ def patch_by_key(
     """
     delta = last_per_key(delta, key, order)
     changed = [c for c in delta.columns if c not in key and c in base.columns]
-    d = delta.select(*key, *[F.col(c).alias("_d_" + c) for c in changed], F.lit(True).alias("_hit"))
-    joined = base.join(d, list(key), "left")
+    d = delta.select(
+        *[F.col(k).alias("_k_" + k) for k in key], *[F.col(c).alias("_d_" + c) for c in changed], F.lit(True).alias("_hit"))
+    joined = base.join(d, _same(base, d, key), "left")
     hit = F.col("_hit").isNotNull()
 
     def new(c: str):
@@ -85,7 +105,7 @@ def skip_unchanged(
 ) -> DataFrame:
     """Rows whose fingerprint over ``cols`` is not in ``done`` (key, fp); adds ``fp``."""
     marked = df.withColumn("fp", fingerprint(cols))
-    return marked if force else marked.join(done.select(*key, "fp"), [*key, "fp"], "left_anti")
+    return marked if force else without_keys(marked, done, [*key, "fp"])
 
 
 def apply_clip_edits(clips: DataFrame, edits: DataFrame, clip_id: str = "clip_id") -> DataFrame:

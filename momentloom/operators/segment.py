@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from momentloom.functions import text as tx
 from momentloom.functions.timefmt import div
@@ -15,6 +19,7 @@ BLOCK_GAP_MS = 1200
 MIN_SENTENCE_MS = 200
 MIN_ALIGNMENT = 0.55
 EDGE_MARKS = ".,!?;:"
+RUNS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("span", T.IntegerType())]))
 SEGMENTS_PER_CHUNK = 256
 ROWS_PER_CHUNK = 4096
 
@@ -58,38 +63,79 @@ def align_spans(words: Column, parts: Column) -> Column:
 
     Runs of n, n-1, n+1, n-2 and n+2 words are compared by token-set Jaccard; the
     earliest start wins a tie, then that order of lengths. Below 0.55 the entry is
-    null. Work is (words x 5) per sentence of one segment.
+    null; null or empty ``words`` give null. A run that reaches 0.55 shares more than
+    half of the sentence's tokens, so it holds one of its rarer ones: only starts near
+    those are visited, and counts slide along. Work is linear in the words at most.
     """
-    spoken = F.transform(words, lambda w: F.btrim(F.lower(w["text"]), F.lit(EDGE_MARKS)))
-    runs = bind(spoken, lambda said: F.transform(parts, lambda p: _best_run(words, said, p)))
-    return F.when(F.size(words) > 0, runs)
-
-
-def _best_run(words: Column, spoken: Column, sentence: Column) -> Column:
-    def token_set(text: Column) -> Column:
-        return F.array_distinct(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""))
-
-    def among(raw: Column, goal: Column) -> Column:
-        n = F.size(raw)
-        lengths = F.array(n, n - 1, n + 1, n - 2, n + 2)
-
-        def at(i: Column) -> Column:
-            def score(span: Column, rank: Column) -> Column:
-                run = token_set(F.array_join(F.slice(spoken, i, span), " "))
-                fits = (span > 0) & (i + span - 1 <= F.size(words))
-                return F.when(fits, F.struct(
-                    tx.jaccard(run, goal).alias("score"), (-i).alias("i"), (-rank).alias("r"), span.alias("span")))
-
-            return F.transform(lengths, score)
-
-        tried = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), at))
-        return bind(F.array_max(tried), lambda top: F.when(
-            (n > 0) & (top["score"] >= MIN_ALIGNMENT), F.slice(words, -top["i"], top["span"])))
-
-    raw = F.filter(F.split(F.lower(sentence), r"(?U)\s+"), lambda t: t != "")
-    return bind(raw, lambda r: bind(
-        token_set(F.array_join(F.transform(r, lambda t: F.btrim(t, F.lit(EDGE_MARKS))), " ")),
-        lambda goal: among(r, goal)))
+    def cut(text: Column) -> Column:
+        return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
+
+    def goal(sentence: Column) -> Column:
+        return bind(cut(F.lower(sentence)), lambda raw: F.struct(
+            F.size(raw).alias("n"),
+            F.array_distinct(cut(F.array_join(F.transform(raw, lambda t: F.btrim(t, F.lit(EDGE_MARKS))), " "))).alias("goal")))
+
+    spoken = F.transform(words, lambda w: cut(F.coalesce(F.btrim(F.lower(w["text"]), F.lit(EDGE_MARKS)), F.lit(""))))
+    found = _best_runs(spoken, F.transform(parts, goal))
+    return F.when(F.size(words) > 0, F.transform(
+        found, lambda r: F.when(r["span"] > 0, F.slice(words, r["start"], r["span"]))))
+
+
+@F.pandas_udf(RUNS)
+def _best_runs(spoken: pd.Series, goals: pd.Series) -> pd.Series:
+    return pd.Series([
+        None if s is None or g is None else best_runs([list(t) for t in s], [(x["n"], set(x["goal"])) for x in g])
+        for s, g in zip(spoken, goals, strict=True)])
+
+
+def best_runs(spoken: list[list[str]], goals: list[tuple[int, set[str]]]) -> list[dict[str, int]]:
+    """1-based start and length of the best run for each goal (length in words, tokens); length 0 for none."""
+    places: dict[str, list[int]] = defaultdict(list)
+    for i, tokens in enumerate(spoken):
+        for token in dict.fromkeys(tokens):
+            places[token].append(i)
+    out = []
+    for n, goal in goals:
+        best = (0.0, 0, 0, 0)
+        if n and goal:
+            need = math.ceil(MIN_ALIGNMENT * len(goal) - 1e-9)
+            by_use = sorted(goal, key=lambda t: len(places.get(t, ())))
+            anchors = sorted({i for t in by_use[: len(goal) - need + 1] for i in places.get(t, ())})
+            for rank, span in enumerate((n, n - 1, n + 1, n - 2, n + 2)):
+                if 0 < span <= len(spoken):
+                    best = max(best, _slide(spoken, goal, span, anchors, rank))
+        hit = best[0] >= MIN_ALIGNMENT
+        out.append({"start": 1 - best[1] if hit else 0, "span": best[3] if hit else 0})
+    return out
+
+
+def _slide(spoken: list[list[str]], goal: set[str], span: int, anchors: list[int], rank: int) -> tuple[float, int, int, int]:
+    """The best run of ``span`` words over an anchor: score, -start, -rank, span."""
+    best = (0.0, 0, 0, 0)
+    counts: Counter[str] = Counter()
+    shared = lo = hi = todo = 0  # counts hold the words lo..hi-1
+    last = len(spoken) - span
+    for anchor in anchors:
+        for start in range(max(anchor - span + 1, todo), min(anchor, last) + 1):
+            todo = start + 1
+            if start >= hi:
+                counts.clear()
+                shared, lo, hi = 0, start, start
+            while hi < start + span:
+                for token in spoken[hi]:
+                    counts[token] += 1
+                    shared += counts[token] == 1 and token in goal
+                hi += 1
+            while lo < start:
+                for token in spoken[lo]:
+                    counts[token] -= 1
+                    if not counts[token]:
+                        del counts[token]
+                        shared -= token in goal
+                lo += 1
+            if counts:
+                best = max(best, (shared / (len(counts) + len(goal) - shared), -start, -rank, span))
+    return best
 
 
 def build_timed_sentences(
@@ -115,9 +161,8 @@ def build_timed_sentences(
         segments = segments.repartition(key, "chunk")
     parts = segments.withColumn("_parts", tx.sentences("text"))
     if has_words:
-        parts = parts.withColumn(
-            "_runs", F.when(F.size("_parts") > 1, align_spans(F.col("words"), F.col("_parts")))
-        )
+        several = F.size("_parts") > 1
+        parts = parts.withColumn("_runs", align_spans(F.when(several, F.col("words")), F.when(several, F.col("_parts"))))
     rows = parts.select(
         key, "chunk", "seg_idx", *extra,
         F.col("start_ms").cast("double").alias("_lo"),

@@ -139,6 +139,45 @@ TIMED = [
     ("sents", """SELECT *, (sum((gap_before_ms >= 1200)::INT) OVER (PARTITION BY transcript_id ORDER BY idx))::BIGINT AS block FROM gapped"""),
 ]
 SENTS = LINES + CLOCK + TIMED
+WORD_TIMED = [
+    ("pieces", f"""SELECT c.*, c.end_ms::DOUBLE AS hi, a.n_words IS NOT NULL AS mapped, a.first_word * 400 + c.start_ms AS run_start,
+        (a.first_word + a.n_words - 1) * 400 + 350 + c.start_ms AS run_end FROM
+        (SELECT transcript_id, seg_idx, start_ms, end_ms, length(text) AS n_chars, len(parts) AS n, {numbered('parts', 'text', 'pos')}
+         FROM said WHERE len(parts) > 0) c LEFT JOIN aligned a USING (transcript_id, seg_idx, pos)"""),
+    ("grouped", "SELECT *, sum(mapped::INT) OVER (PARTITION BY transcript_id, seg_idx ORDER BY pos) AS g FROM pieces"),
+    ("reached", """SELECT *, sum(CASE WHEN mapped THEN 0 ELSE length(text) END) OVER w AS cum,
+        coalesce(first_value(run_end) OVER w, start_ms)::DOUBLE AS lo
+        FROM grouped WINDOW w AS (PARTITION BY transcript_id, seg_idx, g ORDER BY pos)"""),
+    ("spans", """SELECT *, CASE WHEN mapped THEN run_start::DOUBLE WHEN cum = length(text) THEN lo
+            ELSE least(hi, lo + (hi - start_ms::DOUBLE) * (cum - length(text)) / n_chars) END AS s,
+        CASE WHEN mapped THEN run_end::DOUBLE WHEN pos = n - 1 THEN hi ELSE least(hi, lo + (hi - start_ms::DOUBLE) * cum / n_chars) END AS e FROM reached"""),
+    *TIMED[4:],
+]
+
+
+def heard() -> list[tuple[str, str]]:
+    """Lines with words on an even clock, and the best run of words of each sentence by brute force."""
+    def pieces(x: str) -> str:
+        return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> '')"
+
+    return [
+        ("said", f"""SELECT transcript_id, seg_idx, start_ms, end_ms, text, {sentences('text')} AS parts, {pieces('text')} AS toks FROM segs"""),
+        ("spoken", """SELECT * EXCLUDE (toks), list_transform(toks, lambda t, i: trim(lower(CASE WHEN (seg_idx + i - 1) % 9 = 8 THEN 'x' || t ELSE t END), '.,!?;:')) AS w
+            FROM said WHERE seg_idx % 5 <> 4 AND len(parts) > 1 AND len(toks) > 0"""),
+        ("asked", f"SELECT transcript_id, seg_idx, w, {numbered('parts', 'sentence', 'pos')} FROM spoken"),
+        ("goals", f"""SELECT transcript_id, seg_idx, w, pos, len(a) AS n,
+            list_distinct(list_filter(list_transform(a, lambda t: trim(t, '.,!?;:')), lambda t: t <> '')) AS goal
+            FROM (SELECT *, {pieces('lower(sentence)')} AS a FROM asked)"""),
+        ("tried", """SELECT transcript_id, seg_idx, pos, goal, i, r, n + d AS span, list_distinct(list_filter(w[i + 1 : i + n + d], lambda t: t <> '')) AS run
+            FROM (SELECT * FROM (SELECT *, unnest(range(0, len(w))) AS i FROM goals)
+                WHERE len(list_intersect(w[i + 1 : i + n + 2], goal)) >= 0.54::DOUBLE * len(goal)), (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)) l(r, d)
+            WHERE n + d > 0 AND i + n + d <= len(w)"""),
+        ("rated", """SELECT *, len(list_intersect(run, goal)) AS k, len(run) + len(goal) - k AS all_of FROM tried WHERE len(run) > 0 AND len(goal) > 0"""),
+        ("best", """SELECT transcript_id, seg_idx, pos, arg_max([i, span], (k / all_of, -i, -r)) AS top, max(k / all_of) AS score
+            FROM rated GROUP BY ALL"""),
+        ("aligned", """SELECT transcript_id, seg_idx, pos, (CASE WHEN score >= 0.55::DOUBLE THEN top[1] END)::BIGINT AS first_word,
+            (CASE WHEN score >= 0.55::DOUBLE THEN top[2] END)::BIGINT AS n_words FROM goals LEFT JOIN best USING (transcript_id, seg_idx, pos)"""),
+    ]
 
 
 def seeds(lex: lx.Lexicon, k: int | None) -> list[tuple[str, str]]:

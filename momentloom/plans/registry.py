@@ -129,6 +129,44 @@ def timed_sentences(spark, sf):
     return out.select(*SENTENCE_COLS)
 
 
+def worded_segments(spark, sf) -> DataFrame:
+    """Document lines with recogniser words on an even clock; every ninth word was heard wrong,
+    and every fifth line has no words."""
+    def word(token, i):
+        at = F.col("start_ms") + i * 400
+        return F.struct(
+            at.alias("start_ms"), (at + 350).alias("end_ms"),
+            F.when((F.col("seg_idx") + i) % 9 == 8, F.concat(F.lit("x"), token)).otherwise(token).alias("text"))
+
+    heard = F.transform(F.filter(F.split("text", r"(?U)\s+"), lambda t: t != ""), word)
+    none = F.slice(heard, 1, 0)
+    return doc_segments(spark, sf).withColumn("words", F.when(F.col("seg_idx") % 5 == 4, none).otherwise(heard))
+
+
+ALIGN_SQL = [*o.LINES, *o.CLOCK, *o.heard()]
+
+
+@query("align_spans", o.cte(*ALIGN_SQL)
+       + " SELECT transcript_id, seg_idx, pos, first_word, n_words FROM aligned")
+def align_spans(spark, sf):
+    """The run of words of each sentence of a line with several sentences and words."""
+    segs = worded_segments(spark, sf).withColumn("parts", tx.sentences("text"))
+    rows = segs.where("size(parts) > 1 AND size(words) > 0").select(
+        "transcript_id", "seg_idx", "start_ms", "parts", segment.align_spans(F.col("words"), F.col("parts")).alias("runs"))
+    rows = rows.select("transcript_id", "seg_idx", "start_ms", F.posexplode("runs").alias("pos", "run"))
+    return rows.select(
+        "transcript_id", "seg_idx", F.col("pos").cast("bigint").alias("pos"),
+        ((F.get("run", F.lit(0))["start_ms"] - F.col("start_ms")) / 400).cast("bigint").alias("first_word"),
+        F.when(F.col("run").isNotNull(), F.size("run")).cast("bigint").alias("n_words"))
+
+
+@query("word_timed_sentences", o.cte(*ALIGN_SQL, *o.WORD_TIMED) + f" SELECT {', '.join(SENTENCE_COLS)} FROM sents")
+def word_timed_sentences(spark, sf):
+    """Sentences of segments with words: by their run of words, else by length after the last run."""
+    out = segment.build_timed_sentences(worded_segments(spark, sf))
+    return out.withColumn("pos", F.col("pos").cast("bigint")).select(*SENTENCE_COLS)
+
+
 @query("turn_sentences", o.cte(*o.TURNS, *o.CLOCK, *o.TIMED) + f" SELECT {', '.join(SENTENCE_COLS)} FROM sents")
 def turn_sentences(spark, sf):
     out = segment.build_timed_sentences(lines.reading_clock(turn_segments(spark, sf)))
@@ -1114,10 +1152,17 @@ def hook_answers(spark, sf):
 
 @query("clip_cues", o.cte(*CUES_SQL,
     ("counted", "SELECT clip_id, count(*) AS n_words FROM clip_words GROUP BY ALL"),
-) + """ SELECT c.clip_id, c.cue_idx, c.start_ms, c.end_ms, 'words' AS source FROM cues c JOIN counted USING (clip_id) WHERE n_words >= 2""")
+    ("wordless", """SELECT r.*, list_filter(regexp_split_to_array(r.text, '\\s+'), lambda t: t <> '') AS t, greatest(0, r.seg_start - r.start_ms)::DOUBLE AS s
+        FROM clip_rows r LEFT JOIN counted c USING (clip_id) WHERE coalesce(n_words, 0) < 2"""),
+    ("lasting", "SELECT *, greatest(s + 300.0::DOUBLE, (seg_end - start_ms)::DOUBLE) AS e, (len(t) + 2) // 3 AS parts FROM wordless WHERE len(t) > 0"),
+    ("parted", "SELECT *, unnest(range(0, parts)) AS part, (e - s) / parts AS dur FROM lasting"),
+    ("plain_parts", """SELECT clip_id, (row_number() OVER (PARTITION BY clip_id ORDER BY n, part) - 1)::INT AS cue_idx,
+        round_even(s + part * dur, 0)::BIGINT AS start_ms, round_even(s + part * dur + dur, 0)::BIGINT AS end_ms FROM parted"""),
+) + """ SELECT c.clip_id, c.cue_idx, c.start_ms, c.end_ms, 'words' AS source FROM cues c JOIN counted USING (clip_id) WHERE n_words >= 2
+    UNION ALL SELECT clip_id, cue_idx, start_ms, end_ms, 'segments' AS source FROM plain_parts""")
 def choose_cues(spark, sf):
-    """Word cues where a clip has word times; the clips of this table that have fewer are tested on fixtures."""
-    return cues.clip_cues(refined_clips(spark, sf), 3).where("source = 'words'").select("clip_id", "cue_idx", "start_ms", "end_ms", "source")
+    """Word cues where a clip has at least two word times, else cues of its segments."""
+    return cues.clip_cues(refined_clips(spark, sf), 3).select("clip_id", "cue_idx", "start_ms", "end_ms", "source")
 
 
 # --------------------------------------------------------------- streaming

@@ -232,3 +232,16 @@ def test_stream_state_is_updated_per_key(spark, tmp_path):
     schema = write_files(spark, str(tmp_path), batches, "k string, t long, id long")
     state = latest_job_state(stream_of(spark, str(tmp_path), schema), "k", "ts", ["id"], "id")
     assert {r.k: r.id for r in latest_rows(state, ["k"]).collect()} == {"a": 3, "b": 2, "c": 5}
+
+
+def test_null_keys_are_replaced_and_not_added_again(spark):
+    base = spark.createDataFrame([(None, 1), (None, 2), (1, 3), (2, 4)], "k int, v int")
+    delta = spark.createDataFrame([(None, 9), (2, 8)], "k int, v int")
+    rows = lambda df: sorted((r.k or 0, r.v) for r in df.collect())
+    once = incremental.replace_by_key(base, delta, ["k"])
+    assert rows(once) == [(0, 9), (1, 3), (2, 8)] == rows(incremental.replace_by_key(once, delta, ["k"]))
+    assert rows(incremental.upsert_by_key(base, delta, ["k"])) == [(0, 9), (1, 3), (2, 8)]
+    assert rows(incremental.patch_by_key(base, delta, ["k"])) == [(0, 9), (0, 9), (1, 3), (2, 8)]
+    assert rows(incremental.replace_by_key(base, base.where("k = 2"), ["k"])) == rows(base)  # one lineage on both sides
+    done = incremental.skip_unchanged(base, spark.createDataFrame([], "k int, fp string"), ["k"], ["v"])
+    assert incremental.skip_unchanged(base, done, ["k"], ["v"]).count() == 0

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from momentloom.operators import scans, tracks
+from momentloom.operators import scans, segment, tracks
 from momentloom.plans import registry
 
 
@@ -80,3 +80,30 @@ def test_long_track_query(spark, tmp_path):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber", "l_extendedprice").select("l_extendedprice").collect()
     want = loop_slew([float(r[0]) for r in lines], 500.0)
     assert len(got) == len(want) and all(abs(got[i] - x) < 1e-6 for i, x in enumerate(want))
+
+
+def test_best_runs_equal_all_starts_and_lengths():
+    rng = random.Random(5)
+    alphabet = list("abcdefghij")
+    found = 0
+    for _ in range(400):
+        spoken = [rng.choices(alphabet, k=rng.choice([0, 1, 1, 1, 2])) for _ in range(rng.randrange(1, 30))]
+        goals = [(rng.randrange(0, 8), set(rng.choices(alphabet, k=rng.randrange(0, 6)))) for _ in range(3)]
+        want = []
+        for n, goal in goals:
+            best = (0.0, 0, 0, 0)
+            for start in range(len(spoken)):
+                for rank, span in enumerate((n, n - 1, n + 1, n - 2, n + 2)):
+                    run = {t for tokens in spoken[start:start + span] for t in tokens}
+                    if span > 0 and start + span <= len(spoken) and run and goal and n:
+                        best = max(best, (len(run & goal) / len(run | goal), -start, -rank, span))
+            want.append({"start": 1 - best[1], "span": best[3]} if best[0] >= 0.55 else {"start": 0, "span": 0})
+        assert segment.best_runs(spoken, goals) == want
+        found += sum(w["span"] > 0 for w in want)
+    assert found > 200
+
+
+def test_best_runs_are_linear_in_the_words():
+    words = [[f"w{i}"] for i in range(300_000)]
+    goals = [(10, {f"w{i + k}" for k in range(10)}) for i in range(0, 300_000, 10)]
+    assert [r["start"] for r in segment.best_runs(words, goals)] == list(range(1, 300_001, 10))
