@@ -20,8 +20,8 @@ from momentloom.plans import oracle as o
 from momentloom.plans.ordered import with_position
 from momentloom.plans.stable import own, shared_dir, stable
 from momentloom.sources import lines, probe, sinks, transcripts as docs_in
-from momentloom.streaming.blocks import stream_pause_blocks
-from momentloom.streaming.jobs import latest_job_state
+from momentloom.streaming.blocks import stream_blocks_in_order, stream_pause_blocks
+from momentloom.streaming.jobs import expiring_job_state, latest_job_state
 from momentloom.streaming.run import closed_rows, latest_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1190,3 +1190,26 @@ def stream_blocks(spark, sf):
 def latest_state(spark, sf):
     out = latest_rows(latest_job_state(event_stream(spark, sf), "user_id", "ts", ["event_type", "value"], "event_id"), ["user_id"])
     return out.withColumn("ts", F.unix_micros("ts"))
+
+
+@query("stream_blocks_in_order", o.cte(
+    ("e", "SELECT user_id, event_id, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + event_id % 4 * 28800000 AS e FROM events"),
+    ("f", "SELECT *, (SELECT max(s) - 10000 FROM e) AS mark FROM e"),
+    ("p", "SELECT *, lag(e) OVER (PARTITION BY user_id ORDER BY s, event_id) AS before FROM f WHERE s < mark"),
+    ("b", f"SELECT *, sum((before IS NULL OR s - before >= {6 * HOUR})::INT) OVER (PARTITION BY user_id ORDER BY s, event_id) AS g FROM p"),
+    ("c", """SELECT user_id, g, max(g) OVER (PARTITION BY user_id) AS open, count(*) AS n_rows, min(s) AS first_start, max(s) AS last_start,
+        arg_max(e, (s, event_id)) AS ended, any_value(mark) AS mark FROM b GROUP BY user_id, g"""),
+) + f" SELECT user_id, n_rows, first_start, last_start FROM c WHERE g < open OR mark - ended >= {6 * HOUR}")
+def stream_ordered_blocks(spark, sf):
+    """Blocks by the previous row's end, with rows that overlap; those closed when the input ends."""
+    stream = event_stream(spark, sf).withColumn("duration_ms", F.col("event_id") % 4 * 28_800_000)
+    out = closed_rows(stream_blocks_in_order(stream, "user_id", "ts", "duration_ms", "event_id", 6 * HOUR))
+    return out.withColumns({c: F.unix_millis(c) for c in ("first_start", "last_start")})
+
+
+@query("expiring_job_state", ORACLES["latest_job_state"])
+def expiring_state(spark, sf):
+    """The latest state again, where users leave the state a day after a purchase."""
+    state = expiring_job_state(event_stream(spark, sf), "user_id", "ts", ["event_type", "value"], "event_id",
+                               F.col("event_type") == "purchase", DAY)
+    return latest_rows(state, ["user_id"]).withColumn("ts", F.unix_micros("ts"))

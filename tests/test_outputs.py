@@ -1,13 +1,14 @@
 import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from momentloom.operators import catalog, cues, evals, incremental, tracks, transcripts
 from momentloom.sources import probe, sinks
 from momentloom.sources import transcripts as docs_in
-from momentloom.streaming.blocks import stream_pause_blocks
-from momentloom.streaming.jobs import latest_job_state
+from momentloom.streaming.blocks import stream_blocks_in_order, stream_pause_blocks
+from momentloom.streaming.jobs import expiring_job_state, latest_job_state
 from momentloom.streaming.run import closed_rows, latest_rows
 
 WORDS = "array<struct<start_ms:bigint,end_ms:bigint,text:string>>"
@@ -245,3 +246,54 @@ def test_null_keys_are_replaced_and_not_added_again(spark):
     assert rows(incremental.replace_by_key(base, base.where("k = 2"), ["k"])) == rows(base)  # one lineage on both sides
     done = incremental.skip_unchanged(base, spark.createDataFrame([], "k int, fp string"), ["k"], ["v"])
     assert incremental.skip_unchanged(base, done, ["k"], ["v"]).count() == 0
+
+
+def test_ordered_stream_blocks_equal_batch_on_shuffled_micro_batches(spark, tmp_path):
+    rng = random.Random(3)
+    rows, at = [], 0
+    for i in range(120):
+        at += rng.choice([0, 300, 900, 1500, 3000])
+        rows.append(("k" if rng.random() < 0.7 else "m", at, rng.choice([0, 100, 1000, 5000]), i))
+    shuffled = sorted(rows, key=lambda r: r[1] + rng.randrange(8000))  # never behind the watermark of ten seconds
+    batches = [shuffled[i:i + 30] for i in range(0, 120, 30)]
+    # Rows are late for the watermark of the batch before theirs.
+    batches += [[("z", at + 100_000, 0, 995)], [("z", at + 150_000, 0, 998)], [("k", 5, 0, 997), ("k", at + 1, 1, 996)], [("z", at + 200_000, 0, 999)]]
+    schema = write_files(spark, str(tmp_path), batches, "k string, t long, duration_ms long, id long")
+    stream = stream_of(spark, str(tmp_path), schema)
+    got = closed_rows(stream_blocks_in_order(stream, "k", "ts", "duration_ms", "id")).collect()
+    want = []
+    for key in ("k", "m"):
+        ended = None
+        for _, t, length, _ in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[3])):
+            if ended is None or t - ended >= 1200:
+                want.append([key, 0, t, t])
+            want[-1][1] += 1
+            want[-1][3], ended = t, t + length
+    want += [["z", 1, at + 100_000, at + 100_000], ["z", 1, at + 150_000, at + 150_000]]
+    assert sorted((r.k, r.n_rows, round(r.first_start.timestamp() * 1000), round(r.last_start.timestamp() * 1000)) for r in got) == sorted(map(tuple, want))
+
+
+def test_finished_jobs_leave_the_state_also_after_a_restart(spark, tmp_path):
+    source, kept = str(tmp_path / "in"), {}
+    first = [[("a", 1_000, 1, "run"), ("b", 1_000, 2, "run"), ("c", 2_000, 3, None)], [("a", 5_000, 4, "done"), ("b", 500, 5, "done")]]
+    then = [[("x", 90_000, 6, "run")], [("x", 91_000, 7, "run")], [("a", 92_000, 8, "again"), ("b", 92_000, 9, "done"), ("a", 6_000, 10, "late")]]
+    more = "k string, t long, id long, state string"
+    schema = write_files(spark, source, first, more)
+
+    def run():
+        rows = []
+        state = expiring_job_state(stream_of(spark, source, schema), "k", "ts", ["state", "id"], "id", F.col("state") == "done", 20_000)
+        query = state.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(
+            lambda batch, epoch: rows.extend((epoch, *r) for r in batch.collect())).trigger(availableNow=True).start()
+        query.awaitTermination()
+        kept.update({r[1]: (r[3], r[4]) for r in sorted(rows, key=lambda r: r[0])})
+        return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+    assert run()[-1] == 3 and kept == {"a": ("done", 4), "b": ("run", 2), "c": (None, 3)}
+    for n, rows in enumerate(then):
+        write_files(spark, f"{source}/then{n}", [rows], more)
+        for f in os.listdir(f"{source}/then{n}/b0"):
+            os.utime(f"{source}/then{n}/b0/{f}", (1_800_000_000 + n, 1_800_000_000 + n))
+    totals = run()
+    assert min(totals) == 3  # b, c and x, once the watermark passed a's last event by 20 seconds
+    assert kept == {"a": ("again", 8), "b": ("done", 9), "c": (None, 3), "x": ("run", 7)} and totals[-1] == 4
