@@ -19,7 +19,7 @@ from momentloom.plans import analyze as an
 from momentloom.plans import oracle as o
 from momentloom.plans.ordered import with_position
 from momentloom.plans.stable import own, shared_dir, stable
-from momentloom.sources import lines, probe, sinks, transcripts as docs_in
+from momentloom.sources import committed, lines, probe, sinks, transcripts as docs_in
 from momentloom.streaming.blocks import stream_blocks_in_order, stream_pause_blocks
 from momentloom.streaming.jobs import expiring_job_state, latest_job_state
 from momentloom.streaming.run import closed_rows, latest_rows
@@ -852,6 +852,17 @@ def replace_keys_in_table(spark, sf):
     return spark.read.parquet(path).drop(sinks.BUCKET)
 
 
+@query("committed_table", ORACLES["replace_by_key"])
+def committed_table(spark, sf):
+    """The same through a table whose changes appear with one rename; a second change puts nothing new."""
+    base, delta = order_parts(spark, sf)
+    path = own(spark, f"{shared_dir(spark)}/momentloom/orders-{uuid.uuid4().hex}") + "/orders"
+    committed.create(base, path, "o_custkey", 8)
+    committed.change(spark, delta, path)
+    committed.change(spark, delta, path)
+    return committed.read(spark, path)
+
+
 @query("upsert_by_key", o.cte(*DELTA) + """ SELECT * FROM base WHERE o_orderkey NOT IN (SELECT o_orderkey FROM delta) UNION ALL SELECT * FROM delta""")
 def upsert_by_key(spark, sf):
     base, delta = order_parts(spark, sf)
