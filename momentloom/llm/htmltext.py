@@ -5,7 +5,7 @@ one path are alike, so the page is judged by path: characters per node, and punc
 the spread of both. Both ratios are smoothed over the paths that stand next to each other in page
 order, multiplied, and paths above a share of the page's mean are content. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are out by their tags and
-class names, whatever their ratios. The innermost element that holds all headings, paragraphs and
+class names, whatever their ratios, unless the element so named wraps an article or half of the page. The innermost element that holds all headings, paragraphs and
 sentences of the content then gives back its headings and short paragraphs. An article or main
 element with content in it is kept whole.
 
@@ -51,9 +51,14 @@ OUT_WORDS = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist disqus "
     "reply replies respond discussion share sharing social related recommended recommendations widget widgets toolbar "
     "pagination pager skip copyright legal tags tagcloud".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: Parts that make a compound name tell the state of an element, not its kind.
+STATE_FIRST = frozenset("no not non has with without is".split())
+STATE_LAST = frozenset("free fixed sticky enabled disabled visible open closed less".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
-_ATTR = re.compile(r"([A-Za-z_:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_ATTR = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_END = re.compile(r"[.!?…。！？]")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCT = re.compile(r"[,.;:!?…、。，！？]")
 _SPACE = re.compile(r"\s+")
@@ -91,36 +96,68 @@ def _steps(page: str) -> Iterator[tuple[str, str, str]]:
                 at = end.end() if end else n
 
 
-def _step(name: str, attributes: str) -> tuple[str, bool]:
-    """The path step of an element, and whether its tag or class puts it outside the article."""
-    label, out = name, name in OUT_TAGS
+def _named_out(attribute: str, value: str, article: bool) -> str:
+    """The word of a class or id that is not the article's, or nothing.
+
+    A class counts by any of its parts, unless it tells a state (``no-sidebar``, ``ad-free``); an id, which
+    may be an anchor made of a heading, by its whole or its last part. A header inside an article is its own.
+    """
+    for name in value.split():
+        parts = [part.lower() for part in _NAME.findall(name)]
+        if len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
+            continue
+        for part in parts if attribute == "class" else parts[-1:]:
+            if part in OUT_WORDS and not (part == "header" and article):
+                return part
+    return ""
+
+
+def _step(name: str, attributes: str, article: bool) -> tuple[str, bool, str]:
+    """The path step of an element, whether its tag, role or state puts it outside the article for good,
+    and the word of its classes and id that speaks for that."""
+    label, out, word = name, name in OUT_TAGS and name != "form", "form" if name == "form" else ""
     if attributes:
         words = []
         for key, value in _ATTR.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
                 words += value.split()
-            out = out or key == "role" and value.lower() in OUT_ROLES or key == "aria-hidden" and value.lower() == "true"
+                word = word or _named_out(key, value, article)
+            out = (out or key == "hidden" or key == "role" and value.lower() in OUT_ROLES
+                   or key == "aria-hidden" and value.lower() == "true")
         if words:
             label = f"{name}.{'.'.join(words)}"
-            out = out or name not in ("body", "html", "article", "main") and any(
-                part.lower() in OUT_WORDS for w in words for part in _NAME.findall(w))
-    out = out or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
-    return label, out
+    return label, out, "" if name in ("body", "html", "article", "main") else word
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, bool]]:
     """``(path, elements, text, out)`` of every block with text, in page order. ``elements`` numbers the
-    elements of the path, so that two of the same name differ."""
-    stack: list[tuple[str, str, bool, bool, int]] = []  # name, label, out, inside an article, number
+    elements of the path, so that two of the same name differ.
+
+    An element is out by a class or id only if it holds no article or main and, comments aside, less than half of
+    the page's prose (text of blocks with a sentence end): else the word names the layout of a wrapper.
+    """
+    found, wrappers = _read(page, frozenset())
+    return _read(page, wrappers)[0] if wrappers else found
+
+
+def _read(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[tuple[str, ...], tuple[int, ...], str, bool]], frozenset[int]]:
+    """The blocks where ``wrappers`` are in despite their names, and the elements that ought to be."""
+    # name, label, out, inside an article, number, out for good, nearest element with an outside name
+    stack: list[tuple[str, str, bool, bool, int, bool, int]] = []
     found: list[tuple[tuple[str, ...], tuple[int, ...], str, bool]] = []
     parts: list[str] = []
-    place: list[tuple[tuple[str, ...], tuple[int, ...], bool]] = []  # where the open block is and whether it is out
+    place: list[tuple[tuple[str, ...], tuple[int, ...], bool, bool, int]] = []  # where the open block is, out, out for good, name
+    named: dict[int, tuple[int, str]] = {}  # the next such element above, and the word
+    prose: dict[int, int] = defaultdict(int)
+    holding: set[int] = set()
 
     def flush() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text and place:
             found.append((*place[0][:2], text, place[0][2]))
+            if not place[0][3] and _END.search(text):
+                prose[place[0][4]] += len(text)
         parts.clear()
         place.clear()
 
@@ -139,7 +176,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, bool]
                 flush()
             if not place and name.strip():
                 held = [x for x in stack if x[0] in BLOCKS or x[0] in OUT_TAGS]
-                place.append((tuple(x[1] for x in held), tuple(x[4] for x in held), out))
+                place.append((tuple(x[1] for x in held), tuple(x[4] for x in held), out,
+                              bool(stack) and stack[-1][5], stack[-1][6] if stack else 0))
             # An advert inside a paragraph is no part of it.
             parts.append(" " if place and out and not place[0][2] else name)
         elif kind == "open":
@@ -162,12 +200,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, bool]
                         break
             if name not in VOID:
                 number += 1
-                above = stack[-1] if stack else ("", "", False, False, 0)
-                label, out = _step(name, attributes)
+                above = stack[-1] if stack else ("", "", False, False, 0, False, 0)
+                label, gone, word = _step(name, attributes, above[3])
                 article = above[3] or name in ("article", "main")
-                if name == "header" and not article:
-                    out = True
-                stack.append((name, label, above[2] or out, article, number))
+                gone = above[5] or gone or name == "header" and not article
+                if name in ("article", "main"):
+                    holding.add(above[6])
+                if word:
+                    named[number] = (above[6], word)
+                out = above[2] or gone or bool(word) and number not in wrappers
+                stack.append((name, label, out, article, number, gone, number if word else above[6]))
         else:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -177,7 +219,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, bool]
                 if name in BLOCKS:
                     flush()
     flush()
-    return found
+    total = sum(prose.values())
+    inside = set()
+    for number, (above, word) in reversed(named.items()):  # what an element holds, those above it hold too
+        if number in holding:
+            holding.add(above)
+        if number in holding or word not in COMMENT_WORDS and total and 2 * prose[number] >= total:
+            inside.add(number)
+        prose[above] += prose[number]
+    return found, frozenset(inside)
 
 
 def _smooth(values: list[float]) -> list[float]:

@@ -115,3 +115,24 @@ def test_damaged_archive_is_noticed(spark, tmp_path):
     (tmp_path / "a" / name).write_bytes(data[:-20])
     with pytest.raises(Exception, match="ends inside a record"):
         warc.read_archives(spark, str(tmp_path / "a")).collect()
+
+
+BODY = "<h1>Title here</h1><p>One long sentence of the article, with words.</p><p>Another sentence follows it.</p>"
+KEPT = "Title here\nOne long sentence of the article, with words.\nAnother sentence follows it."
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="site no-sidebar"><article>{BODY}</article><div class="sidebar">Links.</div></div>',
+    f'<div class="page header-fixed"><article>{BODY}</article></div>',
+    f'<div id="content" class="ad-free"><article>{BODY}</article></div>',
+    f'<div class="sidebar"><main>{BODY}</main></div>',
+    f'<form id="page"><article>{BODY}</article></form>',
+    f'<article><div class="entry-header"><h1>Title here</h1></div>{BODY[19:]}</article>',
+    f'<article><h1>Title here</h1><section id="social-policy">{BODY[19:]}</section></article>',
+    BODY.replace("<p>", '<p title="a hidden gem">', 1).join(["<article>", "</article>"]),
+    f'<article>{BODY}<p hidden>no</p><p class="ad-slot">Buy now.</p><section class="comments">{"A comment. " * 90}</section></article>',
+    f'<div class="widget">{BODY}</div><div class="footer-links">Imprint</div>',
+    f'<div class="content">{BODY}</div><div id="comments"><p>{"A long comment. " * 40}</p></div>',
+], ids=str)
+def test_wrappers_named_like_a_sidebar_keep_their_article(page):
+    assert htmltext.main_text(page) == KEPT
