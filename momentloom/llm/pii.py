@@ -45,8 +45,9 @@ BLOOM_BITS = 1 << 23
 BLOOM_HASHES = 4
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The contract's patterns; what they match starts and ends whole runs of digits, so no run is read twice.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -249,7 +250,14 @@ def _all_spans() -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """``(row, doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base, terms, spans)``; ``row`` numbers the rows.
     ``terms`` are the disclosing terms as ``(start, kind, end, removed)``."""
-    rows = ship(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    return _found(_numbered(docs), docs)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return ship(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+
+
+def _found(rows: DataFrame, docs: DataFrame) -> DataFrame:
     found = stable(rows.mapInArrow(_find, FOUND))
     open_ = found.where(F.size("entities") > 0)
     told = stable(disclosures(open_, docs))
@@ -288,9 +296,10 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` of every row with its personal data replaced. Ids must be unique here."""
-    spans = find(docs).select("doc_id", "base", "terms")
-    met = docs.select(F.col("doc_id").cast("long"), "text").join(spans, "doc_id")
+    """``(doc_id, text)`` of every row with its personal data replaced, rows without id and of one id too.
+    The numbered rows are written first, so that spans and texts meet on the same numbers."""
+    rows = stable(_numbered(docs))
+    met = rows.join(_found(rows, rows).select("row", "base", "terms"), "row")
     return met.select("doc_id", "text", "base", "terms").mapInArrow(_redact, "doc_id long, text string")
 
 

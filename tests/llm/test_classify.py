@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -213,3 +214,21 @@ def test_swapping():
     swap = toxicity.swapper()
     assert swap("Women and men") == "men and women" and swap("no group") is None and swap(None) is None
     assert pytest.approx(toxicity.Model({"a": 2.0}, -1.0).score("A a b")) == 1 / (1 + 2.718281828459045**-1)
+
+
+def test_digit_patterns_are_linear_and_equal_the_contract():
+    ip, card = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+")
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choices("0123.. -a", k=rng.randrange(40)))
+        for want, got in ((ip, pii._IP), (card, pii._CARD)):
+            assert [m.span() for m in want.finditer(text)] == [m.span() for m in got.finditer(text)]
+    begun = time.process_time()
+    assert pii.base_spans("1" * 1_000_000 + " 10.0.0.1") == [(1_000_001, 1, 1_000_009)]
+    assert time.process_time() - begun < 20  # hours when runs were read from each of their digits
+
+
+def test_sanitised_keeps_rows_without_id_and_of_one_id(spark):
+    rows = [(None, "Mail one@here.org now"), (None, "Nothing"), (7, "Mail two@here.org now"), (7, "10.0.0.1"), (8, None)]
+    got = sorted((r["doc_id"] or 0, "@" in r["text"] or "10.0" in r["text"]) for r in pii.sanitised(frame(spark, rows)).collect())
+    assert got == [(0, False), (0, False), (7, False), (7, False), (8, False)]
