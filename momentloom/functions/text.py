@@ -18,12 +18,14 @@ SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(
 )
 WORD = "[A-Za-z0-9']+"
 
-# Whitespace after terminal punctuation, unless a lone dot closes an abbreviation.
-SENTENCE_BREAK = (
+# After terminal punctuation, unless a lone dot closes an abbreviation; then whitespace.
+SENTENCE_END = (
     r"(?iU)(?<=[.!?])(?<!(?<![A-Za-z.])(?:"
     + "|".join(re.escape(a) for a in lx.ABBREVIATIONS)
-    + r")\.)\s+"
+    + r")\.)"
 )
+SENTENCE_BREAK = SENTENCE_END + r"\s+"
+SENTENCE_REACH = max(map(len, lx.ABBREVIATIONS)) + 2  # characters that a break looks back
 
 
 def _c(col: Column | str) -> Column:

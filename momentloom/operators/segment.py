@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from momentloom.functions import text as tx
 from momentloom.functions.timefmt import div
 from momentloom.plans.ordered import bind, chunk_carry, sum_before
+from momentloom.plans.stable import stable
 
 BLOCK_GAP_MS = 1200
 MIN_SENTENCE_MS = 200
@@ -21,6 +22,7 @@ MIN_ALIGNMENT = 0.55
 EDGE_MARKS = ".,!?;:"
 RUNS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("span", T.IntegerType())]))
 SEGMENTS_PER_CHUNK = 256
+SPAN_CHARS = 1 << 16
 ROWS_PER_CHUNK = 4096
 
 
@@ -58,6 +60,51 @@ def explode_sentences(
     ).drop("_p", "_step", "_chunk", "_base")
 
 
+def spread_sentences(df: DataFrame, col: str = "text", key: Sequence[str] = (), span: int = SPAN_CHARS) -> DataFrame:
+    """``explode_sentences`` with offsets for texts of any length: same rows, but a text is cut into
+    spans of ``span`` characters that go to different tasks.
+
+    A span brings along the few characters before it that a break looks back on, so each break is
+    found in one span only. Sentences inside a span are whole; only those at its borders are
+    grouped and joined again. ``key`` is unique per text; a null in it is a value like others. Null
+    and blank texts give no rows. A sentence is one row, however long.
+    """
+    if span < tx.SENTENCE_REACH:
+        raise ValueError(f"span must be at least {tx.SENTENCE_REACH}")
+    others = [c for c in df.columns if c != col]
+    cut = bind(F.regexp_extract_all(tx.strip(col), F.lit(f"(?s).{{1,{span}}}"), F.lit(0)), lambda spans: F.transform(
+        spans, lambda own, i: F.struct(
+            F.coalesce(F.right(F.get(spans, i - 1), F.lit(tx.SENTENCE_REACH)), F.lit("")).alias("before"), own.alias("own"))))
+    spans = df.select(*others, F.struct(*key).alias("_key"), F.posexplode_outer(cut).alias("_span", "_p"))
+    spans = spans.where("_span is not null").repartition("_key", "_span")
+    pieces = F.split(F.concat("_p.before", "_p.own"), tx.SENTENCE_END + r"(?=\s)")
+    rows = spans.select(*others, "_key", "_span", F.length("_p.before").alias("_lead"),
+                        F.posexplode_outer(pieces).alias("_nth", "_piece"))
+    along = Window.partitionBy("_key", "_span").orderBy("_nth")
+    rows = rows.withColumn("_at", F.sum(F.length("_piece")).over(along) - F.length("_piece"))
+    rows = rows.where(F.col("_at") + F.length("_piece") > F.col("_lead"))
+    hidden = F.greatest(F.col("_lead") - F.col("_at"), F.lit(0))
+    rows = stable(rows.select(
+        *others, "_key", "_span", "_nth", (F.col("_at") >= F.col("_lead")).alias("_new"),
+        F.lead("_nth").over(along).isNull().alias("_last"), F.substring("_piece", hidden.cast("int") + 1, F.length("_piece")).alias("_part"),
+        (F.col("_span").cast("long") * span + F.col("_at") + hidden - F.col("_lead")).alias("start_char")))
+    fresh = F.sum(F.col("_new").cast("long"))
+    rows = chunk_carry(rows, ["_key"], "_span", {"_held": fresh},
+                       lambda s, w: s.withColumn("_base", sum_before("_held", w)), ["_base"])
+    rows = rows.withColumn("pos", F.col("_base") + fresh.over(along) - 1)
+    whole = F.col("_new") & ~F.col("_last")
+    parts = F.sort_array(F.collect_list(F.struct("start_char", "_part")))
+    mended = rows.where(~whole).groupBy("_key", "pos").agg(
+        *[F.first(c).alias(c) for c in others], F.array_join(F.transform(parts, lambda p: p["_part"]), "").alias("_part"),
+        F.min("start_char").alias("start_char"))
+    columns = [*others, "pos", "_part", "start_char"]
+    sentence = F.regexp_replace("_part", r"(?U)^\s+", "").alias("sentence")
+    out = rows.where(whole).select(*columns).unionByName(mended.select(*columns)).select("*", sentence)
+    start = F.col("start_char") + F.length("_part") - F.length("sentence")
+    return out.select(*others, F.col("pos").cast("int").alias("pos"), "sentence", start.cast("long").alias("start_char"),
+                      (start + F.length("sentence")).cast("long").alias("end_char"))
+
+
 def align_spans(words: Column, parts: Column) -> Column:
     """For each sentence in ``parts``: the run of ``words`` that matches it best.
 

@@ -106,6 +106,13 @@ ORACLES["sentence_offsets"] = o.cte(
     ("solid_chars", r"""SELECT doc_id, place, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS nth FROM chars WHERE NOT regexp_matches(c, '^\s$')"""),
 ) + """ SELECT p.doc_id, p.pos, p.sentence, (s.place - length(p.sentence))::BIGINT AS start_char, s.place::BIGINT AS end_char
     FROM packed p JOIN solid_chars s ON s.doc_id = p.doc_id AND s.nth = p.solid"""
+ORACLES["spread_sentences"] = ORACLES["sentence_offsets"]
+
+
+@query("spread_sentences")
+def spread_sentences(spark, sf):
+    """Spans of 512 characters, so that most texts are cut."""
+    return segment.spread_sentences(documents(spark, sf), key=["doc_id"], span=512).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("top_keywords", o.cte(

@@ -57,6 +57,23 @@ def test_offsets_round_trip(spark):
         assert text.strip()[r.start_char:r.end_char] == r.sentence
 
 
+def test_spans_mend_sentences(spark):
+    pick = random.Random(8)
+    bits = ["Dr.", "No.", "e.g.", "tea!", "why?", "end.", "...", " ", "  ", "\n", "\u2003", "kettle", "\U0001f600", "a.b", "?!", "\x1c"]
+    texts = ["".join(pick.choice(bits) + pick.choice(["", " "]) for _ in range(n)) for n in (1, 3, 9, 40, 200, 900)]
+    texts += ["", "   ", None, "x" * 500, "x." + " " * 300 + "y", "Mr. " * 60]
+    df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "id int, text string, note string").repartition(3)
+    order = lambda rows: sorted(tuple(r) for r in rows.select("id", "pos", "sentence", "start_char", "end_char").collect())
+    want = order(segment.explode_sentences(df, key=["id"], offsets=True))
+    assert len(want) > 200
+    for span in (tx.SENTENCE_REACH, 17, 64, 1 << 16):
+        got = segment.spread_sentences(df, key=["id"], span=span)
+        assert order(got) == want
+        assert {r.note for r in got.collect()} == {"kept"}
+    nameless = spark.createDataFrame([(None, "One tea. Two teas. " * 9)], "id int, text string")
+    assert segment.spread_sentences(nameless, key=["id"], span=16).count() == 18
+
+
 def test_openers_and_endings(spark):
     df = spark.createDataFrame([
         ("But the kettle boiled over.",), ("A copper kettle never rusts.",), ("Okay",), ("Well, tea is ready.",),
