@@ -76,7 +76,9 @@ def spread_sentences(df: DataFrame, col: str = "text", key: Sequence[str] = (),
         spans, lambda own, i: F.struct(
             F.coalesce(F.right(F.get(spans, i - 1), F.lit(tx.SENTENCE_REACH)), F.lit("")).alias("before"), own.alias("own"))))
     spans = df.select(*others, F.struct(*key).alias("_key"), F.posexplode_outer(cut).alias("_span", "_p"))
-    spans = spans.where("_span is not null").repartition("_key", "_span")
+    # A stated number: by size alone, texts that pack well would meet in one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = spans.where("_span is not null").repartition(tasks, "_key", "_span")
     pieces = F.split(F.concat("_p.before", "_p.own"), tx.SENTENCE_END + r"(?=\s)")
     rows = spans.select(*others, "_key", "_span", F.length("_p.before").alias("_lead"),
                         F.posexplode_outer(pieces).alias("_nth", "_piece"))
