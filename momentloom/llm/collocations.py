@@ -155,7 +155,7 @@ def _runs(n: int, shared):
                 words, counts = _phrases(ids[at : at + RUN_WORDS + n - 1], n, present)
                 for lo in range(0, len(counts), SPILL_PHRASES):
                     part = slice(lo, lo + SPILL_PHRASES)
-                    trie.add([w[part].tolist() for w in words], counts[part].tolist())
+                    trie.add([w[part] for w in words], counts[part])
                     if trie.entries > SPILL_PHRASES:
                         yield batch(trie.spill(SPILL_PHRASES // 2))
         if trie.entries:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -30,9 +31,20 @@ class HatTrie:
         self.depth, self.burst, self.entries = depth, burst, 0
         self.root: _Container | dict = _Container()
 
-    def add(self, columns: list[list[int]], counts: list[int]) -> None:
-        """Add phrases, one list per word, sorted so that equal first words stand together."""
-        self.root = self._add(self.root, columns, counts, 0, len(counts), 0)
+    def add(self, columns: list[np.ndarray], counts: np.ndarray) -> None:
+        """Add distinct phrases, one array per word, sorted so that equal first words stand together."""
+        if not len(counts):
+            return
+        columns, counts = [np.asarray(c) for c in columns], np.asarray(counts)
+        lists, n = [c.tolist() for c in columns], counts.tolist()
+        if isinstance(self.root, _Container):
+            self.root = self._add(self.root, lists, n, 0, len(n), 0)
+            return
+        root, first = self.root, lists[0]
+        edges = [0, *(np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1).tolist(), len(n)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            word = first[lo]
+            root[word] = self._add(root.get(word) or _Container(), lists, n, lo, hi, 1)
 
     def _add(self, node, columns, counts, lo, hi, level):
         if isinstance(node, dict):
@@ -45,10 +57,14 @@ class HatTrie:
                 lo = to
             return node
         held = node.held
-        before, get = len(held), held.get
+        before = len(held)
         keys = columns[level][lo:hi] if level == self.depth - 1 else zip(*(c[lo:hi] for c in columns[level:]))
-        for key, n in zip(keys, counts[lo:hi]):
-            held[key] = get(key, 0) + n
+        if before:
+            get = held.get
+            for key, n in zip(keys, counts[lo:hi]):
+                held[key] = get(key, 0) + n
+        else:
+            held.update(zip(keys, counts[lo:hi]))
         self.entries += len(held) - before
         return self._burst(node) if level < self.depth - 1 and len(held) > self.burst else node
 
@@ -70,13 +86,14 @@ class HatTrie:
         if isinstance(self.root, _Container):
             self.root = self._burst(self.root) if self.depth > 1 else {None: self.root}
         sizes = sorted(((_size(node), word) for word, node in self.root.items()), reverse=True)
-        rows: list[tuple] = []
+        leaves: list[list[tuple]] = [[] for _ in range(self.depth + 1)]  # by the number of words above
         for size, word in sizes:
             if self.entries <= leave:
                 break
-            rows += _rows(self.root.pop(word), () if word is None else (word,))
+            for prefix, held in _leaves(self.root.pop(word), () if word is None else (word,)):
+                leaves[len(prefix)].append((prefix, held))
             self.entries -= size
-        run = np.array(rows, dtype=np.int64).reshape(-1, self.depth + 1)
+        run = np.concatenate([_table(held, above, self.depth) for above, held in enumerate(leaves)])
         return run[np.lexsort(run[:, : self.depth].T[::-1])]
 
 
@@ -84,10 +101,24 @@ def _size(node) -> int:
     return len(node.held) if isinstance(node, _Container) else sum(map(_size, node.values()))
 
 
-def _rows(node, prefix: tuple) -> Iterator[tuple]:
+def _leaves(node, prefix: tuple) -> Iterator[tuple[tuple, dict]]:
     if isinstance(node, _Container):
-        for key, n in node.held.items():
-            yield (*prefix, *key, n) if isinstance(key, tuple) else (*prefix, key, n)
+        yield prefix, node.held
     else:
         for word, child in node.items():
-            yield from _rows(child, (*prefix, word))
+            yield from _leaves(child, (*prefix, word))
+
+
+def _table(leaves: list[tuple], above: int, depth: int) -> np.ndarray:
+    """Rows of words and count of containers that all have ``above`` words above them."""
+    sizes = [len(held) for _, held in leaves]
+    rows = np.empty((sum(sizes), depth + 1), dtype=np.int64)
+    if len(rows):
+        keys = chain.from_iterable(held for _, held in leaves)
+        if depth - above > 1:
+            keys = chain.from_iterable(keys)
+        if above:
+            rows[:, :above] = np.repeat(np.array([p for p, _ in leaves], dtype=np.int64), sizes, axis=0)
+        rows[:, above:depth] = np.fromiter(keys, np.int64, len(rows) * (depth - above)).reshape(-1, depth - above)
+        rows[:, depth] = np.fromiter(chain.from_iterable(held.values() for _, held in leaves), np.int64, len(rows))
+    return rows
