@@ -7,7 +7,7 @@ When the runner-up is close, the decision is *rejected*: the prediction stays th
 the flag and the score say how close it was.
 
 Model bounds: at most ``SAMPLE_DOCS`` documents per language, those with the smallest MD5 of their
-id, of which up to ``PIECE`` characters go into a dictionary of at most ``DICT_BYTES``; at most
+id (one row of each), of which up to ``PIECE`` characters go into a dictionary of at most ``DICT_BYTES``; at most
 ``MAX_LANGS`` languages. Every text is classified whole.
 
 Cases: a null text, or one without any letter, is ``und`` with score 0 and rejected. Without any
@@ -18,6 +18,7 @@ ties go to the first language in order. An empty table gives no rows. Other colu
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +32,9 @@ SAMPLE_DOCS, PIECE, DICT_BYTES, MAX_LANGS = 150, 1500, 96 << 10, 256
 LEVEL, BLOCK = 12, 4 << 10
 MIN_MARGIN = 0.01
 NARROW_BYTES = 4.0
-_OTHER = re.compile(r"[\W\d_]+")
+# Signs such as ½, ² and Ⅳ count as word characters for a pattern, but are no letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def letters(text: str | None) -> str:
@@ -43,9 +46,10 @@ def train(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary per language from the rows of ``docs(doc_id, text, lang)`` outside the held-out fold."""
     rows = docs.select("doc_id", "text", "lang").where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = sample_ids(rows, "lang", SAMPLE_DOCS, MAX_LANGS)
-    ids = chosen.select("doc_id").collect()  # at most MAX_LANGS * SAMPLE_DOCS numbers
-    wanted = docs.sparkSession.createDataFrame(ids or [(None,)], "doc_id long").dropna()
-    sample = rows.join(F.broadcast(wanted), "doc_id", "left_semi").select("lang", "doc_id", F.substring("text", 1, 4 * PIECE).alias("text"))
+    ids = chosen.collect()  # at most MAX_LANGS * SAMPLE_DOCS pairs
+    wanted = docs.sparkSession.createDataFrame([tuple(r) for r in ids], "lang string, doc_id long").dropna()
+    piece = F.min(F.substring("text", 1, 4 * PIECE)).alias("text")  # one row of an id, however often it is there
+    sample = rows.join(F.broadcast(wanted), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(piece)
     parts: dict[str, list[tuple[int, str]]] = {}
     for lang, doc_id, text in sample.collect():  # at most SAMPLE_DOCS pieces per language
         parts.setdefault(lang, []).append((doc_id, letters(text)[:PIECE]))
