@@ -18,7 +18,6 @@ ties go to the first language in order. An empty table gives no rows. Other colu
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,14 +31,16 @@ SAMPLE_DOCS, PIECE, DICT_BYTES, MAX_LANGS = 150, 1500, 96 << 10, 256
 LEVEL, BLOCK = 12, 4 << 10
 MIN_MARGIN = 0.01
 NARROW_BYTES = 4.0
-# Signs such as ½, ² and Ⅳ count as word characters for a pattern, but are no letters.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> str:
-    """Lower-case letters, each other run as one space."""
-    return _OTHER.sub(" ", text.lower()).strip() if text else ""
+    """Lower-case letters, each other run as one space; empty without any letter.
+
+    Signs such as ½, ² and Ⅳ stay beside letters, but are none themselves.
+    """
+    body = _OTHER.sub(" ", text.lower()).strip() if text else ""
+    return body if any(map(str.isalpha, body)) else ""
 
 
 def train(docs: DataFrame) -> dict[str, bytes]:

@@ -53,7 +53,7 @@ def test_language_number_signs_and_repeated_ids(spark):
     tools = langid._compressors({"x": b"one two three four " * 40, "y": b"eins zwei drei vier " * 40})
     for text in ("½", "²", "① Ⅳ 7", "_", "", None):
         assert langid.classify(text, tools) == ("und", 0.0, True)
-    assert langid.classify("one ½ two", tools)[0] == "x" and langid.letters("a½b²c") == "a b c"
+    assert langid.classify("one ½ two", tools)[0] == "x" and langid.letters("½ tea 4") == "½ tea"
     free = next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 5)
     docs = spark.createDataFrame([(free, f"text number {i} of one id", "x") for i in range(40)], "doc_id long, text string, lang string")
     model = langid.train(docs)
